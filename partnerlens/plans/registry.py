@@ -68,13 +68,31 @@ def finalize(df: DataFrame, digits: int = DIGITS) -> DataFrame:
         elif isinstance(t, T.ArrayType):
             et = t.elementType
             if isinstance(et, (T.FloatType, T.DoubleType)):
-                c = F.transform(c, lambda x: F.round(x, digits))
-            out.append(F.concat_ws(", ", F.transform(c, lambda x: x.cast("string"))).alias(f.name))
+                out.append(F.concat_ws(", ", F.transform(c, lambda x: fixed_text(x, digits))).alias(f.name))
+            else:
+                out.append(F.concat_ws(", ", F.transform(c, lambda x: x.cast("string"))).alias(f.name))
         else:
             out.append(c.cast("string").alias(f.name))
     return df.select(*out)
 
 
+def fixed_text(x, digits: int = DIGITS):
+    """Fixed-decimal text of a double from integer units: identical in
+    Spark and DuckDB (no engine-specific float printing)."""
+    scale = 10 ** digits
+    m = F.round(F.abs(x) * scale).cast("bigint")
+    return F.concat(F.when(x < 0, F.lit("-")).otherwise(F.lit("")),
+                    F.floor(m / scale).cast("bigint").cast("string"), F.lit("."),
+                    F.lpad((m % scale).cast("string"), digits, "0"))
+
+
+def fixed_text_sql(x: str, digits: int = DIGITS) -> str:
+    scale = 10 ** digits
+    m = f"CAST(round(abs({x}) * {scale}) AS BIGINT)"
+    return (f"(CASE WHEN {x} < 0 THEN '-' ELSE '' END || CAST({m} // {scale} AS VARCHAR) || '.' || "
+            f"lpad(CAST({m} % {scale} AS VARCHAR), {digits}, '0'))")
+
+
 def sql_final(inner: str, cols: list[tuple[str, str]], digits: int = DIGITS) -> str:
     """Wrap an SQL query so its output follows the same convention.
     ``cols``: (name, kind) with kind in {'int', 'double', 'text'}."""
