@@ -101,6 +101,17 @@ def fn_cents_text(c) -> Column:
                     F.lpad((cents % 100).cast("string"), 2, "0"))
 
 
+def fn_fixed_text(x, digits: int = 6) -> Column:
+    """Fixed-decimal text of a double built from integer units, identical
+    in every engine (no engine-specific float printing or rounding mode)."""
+    x = col(x)
+    scale = 10 ** digits
+    m = F.round(F.abs(x) * scale).cast("bigint")
+    return F.concat(F.when(x < 0, F.lit("-")).otherwise(F.lit("")),
+                    F.floor(m / scale).cast("bigint").cast("string"), F.lit("."),
+                    F.lpad((m % scale).cast("string"), digits, "0"))
+
+
 def fn_price_bucket_label(lo, hi) -> Column:
     return F.concat(fn_cents_text(lo), F.lit("-"), fn_cents_text(hi))
 

@@ -22,11 +22,13 @@ def split_random(df: DataFrame, key: str, test_pct: int = TEST_PCT,
 
 
 def rank_within(df: DataFrame, part_cols: list[str], order_key: Column | str,
-                tiebreak: str, out: str = "rn", salt_bits: int = 8) -> DataFrame:
+                tiebreak: str, out: str = "rn", salt_bits: int = 8,
+                bucket: Column | None = None) -> DataFrame:
     """Exact 1-based rank of each row inside ``part_cols`` by
     (``order_key``, ``tiebreak``), without putting a whole group in one task.
 
-    ``order_key`` must be a non-negative 32-bit integer (e.g. ``fn_hash_key``).
+    ``order_key`` must be a non-negative 32-bit integer (e.g. ``fn_hash_key``)
+    unless ``bucket`` -- any expression non-decreasing in the key -- is given.
     Rows are split into 2**salt_bits sub-groups by the key's top bits, whose
     order agrees with the key order.  Sub-group sizes are counted (partial
     aggregation), their prefix sums taken over the small count table, and the
@@ -34,7 +36,8 @@ def rank_within(df: DataFrame, part_cols: list[str], order_key: Column | str,
     third of all rows is spread over 2**salt_bits tasks.
     """
     k = F.col(order_key) if isinstance(order_key, str) else order_key
-    d = df.withColumn("_ok", k).withColumn("_sb", F.shiftright(F.col("_ok"), 32 - salt_bits))
+    d = df.withColumn("_ok", k)
+    d = d.withColumn("_sb", bucket if bucket is not None else F.shiftright(F.col("_ok"), 32 - salt_bits))
     counts = d.groupBy(*part_cols, "_sb").agg(F.count(F.lit(1)).alias("_cnt"))
     w = Window.partitionBy(*part_cols).orderBy("_sb")       # <= 2**salt_bits rows per group
     offsets = counts.select(*part_cols, "_sb",
@@ -60,9 +63,15 @@ def split_stratified(df: DataFrame, key: str, strata: str, test_pct: int = TEST_
 def global_row_number(df: DataFrame, order_key: Column | str, tiebreak: str,
                       out: str = "rn", salt_bits: int = 10) -> DataFrame:
     """Exact global 1-based row number by (order_key, tiebreak) without a
-    single-partition window (counts per key range, prefix sums, local rank)."""
-    return rank_within(df.withColumn("_all", F.lit(0)), ["_all"], order_key, tiebreak, out,
-                       salt_bits).drop("_all", f"{out}_n")
+    single-partition window: the key range is cut into 2**salt_bits equal
+    slices (bounds from a scalar subquery), slices are counted, prefix sums
+    give each slice's offset, and rows are numbered inside their slice."""
+    k = F.col(order_key) if isinstance(order_key, str) else order_key
+    b = df.select(k.alias("_k")).agg(F.struct(F.min("_k").alias("lo"), F.max("_k").alias("hi"))).scalar()
+    width = (b["hi"] - b["lo"] + 1) / F.lit(2 ** salt_bits)
+    bucket = F.floor((k - b["lo"]) / width).cast("bigint")
+    return rank_within(df.withColumn("_all", F.lit(0)), ["_all"], k, tiebreak, out,
+                       salt_bits, bucket=bucket).drop("_all", f"{out}_n")
 
 
 def sample_rows(df: DataFrame, key: str, n: int, seed: int = SEED) -> DataFrame:

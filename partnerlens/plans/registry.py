@@ -16,6 +16,8 @@ from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
+from partnerlens.functions.scalar import fn_fixed_text as fixed_text
+
 DIGITS = 6
 
 
@@ -76,16 +78,6 @@ def finalize(df: DataFrame, digits: int = DIGITS) -> DataFrame:
     return df.select(*out)
 
 
-def fixed_text(x, digits: int = DIGITS):
-    """Fixed-decimal text of a double from integer units: identical in
-    Spark and DuckDB (no engine-specific float printing)."""
-    scale = 10 ** digits
-    m = F.round(F.abs(x) * scale).cast("bigint")
-    return F.concat(F.when(x < 0, F.lit("-")).otherwise(F.lit("")),
-                    F.floor(m / scale).cast("bigint").cast("string"), F.lit("."),
-                    F.lpad((m % scale).cast("string"), digits, "0"))
-
-
 def fixed_text_sql(x: str, digits: int = DIGITS) -> str:
     scale = 10 ** digits
     m = f"CAST(round(abs({x}) * {scale}) AS BIGINT)"
