@@ -34,33 +34,45 @@ def _n_blocks(df: DataFrame, id_col: str, block_rows: int) -> int:
     return max(1, math.ceil(n / block_rows))
 
 
+RANK_DIGITS = 12       # similarities are ranked after rounding to 12 decimals, so
+                       # results do not depend on summation order (block layout, engine)
+
+
 def cosine_topk(cand: DataFrame, k: int, query: DataFrame | None = None,
                 id_col: str = "id", dim_col: str = "dim", val_col: str = "val",
-                exclude_self: bool = True, block_rows: int = BLOCK_ROWS) -> DataFrame:
+                exclude_self: bool = True, block_rows: int = BLOCK_ROWS,
+                group_cols: tuple[str, ...] | list[str] = ()) -> DataFrame:
     """Top-k cosine neighbours of every query id among the candidate ids.
 
-    Returns (qid, cid, sim, rank); ties broken by candidate id ascending; a
-    zero vector has similarity 0 with everything.  ``query=None`` means all
-    candidates query each other (self excluded when ``exclude_self``).
+    Returns (group..., qid, cid, sim, rank); ties (to 12 decimals) broken by
+    candidate id ascending; a zero vector has similarity 0 with everything.
+    ``query=None`` means all candidates query each other (self excluded when
+    ``exclude_self``).  With ``group_cols`` (e.g. a variant key) neighbours
+    are searched only inside the same group -- many kNN problems, one job.
     """
+    g = list(group_cols)
     query = cand if query is None else query
     id_type = cand.schema[id_col].dataType
-    cand = cand.groupBy(id_col, dim_col).agg(F.sum(val_col).cast("double").alias("val"))
-    query = query.groupBy(id_col, dim_col).agg(F.sum(val_col).cast("double").alias("val"))
+    cand = cand.groupBy(*g, id_col, dim_col).agg(F.sum(val_col).cast("double").alias("val"))
+    query = query.groupBy(*g, id_col, dim_col).agg(F.sum(val_col).cast("double").alias("val"))
     bq, bc = _n_blocks(query, id_col, block_rows), _n_blocks(cand, id_col, block_rows)
-    qb = (query.select(F.col(id_col).alias("id"), F.col(dim_col).cast("string").alias("dim"), "val",
-                       F.pmod(F.xxhash64(id_col), F.lit(bq)).alias("qb"))
-          .withColumn("cb", F.explode(F.sequence(F.lit(0), F.lit(bc - 1)))))
-    cb = (cand.select(F.col(id_col).alias("id"), F.col(dim_col).cast("string").alias("dim"), "val",
-                      F.pmod(F.xxhash64(id_col), F.lit(bc)).alias("cb"))
-          .withColumn("qb", F.explode(F.sequence(F.lit(0), F.lit(bq - 1)))))
-    schema = T.StructType([T.StructField("qid", id_type), T.StructField("cid", id_type),
-                           T.StructField("sim", T.DoubleType())])
+    # group keys re-aliased on each side: both sides may come from one parent
+    qb = (query.select(*[F.col(c).alias(c) for c in g], F.col(id_col).alias("id"), F.col(dim_col).cast("string").alias("dim"), "val",
+                       F.pmod(F.xxhash64(id_col), F.lit(bq)).cast("int").alias("qb"))
+          .withColumn("cb", F.explode(F.sequence(F.lit(0), F.lit(bc - 1), F.lit(1)).cast("array<int>"))))
+    cb = (cand.select(*[F.col(c).alias(c) for c in g], F.col(id_col).alias("id"), F.col(dim_col).cast("string").alias("dim"), "val",
+                      F.pmod(F.xxhash64(id_col), F.lit(bc)).cast("int").alias("cb"))
+          .withColumn("qb", F.explode(F.sequence(F.lit(0), F.lit(bq - 1), F.lit(1)).cast("array<int>"))))
+    # both sides must agree on key types: the cogroup hash-partitions on them
+    fields = [cand.schema[c] for c in g]
+    schema = T.StructType([T.StructField(f.name, f.dataType) for f in fields]
+                          + [T.StructField("qid", id_type), T.StructField("cid", id_type),
+                             T.StructField("sim", T.DoubleType())])
+    out_cols = [*g, "qid", "cid", "sim"]
 
     def kernel(qpdf: pd.DataFrame, cpdf: pd.DataFrame) -> pd.DataFrame:
         if qpdf.empty or cpdf.empty:
-            return pd.DataFrame({"qid": pd.Series([], dtype=object), "cid": pd.Series([], dtype=object),
-                                 "sim": pd.Series([], dtype="float64")})
+            return pd.DataFrame({c: pd.Series([], dtype=object) for c in out_cols})
         dims = pd.Index(pd.unique(np.concatenate([qpdf["dim"].to_numpy(), cpdf["dim"].to_numpy()])))
         qids, qinv = np.unique(qpdf["id"].to_numpy(), return_inverse=True)
         cids, cinv = np.unique(cpdf["id"].to_numpy(), return_inverse=True)   # ascending ids
@@ -75,18 +87,27 @@ def cosine_topk(cand: DataFrame, k: int, query: DataFrame | None = None,
         valid = np.ones_like(sim, dtype=bool)
         if exclude_self:
             valid = qids[:, None] != cids[None, :]
-        key = np.where(valid, -sim, np.inf)
+        key = np.where(valid, -np.round(sim, RANK_DIGITS), np.inf)
         kk = min(k, len(cids))
-        order = np.argsort(key, axis=1, kind="stable")[:, :kk]       # stable: ties -> lower cid
-        rows = np.repeat(np.arange(len(qids)), kk)
-        cols = order.reshape(-1)
-        keep = valid[rows, cols]
-        return pd.DataFrame({"qid": qids[rows[keep]], "cid": cids[cols[keep]],
-                             "sim": sim[rows[keep], cols[keep]]})
-
-    part = (qb.groupBy("qb", "cb").cogroup(cb.groupBy("qb", "cb"))
+        # exact top-kk per row with ties -> lower cid: take every candidate
+        # at or below the kk-th smallest key (ties included), then order
+        # that small set by (row, key, cid) and keep the first kk per row
+        thr = np.partition(key, kk - 1, axis=1)[:, kk - 1:kk]
+        rows, cols = np.nonzero((key <= thr) & valid)
+        o = np.lexsort((cols, key[rows, cols], rows))
+        rows, cols = rows[o], cols[o]
+        first = np.r_[0, np.flatnonzero(np.diff(rows)) + 1]
+        pos = np.arange(len(rows)) - np.repeat(first, np.diff(np.r_[first, len(rows)]))
+        keep = pos < kk
+        rows, cols = rows[keep], cols[keep]
+        out = pd.DataFrame({"qid": qids[rows], "cid": cids[cols], "sim": sim[rows, cols]})
+        for c in g:
+            out.insert(0, c, qpdf[c].iloc[0])
+        return out[out_cols]
+
+    part = (qb.groupBy(*g, "qb", "cb").cogroup(cb.groupBy(*g, "qb", "cb"))
             .applyInPandas(kernel, schema))
-    w = Window.partitionBy("qid").orderBy(F.col("sim").desc(), F.col("cid").asc())
+    w = Window.partitionBy(*g, "qid").orderBy(F.round("sim", RANK_DIGITS).desc(), F.col("cid").asc())
     return (part.withColumn("rank", F.row_number().over(w))
             .filter(F.col("rank") <= k))
 

@@ -60,6 +60,14 @@ def split_stratified(df: DataFrame, key: str, strata: str, test_pct: int = TEST_
     return (r.filter(is_train).drop("_rk", "_rk_n"), r.filter(~is_train).drop("_rk", "_rk_n"))
 
 
+def flag_stratified(df: DataFrame, key: str, strata: str, test_pct: int = TEST_PCT,
+                    seed: int = SEED, out: str = "is_train") -> DataFrame:
+    """``split_stratified`` as one table with a boolean ``is_train`` column."""
+    r = rank_within(df, [strata], fn_hash_key(key, seed), key, "_rk")
+    return (r.withColumn(out, F.col("_rk") <= F.ceil(F.col("_rk_n") * (100 - test_pct) / 100))
+            .drop("_rk", "_rk_n"))
+
+
 def global_row_number(df: DataFrame, order_key: Column | str, tiebreak: str,
                       out: str = "rn", salt_bits: int = 10) -> DataFrame:
     """Exact global 1-based row number by (order_key, tiebreak) without a

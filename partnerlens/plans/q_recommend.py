@@ -36,7 +36,7 @@ def topk_sql(pairs: str, out: str, k: int) -> str:
     return f"""
 {out} AS (
   SELECT qid, cid, sim, rank FROM (
-    SELECT *, row_number() OVER (PARTITION BY qid ORDER BY sim DESC, cid) AS rank FROM {pairs}) r
+    SELECT *, row_number() OVER (PARTITION BY qid ORDER BY round(sim, 12) DESC, cid) AS rank FROM {pairs}) r
   WHERE rank <= {k}
 )"""
 

@@ -21,7 +21,9 @@ Binding (fixed; shared by Spark and SQL):
   Feedback_Score          1 + l_tax * 50
   Growth_Percentage       (l_linenumber - 4) * 5
   Date                    o_orderdate
-  row key                 l_orderkey * 8 + l_linenumber  (l_linenumber <= 7)
+  row key                 text of the whole line (order, line number, part, supplier,
+                          amounts in cents, flags, ship date): (l_orderkey,
+                          l_linenumber) alone repeats in the driver's data
   Feedback_Text/Sentiment documents.text / labels.quality (1 -> Positive)
   Feedback partner        1 + doc_id mod (number of suppliers)
 """
@@ -46,6 +48,24 @@ def _geo(spark: SparkSession, d: str) -> DataFrame:
             .select("c_custkey", "c_mktsegment", "r_name"))
 
 
+def row_key():
+    """Identity of a sale line, identical in Spark and DuckDB text form."""
+    cents = lambda c: F.round(F.col(c) * 100).cast("bigint").cast("string")
+    return F.concat_ws("|", F.col("l_orderkey").cast("string"), F.col("l_linenumber").cast("string"),
+                       F.col("l_partkey").cast("string"), F.col("l_suppkey").cast("string"),
+                       cents("l_quantity"), cents("l_extendedprice"), cents("l_discount"), cents("l_tax"),
+                       F.col("l_returnflag"), F.col("l_linestatus"), F.date_format("l_shipdate", "yyyy-MM-dd"))
+
+
+ROW_KEY_SQL = ("concat_ws('|', CAST(l.l_orderkey AS VARCHAR), CAST(l.l_linenumber AS VARCHAR), "
+               "CAST(l.l_partkey AS VARCHAR), CAST(l.l_suppkey AS VARCHAR), "
+               "CAST(CAST(round(l.l_quantity * 100) AS BIGINT) AS VARCHAR), "
+               "CAST(CAST(round(l.l_extendedprice * 100) AS BIGINT) AS VARCHAR), "
+               "CAST(CAST(round(l.l_discount * 100) AS BIGINT) AS VARCHAR), "
+               "CAST(CAST(round(l.l_tax * 100) AS BIGINT) AS VARCHAR), "
+               "l.l_returnflag, l.l_linestatus, strftime(l.l_shipdate, '%Y-%m-%d'))")
+
+
 def _lines(spark: SparkSession, d: str, purchase_only: bool = False) -> DataFrame:
     li = table(spark, d, "lineitem")
     if purchase_only:
@@ -97,7 +117,7 @@ def stockist_long(spark: SparkSession, d: str, purchase_only: bool = False,
     return (_lines(spark, d, purchase_only)
             .join(part, F.col("l_partkey") == F.col("p_partkey"))
             .join(_geo(spark, d), F.col("o_custkey") == F.col("c_custkey"))
-            .select((F.col("l_orderkey") * 8 + F.col("l_linenumber")).alias("row_key"),
+            .select(row_key().alias("row_key"),
                     pid.alias("Partner_id"),
                     F.col("p_brand").alias("Product_id"),
                     F.col("o_orderpriority").alias("Scheme_Type"),
@@ -117,7 +137,7 @@ def stockist_long_sql(purchase_only: bool = False, partner: str = "supplier",
     where = "WHERE l.l_returnflag = 'N' AND l.l_quantity >= 41" if purchase_only else ""
     return f"""
 {name} AS (
-  SELECT l.l_orderkey * 8 + l.l_linenumber AS row_key, {pid} AS Partner_id,
+  SELECT {ROW_KEY_SQL} AS row_key, {pid} AS Partner_id,
          p.p_brand AS Product_id, o.o_orderpriority AS Scheme_Type,
          l.l_extendedprice AS Sales_Value_Last_Period,
          l.l_quantity AS Sales_Quantity_Last_Period,
