@@ -25,7 +25,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window, functions as F, types as T
 
-BLOCK_ROWS = 2048       # ids per block; a block kernel holds BLOCK_ROWS^2 doubles
+BLOCK_ROWS = 4096       # ids per block; a block kernel holds BLOCK_ROWS^2 doubles (128 MB)
 DENSE_SETS_MAX = 4096   # local co-occurrence matrix bound (sets per partition)
 
 
@@ -49,63 +49,83 @@ def cosine_topk(cand: DataFrame, k: int, query: DataFrame | None = None,
     ``query=None`` means all candidates query each other (self excluded when
     ``exclude_self``).  With ``group_cols`` (e.g. a variant key) neighbours
     are searched only inside the same group -- many kNN problems, one job.
+
+    Vectors stay in long form; each dimension is replaced by its integer
+    position in the (bounded) dimension catalog, and the kernel scatters the
+    rows of one block into dense numpy matrices.
     """
     g = list(group_cols)
     query = cand if query is None else query
     id_type = cand.schema[id_col].dataType
-    cand = cand.groupBy(*g, id_col, dim_col).agg(F.sum(val_col).cast("double").alias("val"))
-    query = query.groupBy(*g, id_col, dim_col).agg(F.sum(val_col).cast("double").alias("val"))
-    bq, bc = _n_blocks(query, id_col, block_rows), _n_blocks(cand, id_col, block_rows)
-    # group keys re-aliased on each side: both sides may come from one parent
-    qb = (query.select(*[F.col(c).alias(c) for c in g], F.col(id_col).alias("id"), F.col(dim_col).cast("string").alias("dim"), "val",
-                       F.pmod(F.xxhash64(id_col), F.lit(bq)).cast("int").alias("qb"))
+    dims = (cand.select(F.col(dim_col).cast("string").alias("d"))
+            .union(query.select(F.col(dim_col).cast("string").alias("d"))).distinct()
+            .agg(F.sort_array(F.collect_list("d"))).scalar())          # bounded: the feature catalog
+
+    def indexed(df: DataFrame) -> DataFrame:
+        return (df.groupBy(*g, id_col, F.col(dim_col).cast("string").alias("_d"))
+                .agg(F.sum(val_col).cast("double").alias("val"))
+                .withColumn("_dims", dims)
+                .select(*[F.col(c).alias(c) for c in g], F.col(id_col).alias("id"),
+                        (F.array_position("_dims", F.col("_d")) - 1).cast("int").alias("di"), "val"))
+
+    qd, cd = indexed(query), indexed(cand)
+    bq, bc = _n_blocks(qd, "id", block_rows), _n_blocks(cd, "id", block_rows)
+    # block keys are INT on both sides: the cogroup hash-partitions on them
+    qb = (qd.withColumn("qb", F.pmod(F.xxhash64("id"), F.lit(bq)).cast("int"))
           .withColumn("cb", F.explode(F.sequence(F.lit(0), F.lit(bc - 1), F.lit(1)).cast("array<int>"))))
-    cb = (cand.select(*[F.col(c).alias(c) for c in g], F.col(id_col).alias("id"), F.col(dim_col).cast("string").alias("dim"), "val",
-                      F.pmod(F.xxhash64(id_col), F.lit(bc)).cast("int").alias("cb"))
+    cb = (cd.withColumn("cb", F.pmod(F.xxhash64("id"), F.lit(bc)).cast("int"))
           .withColumn("qb", F.explode(F.sequence(F.lit(0), F.lit(bq - 1), F.lit(1)).cast("array<int>"))))
-    # both sides must agree on key types: the cogroup hash-partitions on them
     fields = [cand.schema[c] for c in g]
     schema = T.StructType([T.StructField(f.name, f.dataType) for f in fields]
                           + [T.StructField("qid", id_type), T.StructField("cid", id_type),
                              T.StructField("sim", T.DoubleType())])
     out_cols = [*g, "qid", "cid", "sim"]
+    tol = 4 * 10.0 ** -RANK_DIGITS
 
     def kernel(qpdf: pd.DataFrame, cpdf: pd.DataFrame) -> pd.DataFrame:
         if qpdf.empty or cpdf.empty:
             return pd.DataFrame({c: pd.Series([], dtype=object) for c in out_cols})
-        dims = pd.Index(pd.unique(np.concatenate([qpdf["dim"].to_numpy(), cpdf["dim"].to_numpy()])))
+        d = int(max(qpdf["di"].max(), cpdf["di"].max())) + 1
         qids, qinv = np.unique(qpdf["id"].to_numpy(), return_inverse=True)
         cids, cinv = np.unique(cpdf["id"].to_numpy(), return_inverse=True)   # ascending ids
-        Q = np.zeros((len(qids), len(dims)))
-        C = np.zeros((len(cids), len(dims)))
-        np.add.at(Q, (qinv, dims.get_indexer(qpdf["dim"])), qpdf["val"].to_numpy())
-        np.add.at(C, (cinv, dims.get_indexer(cpdf["dim"])), cpdf["val"].to_numpy())
-        dots = Q @ C.T
-        denom = np.sqrt(np.outer((Q * Q).sum(1), (C * C).sum(1)))
-        with np.errstate(divide="ignore", invalid="ignore"):
-            sim = np.where(denom > 0, dots / np.where(denom > 0, denom, 1.0), 0.0)
-        valid = np.ones_like(sim, dtype=bool)
-        if exclude_self:
-            valid = qids[:, None] != cids[None, :]
-        key = np.where(valid, -np.round(sim, RANK_DIGITS), np.inf)
+        Q = np.zeros((len(qids), d))
+        C = np.zeros((len(cids), d))
+        Q[qinv, qpdf["di"].to_numpy()] = qpdf["val"].to_numpy()             # (id, dim) unique
+        C[cinv, cpdf["di"].to_numpy()] = cpdf["val"].to_numpy()
+        nq, nc = np.sqrt(np.einsum("ij,ij->i", Q, Q)), np.sqrt(np.einsum("ij,ij->i", C, C))
+        Q /= np.where(nq > 0, nq, 1.0)[:, None]                              # zero rows stay zero
+        C /= np.where(nc > 0, nc, 1.0)[:, None]
+        sim = Q @ C.T
+        if exclude_self:                       # self pairs located by binary search
+            pos = np.minimum(np.searchsorted(cids, qids), len(cids) - 1)
+            hit = np.flatnonzero(cids[pos] == qids)
+            sim[hit, pos[hit]] = -np.inf
         kk = min(k, len(cids))
-        # exact top-kk per row with ties -> lower cid: take every candidate
-        # at or below the kk-th smallest key (ties included), then order
-        # that small set by (row, key, cid) and keep the first kk per row
-        thr = np.partition(key, kk - 1, axis=1)[:, kk - 1:kk]
-        rows, cols = np.nonzero((key <= thr) & valid)
-        o = np.lexsort((cols, key[rows, cols], rows))
-        rows, cols = rows[o], cols[o]
-        first = np.r_[0, np.flatnonzero(np.diff(rows)) + 1]
-        pos = np.arange(len(rows)) - np.repeat(first, np.diff(np.r_[first, len(rows)]))
-        keep = pos < kk
-        rows, cols = rows[keep], cols[keep]
-        out = pd.DataFrame({"qid": qids[rows], "cid": cids[cols], "sim": sim[rows, cols]})
+        # candidates within a tolerance of the kk-th best raw similarity are
+        # a superset of the top kk under 12-decimal rounding; only those are
+        # rounded and ordered by (row, -rounded sim, cid)
+        thr = np.partition(sim, len(cids) - kk, axis=1)[:, len(cids) - kk:len(cids) - kk + 1]
+        rows, cols = np.nonzero(sim >= thr - tol)
+        vals = sim[rows, cols]
+        fin = np.isfinite(vals)
+        rows, cols, vals = rows[fin], cols[fin], vals[fin]
+        o = np.lexsort((cols, -np.round(vals, RANK_DIGITS), rows))
+        rows, cols, vals = rows[o], cols[o], vals[o]
+        first = np.r_[0, np.flatnonzero(np.diff(rows)) + 1] if len(rows) else np.zeros(0, dtype=int)
+        rank = np.arange(len(rows)) - np.repeat(first, np.diff(np.r_[first, len(rows)]))
+        keep = rank < kk
+        out = pd.DataFrame({"qid": qids[rows[keep]], "cid": cids[cols[keep]], "sim": vals[keep]})
         for c in g:
             out.insert(0, c, qpdf[c].iloc[0])
         return out[out_cols]
 
-    part = (qb.groupBy(*g, "qb", "cb").cogroup(cb.groupBy(*g, "qb", "cb"))
+    # one cogroup per (group, query block, candidate block): spread them over
+    # all task slots explicitly (runtime coalescing would pack many heavy
+    # kernels into few tasks because their inputs are small in bytes)
+    keys = [*g, "qb", "cb"]
+    n = 2 * cand.sparkSession.sparkContext.defaultParallelism
+    part = (qb.repartition(n, *keys).groupBy(*keys)
+            .cogroup(cb.repartition(n, *keys).groupBy(*keys))
             .applyInPandas(kernel, schema))
     w = Window.partitionBy(*g, "qid").orderBy(F.round("sim", RANK_DIGITS).desc(), F.col("cid").asc())
     return (part.withColumn("rank", F.row_number().over(w))
