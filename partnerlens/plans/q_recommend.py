@@ -89,13 +89,16 @@ sl AS (SELECT Partner_id, max(CASE WHEN r = 1 THEN Scheme_Type END) AS s1,
               max(CASE WHEN r = 2 THEN Scheme_Type END) AS s2, max(CASE WHEN r = 3 THEN Scheme_Type END) AS s3
        FROM top GROUP BY Partner_id),
 fp AS (SELECT Partner_id, arg_min(Product_id, row_key) AS Product_id FROM train GROUP BY Partner_id),
-tp AS (SELECT DISTINCT Partner_id FROM test)
+tp AS (SELECT DISTINCT Partner_id FROM test),
+ub AS (
 SELECT tp.Partner_id, fp.Product_id, nn.sim AS Similarity_Score,
        coalesce(sl.s1, 'No Scheme') AS Scheme_1, coalesce(sl.s2, 'No Scheme') AS Scheme_2,
        coalesce(sl.s3, 'No Scheme') AS Scheme_3
 FROM tp JOIN nn ON tp.Partner_id = nn.qid
 JOIN fp ON fp.Partner_id = tp.Partner_id
-LEFT JOIN sl ON sl.Partner_id = nn.cid"""
+LEFT JOIN sl ON sl.Partner_id = nn.cid)"""
+USER_BASED_CTE = USER_BASED_SQL
+USER_BASED_SQL = USER_BASED_CTE + "\nSELECT * FROM ub"
 
 USER_COLS = [("Partner_id", "int"), ("Product_id", "text"), ("Similarity_Score", "double"),
              ("Scheme_1", "text"), ("Scheme_2", "text"), ("Scheme_3", "text")]
@@ -117,9 +120,7 @@ SELECT qid AS Partner_id, cid AS Neighbour_id, sim AS Similarity_Score FROM nn""
 def q_nearest_neighbor(spark, d):
     """Rank-1 cosine neighbour of every partner on the engagement-by-scheme matrix."""
     from partnerlens.operators.similarity import cosine_topk
-    from partnerlens.operators.split import split_stratified
-    rows = rc.engagement_rows(stockist_long(spark, d))
-    train, _ = split_stratified(rows, "row_key", "Partner_id")
+    train, _ = rc.user_split(stockist_long(spark, d))
     nn = cosine_topk(rc.scheme_matrix(train), 1)
     return finalize(nn.select(F.col("qid").alias("Partner_id"), F.col("cid").alias("Neighbour_id"),
                               F.col("sim").alias("Similarity_Score")))
@@ -227,9 +228,11 @@ cand AS (SELECT n.qid AS Partner_id, v.dim AS Product_id, min(n.rank) AS first_r
          FROM nn n JOIN vtr v ON v.id = n.cid GROUP BY n.qid, v.dim),
 top AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY Partner_id ORDER BY first_rank, Product_id) AS r
         FROM cand) x WHERE r <= 3),
-recs AS (SELECT Partner_id, """ + arr_text_sql("Product_id", "r") + """ AS Recommended_Products FROM top GROUP BY Partner_id)
-SELECT t.Partner_id, coalesce(r.Recommended_Products, '') AS Recommended_Products
-FROM tep t LEFT JOIN recs r ON t.Partner_id = r.Partner_id"""
+recs AS (SELECT Partner_id, """ + arr_text_sql("Product_id", "r") + """ AS Recommended_Products FROM top GROUP BY Partner_id),
+tog AS (SELECT t.Partner_id, coalesce(r.Recommended_Products, '') AS Recommended_Products
+        FROM tep t LEFT JOIN recs r ON t.Partner_id = r.Partner_id)"""
+TOGGLE_CTE = TOGGLE_SQL
+TOGGLE_SQL = TOGGLE_CTE + "\nSELECT * FROM tog"
 
 
 @register("rec_products_knn_toggle", sql_final(TOGGLE_SQL, [("Partner_id", "int"), ("Recommended_Products", "text")]))
@@ -238,7 +241,7 @@ def q_rec_products_knn_toggle(spark, d):
     return finalize(rc.rec_products_knn_toggle(purchases(spark, d)))
 
 
-def _jaccard_products_sql(include_purchased: bool) -> str:
+def _jaccard_products_cte(include_purchased: bool) -> str:
     excl = "" if include_purchased else """
     AND NOT EXISTS (SELECT 1 FROM test t2 WHERE t2.Partner_id = t.Partner_id AND t2.Product_id = s.b)"""
     return "WITH" + PURCHASES_SQL + f""",
@@ -253,10 +256,14 @@ cand AS (SELECT t.Partner_id, s.b AS Product_id, max(s.sim) AS score
 best AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY Partner_id ORDER BY round(score, 9) DESC, Product_id) AS r
          FROM cand) x WHERE r <= 3),
 recs AS (SELECT Partner_id, """ + arr_text_sql("Product_id", "r") + """ AS Recommended_Products,
-                """ + arr_fixed_sql("score", "r") + """ AS Similarity_Scores FROM best GROUP BY Partner_id)
-SELECT t.Partner_id, coalesce(r.Recommended_Products, '') AS Recommended_Products,
+                """ + arr_fixed_sql("score", "r") + """ AS Similarity_Scores FROM best GROUP BY Partner_id),
+jrec AS (SELECT t.Partner_id, coalesce(r.Recommended_Products, '') AS Recommended_Products,
        coalesce(r.Similarity_Scores, '') AS Similarity_Scores
-FROM (SELECT DISTINCT Partner_id FROM test) t LEFT JOIN recs r ON t.Partner_id = r.Partner_id"""
+FROM (SELECT DISTINCT Partner_id FROM test) t LEFT JOIN recs r ON t.Partner_id = r.Partner_id)"""
+
+
+def _jaccard_products_sql(include_purchased: bool) -> str:
+    return _jaccard_products_cte(include_purchased) + "\nSELECT * FROM jrec"
 
 
 REC_COLS3 = [("Partner_id", "int"), ("Recommended_Products", "text"), ("Similarity_Scores", "text")]

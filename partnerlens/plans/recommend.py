@@ -12,7 +12,8 @@ from pyspark.sql import DataFrame, functions as F
 from partnerlens.functions.scalar import PAD_NO_SCHEME, fn_engagement
 from partnerlens.operators.ranking import ranked_arrays, slots, topn_per_group
 from partnerlens.operators.similarity import cosine_topk, jaccard_pairs, topn_similar
-from partnerlens.operators.split import split_random, split_stratified
+from partnerlens.operators.split import flag_stratified, split_random
+from partnerlens.session import cut_lineage
 
 TOP_N = 3           # fixed value: recommendations per partner / product
 KNN_NEIGHBOURS = 5  # fixed value: neighbours used by the product recommender
@@ -48,8 +49,24 @@ def first_product(train: DataFrame, order_key: str = "row_key") -> DataFrame:
 def rec_user_based(rows: DataFrame, n: int = TOP_N, pad: str = PAD_NO_SCHEME) -> DataFrame:
     """Per test partner: own first product, the nearest partner's cosine
     similarity (engagement by scheme) and that partner's n most used schemes."""
-    rows = engagement_rows(rows)
-    train, test = split_stratified(rows, "row_key", "Partner_id")
+    train, test = user_split(rows)
+    return rec_user_based_split(train, test, n, pad)
+
+
+def user_split(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Engagement rows split 80/20 inside every partner.  The narrow rows are
+    checkpointed once to the shared checkpoint folder: the matrix, the
+    neighbours' schemes, first products and test partners all read them."""
+    narrow = engagement_rows(rows).select("row_key", "Partner_id", "Product_id", "Scheme_Type",
+                                          "Engagement_Score")
+    flagged = cut_lineage(flag_stratified(narrow, "row_key", "Partner_id"))
+    return (flagged.filter(F.col("is_train")).drop("is_train"),
+            flagged.filter(~F.col("is_train")).drop("is_train"))
+
+
+def rec_user_based_split(train: DataFrame, test: DataFrame, n: int = TOP_N,
+                         pad: str = PAD_NO_SCHEME) -> DataFrame:
+    """``rec_user_based`` on an existing split (rows carry Engagement_Score)."""
     nn = (cosine_topk(scheme_matrix(train), 1)
           .select(F.col("qid").alias("Partner_id"), F.col("cid").alias("Neighbour_id"),
                   F.col("sim").alias("Similarity_Score")))
