@@ -1,0 +1,8 @@
+"""Streaming.
+
+The reference processes finite files only (no watermarks, windows, state or
+late data), so no streaming job is part of this package.  The row-local jobs
+(`plans.sentiment.score_text_batches`, the scalar functions) are plain
+DataFrame transformations and apply unchanged to a `readStream` source when
+a caller needs them incrementally.
+"""
