@@ -29,6 +29,13 @@ BLOCK_ROWS = 4096       # ids per block; a block kernel holds BLOCK_ROWS^2 doubl
 DENSE_SETS_MAX = 4096   # local co-occurrence matrix bound (sets per partition)
 
 
+def _parallelism(spark) -> int:
+    try:
+        return spark.sparkContext.defaultParallelism
+    except Exception:  # noqa: BLE001 - Spark Connect sessions have no SparkContext
+        return int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
+
+
 def _n_blocks(df: DataFrame, id_col: str, block_rows: int) -> int:
     n = df.select(id_col).distinct().count()
     return max(1, math.ceil(n / block_rows))
@@ -123,7 +130,7 @@ def cosine_topk(cand: DataFrame, k: int, query: DataFrame | None = None,
     # all task slots explicitly (runtime coalescing would pack many heavy
     # kernels into few tasks because their inputs are small in bytes)
     keys = [*g, "qb", "cb"]
-    n = 2 * cand.sparkSession.sparkContext.defaultParallelism
+    n = 2 * _parallelism(cand.sparkSession)
     part = (qb.repartition(n, *keys).groupBy(*keys)
             .cogroup(cb.repartition(n, *keys).groupBy(*keys))
             .applyInPandas(kernel, schema))
