@@ -163,6 +163,9 @@ def clean_sales(df: DataFrame, product_flags: list[str] | None = None,
     product decoding (wide input only), 8-column projection with NULL rows
     dropped, renames and the positivity filter."""
     df = rename_cols(df)
+    # positivity on the raw columns first: a plain comparison reaches the
+    # parquet scan (pushed filter); NaN passes it and is dropped below
+    df = filter_positive(df, tuple(c for c in ("Price", "Demand") if c in df.columns))
     df = coerce_date_dropna(df, "Date")
     if product_flags:
         df = onehot_decode(df, existing_cols(df, product_flags), "Product_id", all_zero)
