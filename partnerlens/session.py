@@ -9,6 +9,7 @@ from __future__ import annotations
 import os
 import tempfile
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 
 # Configuration a cluster job wants as well: AQE re-plans joins and coalesces
@@ -62,9 +63,15 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
 
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Reliable checkpoint into the shared checkpoint folder (survives
-    executor loss, unlike a local checkpoint)."""
+    executor loss, unlike a local checkpoint).  The parent is persisted
+    (memory, spilling to disk) while the checkpoint is written, otherwise the
+    write would recompute it a second time; it is released afterwards."""
     ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    kept = df.persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        return kept.checkpoint(eager=True)
+    finally:
+        kept.unpersist()
 
 
 def cores(default: int = 8) -> int:
