@@ -22,6 +22,8 @@ DEFAULT_CONF = {
     "spark.ui.enabled": "false",
     "spark.ui.showConsoleProgress": "false",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
+    # checkpoint files are removed once nothing references them any more
+    "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
 }
 
 
