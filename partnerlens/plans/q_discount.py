@@ -407,3 +407,104 @@ FROM ranked WHERE rn = 1""",
 def q_optimal_discounts(spark, d):
     """Revenue-maximising discount per price bucket for every product-region (flagship)."""
     return finalize(dd.optimal_discounts(simulation_of(spark, d)))
+
+
+# ------------------------------------------------------- building blocks
+
+@register("agg_monthly", sql_final(
+    "WITH" + PANEL_SQL + f"\nSELECT Product_id, Geography, {MONTH_TEXT.format(m='mi')} AS YearMonth, Demand, Price,"
+    " Competitor_Price, Discount FROM panel",
+    [("Product_id", "text"), ("Geography", "text"), ("YearMonth", "text"), ("Demand", "double"),
+     ("Price", "double"), ("Competitor_Price", "double"), ("Discount", "double")]))
+def q_agg_monthly(spark, d):
+    """Monthly sums of demand and means of price, competitor price and discount per product-region."""
+    return finalize(panel_of(spark, d).select("Product_id", "Geography", "YearMonth", "Demand", "Price",
+                                              "Competitor_Price", "Discount"))
+
+
+def _grid(spark, d):
+    p = panel_of(spark, d)
+    train, test = dd.split_temporal(p)
+    bounds = (train.groupBy(*dd.KEYS).agg(F.min("YearMonth").alias("m0"), F.max("YearMonth").alias("T"))
+              .join(test.select(*dd.KEYS).distinct(), dd.KEYS, "left_semi")
+              .filter(F.months_between("T", "m0") + 1 >= dd.MIN_GRID_MONTHS))
+    obs = train.select(*dd.KEYS, "YearMonth", "Log_Demand", "Log_Price", "Log_Competitor_Price")
+    return dd.densify_months(bounds, "m0", "T").join(obs, dd.KEYS + ["YearMonth"], "left")
+
+
+@register("densify_months", sql_final(
+    "WITH" + FIT_SQL + f"\nSELECT Product_id, Geography, {MONTH_TEXT.format(m='mi')} AS YearMonth,"
+    " CAST(y IS NOT NULL AS INTEGER) AS observed FROM grid1",
+    [("Product_id", "text"), ("Geography", "text"), ("YearMonth", "text"), ("observed", "int")]))
+def q_densify_months(spark, d):
+    """Regular monthly grid of every fitted group between its first and last train month."""
+    g = _grid(spark, d)
+    return finalize(g.select(*dd.KEYS, "YearMonth", F.col("Log_Demand").isNotNull().cast("int").alias("observed")))
+
+
+@register("ffill_exog", sql_final(
+    "WITH" + FIT_SQL + f"\nSELECT Product_id, Geography, {MONTH_TEXT.format(m='mi')} AS YearMonth,"
+    " p AS Log_Price, c AS Log_Competitor_Price FROM grid1",
+    [("Product_id", "text"), ("Geography", "text"), ("YearMonth", "text"), ("Log_Price", "double"),
+     ("Log_Competitor_Price", "double")]))
+def q_ffill_exog(spark, d):
+    """Exogenous log prices forward-filled over the monthly grid."""
+    g = dd.ffill(_grid(spark, d), ["Log_Price", "Log_Competitor_Price"])
+    return finalize(g.select(*dd.KEYS, "YearMonth", "Log_Price", "Log_Competitor_Price"))
+
+
+@register("seasonal_diff", sql_final(
+    "WITH" + FIT_SQL + f"\nSELECT Product_id, Geography, {MONTH_TEXT.format(m='mi')} AS YearMonth, zy, zp, zc"
+    " FROM grid2 WHERE zy IS NOT NULL AND zp IS NOT NULL AND zc IS NOT NULL",
+    [("Product_id", "text"), ("Geography", "text"), ("YearMonth", "text"), ("zy", "double"), ("zp", "double"),
+     ("zc", "double")]))
+def q_seasonal_diff(spark, d):
+    """First difference minus its 12-month lag for demand and both prices (rows used by the fit)."""
+    g = dd.ffill(_grid(spark, d), ["Log_Price", "Log_Competitor_Price"])
+    z = dd.seasonal_diff(g, {"Log_Demand": "zy", "Log_Price": "zp", "Log_Competitor_Price": "zc"})
+    z = z.filter(F.col("zy").isNotNull() & F.col("zp").isNotNull() & F.col("zc").isNotNull())
+    return finalize(z.select(*dd.KEYS, "YearMonth", "zy", "zp", "zc"))
+
+
+@register("forecast_eval", sql_final(
+    "WITH" + COMPARISONS_SQL + """,
+m AS (SELECT product, region, avg(abs(actual - predicted)) AS mae,
+             sqrt(avg((actual - predicted) * (actual - predicted))) AS rmse,
+             avg(abs((actual - predicted) / actual)) * 100 AS mape
+      FROM comparisons WHERE predicted IS NOT NULL GROUP BY product, region)
+SELECT c.product, c.region, c.date, c.actual, c.predicted, m.mae, m.rmse, m.mape
+FROM comparisons c LEFT JOIN m ON c.product = m.product AND c.region = m.region""",
+    [("product", "text"), ("region", "text"), ("date", "text"), ("actual", "double"), ("predicted", "double"),
+     ("mae", "double"), ("rmse", "double"), ("mape", "double")]))
+def q_forecast_eval(spark, d):
+    """Held-out actual vs predicted rows with their group's MAE / RMSE / MAPE attached."""
+    comp = dd.forecast_eval(panel_of(spark, d))
+    out = comp.join(dd.forecast_metrics(comp), ["product", "region"], "left").select(
+        "product", "region", "date", "actual", "predicted", "mae", "rmse", "mape")
+    return finalize(out)
+
+
+@register("cross_scenarios", sql_final(
+    "WITH" + BUCKETS_SQL + "\nSELECT product, region, bucket, discount_pct FROM sim",
+    [("product", "text"), ("region", "text"), ("bucket", "int"), ("discount_pct", "int")]))
+def q_cross_scenarios(spark, d):
+    """Every price bucket paired with the 11 discount rates (an explode of a fixed array, no cross join)."""
+    return finalize(simulation_of(spark, d).select("product", "region", "bucket", "discount_pct"))
+
+
+@register("argmax_per_group", sql_final(
+    "WITH" + BUCKETS_SQL + """,
+ranked AS (SELECT *, row_number() OVER (PARTITION BY product, region, bucket ORDER BY revenue DESC, discount_pct ASC)
+           AS rn FROM sim2)
+SELECT product, region, bucket, discount_pct AS best_discount_pct, revenue AS max_revenue FROM ranked WHERE rn = 1""",
+    [("product", "text"), ("region", "text"), ("bucket", "int"), ("best_discount_pct", "int"),
+     ("max_revenue", "double")]))
+def q_argmax_per_group(spark, d):
+    """Row with the highest revenue per bucket, first (smallest discount) on ties, via max_by."""
+    sim = simulation_of(spark, d).withColumn("revenue", F.col("price_midpoint") * (1 - F.col("discount_pct") / 100)
+                                             * F.col("predicted_demand"))
+    best = F.max_by(F.struct("discount_pct", "revenue"), F.struct(F.col("revenue"), -F.col("discount_pct")))
+    out = sim.groupBy("product", "region", "bucket").agg(best.alias("b")).select(
+        "product", "region", "bucket", F.col("b.discount_pct").alias("best_discount_pct"),
+        F.col("b.revenue").alias("max_revenue"))
+    return finalize(out)
