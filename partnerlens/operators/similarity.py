@@ -150,39 +150,42 @@ def jaccard_pairs(pairs: DataFrame, set_col: str, elem_col: str) -> DataFrame:
     sizes = d.groupBy("s").agg(F.count(F.lit(1)).alias("n"))
     schema = "a string, b string, inter long"
 
-    def local_counts(batches):
-        frames = [b for b in batches if not b.empty]
-        if not frames:
-            return
-        pdf = pd.concat(frames, ignore_index=True)
+    def counts_of(pdf: pd.DataFrame):
+        """Co-occurrence counts of sets within a frame holding whole elements."""
         sets, sinv = np.unique(pdf["s"].to_numpy(), return_inverse=True)
         elems, einv = np.unique(pdf["e"].to_numpy(), return_inverse=True)
         if len(sets) <= DENSE_SETS_MAX:
-            acc = np.zeros((len(sets), len(sets)))
-            step = max(1, 2_000_000 // max(1, len(sets)))
-            order = np.argsort(einv, kind="stable")
-            einv_s, sinv_s = einv[order], sinv[order]
-            bounds = np.searchsorted(einv_s, np.arange(0, len(elems) + step, step))
-            for lo, hi in zip(bounds[:-1], bounds[1:]):
-                if hi <= lo:
-                    continue
-                e0 = einv_s[lo]
-                m = np.zeros((einv_s[hi - 1] - e0 + 1, len(sets)))
-                m[einv_s[lo:hi] - e0, sinv_s[lo:hi]] = 1.0
-                acc += m.T @ m          # exact: integer counts far below 2**53
+            m = np.zeros((len(elems), len(sets)))
+            m[einv, sinv] = 1.0
+            acc = m.T @ m                     # exact: integer counts far below 2**53
             np.fill_diagonal(acc, 0)
             ia, ib = np.nonzero(acc)
-            yield pd.DataFrame({"a": sets[ia], "b": sets[ib], "inter": acc[ia, ib].astype(np.int64)})
-        else:   # very many sets in one partition: exact pair counts per element chunk
-            g = pd.DataFrame({"s": pdf["s"], "e": einv})
-            for lo in range(0, len(elems), 4096):
-                chunk = g[(g["e"] >= lo) & (g["e"] < lo + 4096)]
-                m = chunk.merge(chunk, on="e")
-                m = m[m["s_x"] != m["s_y"]]
-                c = m.groupby(["s_x", "s_y"]).size().reset_index(name="inter")
-                yield c.rename(columns={"s_x": "a", "s_y": "b"})
-
-    co = (d.repartition("e").mapInPandas(local_counts, schema)
+            return pd.DataFrame({"a": sets[ia], "b": sets[ib], "inter": acc[ia, ib].astype(np.int64)})
+        g = pd.DataFrame({"s": pdf["s"].to_numpy(), "e": einv})    # very many sets: exact pair counts
+        mm = g.merge(g, on="e")
+        mm = mm[mm["s_x"] != mm["s_y"]]
+        return (mm.groupby(["s_x", "s_y"]).size().reset_index(name="inter")
+                .rename(columns={"s_x": "a", "s_y": "b"}))
+
+    def local_counts(batches):
+        """Batches arrive sorted by element: all rows of an element are
+        contiguous, so only the last element of a batch is carried into the
+        next one and memory stays bounded by a batch."""
+        carry = None
+        for b in batches:
+            if b.empty:
+                continue
+            if carry is not None:
+                b = pd.concat([carry, b], ignore_index=True)
+            last = b["e"].iloc[-1]
+            tail = b["e"].to_numpy() == last
+            carry, done = b[tail], b[~tail]
+            if not done.empty:
+                yield counts_of(done)
+        if carry is not None and not carry.empty:
+            yield counts_of(carry)
+
+    co = (d.repartition("e").sortWithinPartitions("e").mapInPandas(local_counts, schema)
           .groupBy("a", "b").agg(F.sum("inter").alias("inter")))
     sa = sizes.select(F.col("s").alias("a"), F.col("n").alias("size_a"))
     sb = sizes.select(F.col("s").alias("b"), F.col("n").alias("size_b"))

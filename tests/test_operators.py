@@ -226,3 +226,26 @@ def test_result_independent_of_shuffle_partitions(spark):
     finally:
         spark.conf.set("spark.sql.shuffle.partitions", old)
     assert a == b
+
+
+def test_jaccard_streamed_batches_match_single_batch(spark):
+    rng = np.random.default_rng(3)
+    rows = [(f"s{int(rng.integers(0, 6))}", int(rng.integers(0, 40))) for _ in range(300)]
+    pairs = spark.createDataFrame(rows, "s string, e int")
+    full = sorted(map(tuple, jaccard_pairs(pairs, "s", "e").collect()))
+    old = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    try:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "3")   # elements span batches
+        small = sorted(map(tuple, jaccard_pairs(pairs, "s", "e").collect()))
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", old)
+    brute = {}
+    sets = {}
+    for s_, e_ in set(rows):
+        sets.setdefault(s_, set()).add(e_)
+    for a in sets:
+        for b in sets:
+            if a != b and sets[a] & sets[b]:
+                brute[(a, b)] = len(sets[a] & sets[b]) / len(sets[a] | sets[b])
+    assert full == small
+    assert {(r[0], r[1]): r[5] for r in full} == pytest.approx(brute)
