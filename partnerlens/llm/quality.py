@@ -25,6 +25,8 @@ SYMBOLS = "#*$%&|<>"
 WINDOW = 8
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_distinct", "n_same_next",
           "n_letters")
+START = (0.5, 0.975)  # chance that a rule's vote on a bad and on a good text is good
+PRIOR = (0.2, 0.8)  # bad, good
 _LETTERS = re.compile(r"[^\W\d_]+")
 
 
@@ -59,55 +61,56 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def votes() -> dict[str, Column]:
-    """Rule -> vote.  A rule abstains where its evidence is thin or says little
-    (a text may be fine without proving it)."""
+    """Rule -> vote.  A rule abstains where its evidence is thin or lies
+    between its bounds.  No trouble shows in more than three of them, so that no
+    one kind of bad text outweighs the others in EM, which takes the votes of
+    a class as independent."""
     n, c = F.col("n_words"), F.col
     per = lambda a, b: F.try_divide(c(a), c(b))
 
-    def rule(bad: Column, good: Column, weak: Column) -> Column:
-        return F.when(weak, 0).when(bad, -1).when(good, 1).otherwise(0)
+    def rule(bad: Column, good: Column, enough: Column) -> Column:
+        return F.when(~enough, 0).when(bad, -1).when(good, 1).otherwise(0)
 
-    few = n < 5
+    symbols, letters, length = per("n_symbols", "word_chars"), per("n_letters", "word_chars"), per("word_chars", "n_words")
+    variety, runs, lines = per("n_distinct", "n_words"), per("n_same_next", "n_words"), per("n_dup_lines", "n_lines")
+    marks, lined = per("n_symbols", "n_words"), c("n_lines") >= 3
     return {
-        "symbols": rule(per("n_symbols", "word_chars") > 0.05, per("n_symbols", "word_chars") < 0.01, few),
-        "word_length": rule((per("word_chars", "n_words") < 2.5) | (per("word_chars", "n_words") > 9.5),
-                            per("word_chars", "n_words").between(3.5, 7.0), few),
-        "lines": rule(per("n_dup_lines", "n_lines") > 0.3, per("n_dup_lines", "n_lines") < 0.1, c("n_lines") < 3),
-        "repeats": rule(100 * c("n_repeat_words") > 30 * n, 100 * c("n_repeat_words") < 5 * n, n < 2 * WINDOW),
-        "variety": rule((per("n_distinct", "n_words") < 0.3) & (n < 2000), per("n_distinct", "n_words") > 0.45, n < 20),
-        "runs": rule(per("n_same_next", "n_words") > 0.2, per("n_same_next", "n_words") < 0.05, few),
-        "letters": rule(per("n_letters", "word_chars") < 0.6, per("n_letters", "word_chars") > 0.8, few),
-        "length": rule(n < 20, n > 40, n < 0),
+        "symbols": rule(symbols > 0.05, symbols < 0.01, n >= 5),
+        "marks": rule(marks > 0.4, marks < 0.1, n >= 5),
+        "letters": rule(letters < 0.75, letters > 0.88, n >= 5),
+        "word_length": rule((length < 3) | (length > 7.5), length.between(3.5, 6.5), n >= 5),
+        "repetition": rule((100 * c("n_repeat_words") > 30 * n) | (lined & (lines > 0.4)),
+                           (100 * c("n_repeat_words") < 5 * n) & ~(lined & (lines > 0.1)), n >= 2 * WINDOW),
+        "variety": rule(((variety < 0.3) & (n < 2000)) | (runs > 0.2), (variety > 0.45) & (runs < 0.05), n >= 20),
     }
 
 
-def fit(patterns: list[tuple[tuple[int, ...], int]], rounds: int = 200, start: float = 0.85,
+def fit(patterns: list[tuple[tuple[int, ...], int]], rounds: int = 200,
         strength: float = 10.0) -> dict[tuple[int, ...], float]:
     """Vote pattern -> posterior probability of a good text.
 
-    EM for two classes with, per rule and class, the probabilities of its
-    three votes.  It starts with every rule right ``start`` of the time it
-    votes, and that belief counts as ``strength`` texts of each class, which
-    keeps the classes from changing sides and settles rules that never vote."""
+    EM for two classes with, per rule and class, the probability that a vote
+    cast is good; an abstention tells nothing.  It starts from START (false
+    alarms are rare; a bad text need not trouble every rule), and that belief
+    counts as ``strength`` texts of each class, which keeps the classes from
+    changing sides and settles rules that never vote."""
     if not patterns:
         return {}
     v = np.array([p for p, _ in patterns])
     w = np.array([float(c) for _, c in patterns])
-    onehot = np.stack([(v == s) for s in (-1, 0, 1)], axis=2).astype(float)  # pattern, rule, vote
-    belief = np.array([[(1 - 0.2) * start, 0.2, (1 - 0.2) * (1 - start)], [(1 - 0.2) * (1 - start), 0.2, (1 - 0.2) * start]])
-    prob = np.repeat(belief[:, None, :], v.shape[1], axis=1)  # class (bad, good), rule, vote
-    prior = np.array([0.2, 0.8])
+    up, down = (v == 1).astype(float), (v == -1).astype(float)
+    belief = np.repeat(np.array(START)[:, None], v.shape[1], axis=1)  # class (bad, good), rule
+    good, prior = belief.copy(), np.array(PRIOR)
     for _ in range(rounds):
-        log = np.einsum("prs,crs->pc", onehot, np.log(prob)) + np.log(prior)
+        log = up @ np.log(good).T + down @ np.log(1 - good).T + np.log(prior)
         post = np.exp(log - log.max(axis=1, keepdims=True))
         post /= post.sum(axis=1, keepdims=True)
-        mass = post * w[:, None]
-        new = np.einsum("pc,prs->crs", mass, onehot) + strength * belief[:, None, :]
-        new /= new.sum(axis=2, keepdims=True)
-        prior = (mass.sum(axis=0) + strength * np.array([0.2, 0.8])) / (w.sum() + strength)
-        if np.abs(new - prob).max() < 1e-9:
+        mass = (post * w[:, None]).T
+        new = (mass @ up + strength * belief) / (mass @ (up + down) + strength)
+        prior = (mass.sum(axis=1) + strength * np.array(PRIOR)) / (w.sum() + strength)
+        if np.abs(new - good).max() < 1e-9:
             break
-        prob = new
+        good = new
     return {p: float(g) for (p, _), g in zip(patterns, post[:, 1])}
 
 
