@@ -106,12 +106,29 @@ def _find_anchors(window: int):
     return run
 
 
-def _automaton(phrases: set[tuple[int, ...]]):
-    a = ahocorasick.Automaton(ahocorasick.STORE_LENGTH, ahocorasick.KEY_SEQUENCE)
-    for p in phrases:
-        a.add_word(p)
+def _letters(ids: np.ndarray, width: int, bits: int) -> str:
+    """Word numbers as text: ``width`` letters each, a set of letters of its own
+    for every position, so that phrases match at word bounds only.  Few letters
+    keep the fan-out of the automaton's nodes small."""
+    digits = (ids[..., None] >> (bits * np.arange(width))) & ((1 << bits) - 1)
+    return (digits + (np.arange(width) << bits)).astype("<u4").tobytes().decode("utf-32-le")
+
+
+def occurrences(seq: np.ndarray, phrases: np.ndarray, words: int) -> np.ndarray:
+    """Positions in ``seq`` of the last word of every occurrence of a phrase
+    (rows of ``phrases``), by one pass through an Aho-Corasick automaton.
+    Word numbers are below ``words``; negative ones stand for no word."""
+    bits = 6
+    width = max(1, -(-(words + 1).bit_length() // bits))
+    if width > 4:  # more than 16 million distinct words in a block
+        width, bits = 4, -(-(words + 1).bit_length() // 4)
+    step = width * phrases.shape[1]
+    every = _letters(phrases + 1, width, bits)
+    a = ahocorasick.Automaton(ahocorasick.STORE_LENGTH)
+    for i in range(0, len(every), step):
+        a.add_word(every[i:i + step])
     a.make_automaton()
-    return a
+    return np.fromiter((e for e, _ in a.iter(_letters(seq + 1, width, bits))), np.int64) // width
 
 
 PLACES = "__block int, __h1 long, __h2 long, __doc long, __start int, __run int, __ord int, __copy long"
@@ -126,10 +143,8 @@ def _find_windows(window: int):
             at, h = b.anchors(window)
             known = np.sort(recurring.column("__hash").drop_null().to_numpy().view(np.uint64))
             at = at[np.isin(h, known)]
-            phrases = set(map(tuple, (b.seq[at[:, None] + np.arange(ANCHOR)] + 1).tolist()))
-            if phrases:
-                # words are numbered from 1 here, the separator is 0 and in no phrase
-                ends = np.fromiter((e for e, _ in _automaton(phrases).iter(tuple((b.seq + 1).tolist()))), np.int64)
+            if len(at):
+                ends = occurrences(b.seq, b.seq[at[:, None] + np.arange(ANCHOR)], len(b.vocab))
                 near = spread(np.maximum(ends + 1 - window, 0), np.minimum(ends + 1, window) - ANCHOR + 1, len(b.seq))
                 ok = b.inside(window)
                 w = np.flatnonzero(near[:len(ok)] & ok)

@@ -68,7 +68,6 @@ def sliding(a: np.ndarray, w: int, op) -> np.ndarray:
 
 def spread(starts: np.ndarray, lengths, n: int) -> np.ndarray:
     """Boolean mask of length n that covers [start, start + length)."""
-    d = np.zeros(n + 1, dtype=np.int64)
-    np.add.at(d, starts, 1)
-    np.add.at(d, np.minimum(starts + lengths, n), -1)
-    return np.cumsum(d[:n]) > 0
+    up = np.bincount(starts, minlength=n + 1)[:n]
+    down = np.bincount(np.minimum(starts + lengths, n), minlength=n + 1)[:n]
+    return np.cumsum(up - down) > 0
