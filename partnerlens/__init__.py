@@ -8,7 +8,7 @@ operators  reusable DataFrame -> DataFrame building blocks (cleaning,
            reshaping, splits, ranking, similarity kernels)
 plans      end-to-end jobs (discount, recommenders, schemes, evaluation,
            explanation, sentiment) and the query registry
-streaming  incremental (Structured Streaming) forms of the row-local jobs
+llm        operators for training corpora; nothing else imports it
 """
 
 __all__ = ["session"]

@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from partnerlens.functions.scalar import fn_hash_key, fn_hash_pct
+from partnerlens.session import cut_lineage
 
 TEST_PCT = 20      # fixed value: 80/20 splits
 SEED = 42          # fixed value: split seed
@@ -45,7 +46,10 @@ def rank_within(df: DataFrame, part_cols: list[str], order_key: Column | str,
                                        F.lit(0)).alias("_off"),
                             F.sum("_cnt").over(Window.partitionBy(*part_cols)).alias("_n"))
     inner = Window.partitionBy(*part_cols, "_sb").orderBy("_ok", tiebreak)
-    return (d.join(offsets, part_cols + ["_sb"])
+    mine = [F.col(f"_o{i}") for i in range(len(part_cols) + 1)]
+    offsets = offsets.select(*[F.col(c).alias(f"_o{i}") for i, c in enumerate([*part_cols, "_sb"])], "_off", "_n")
+    same = [F.col(c).eqNullSafe(o) for c, o in zip([*part_cols, "_sb"], mine)]      # a null group is a group
+    return (d.join(offsets, same).drop(*[f"_o{i}" for i in range(len(mine))])
             .withColumn(out, F.col("_off") + F.row_number().over(inner))
             .withColumnRenamed("_n", f"{out}_n")
             .drop("_ok", "_sb", "_off"))
@@ -68,18 +72,21 @@ def flag_stratified(df: DataFrame, key: str, strata: str, test_pct: int = TEST_P
             .drop("_rk", "_rk_n"))
 
 
-def global_row_number(df: DataFrame, order_key: Column | str, tiebreak: str,
-                      out: str = "rn", salt_bits: int = 10) -> DataFrame:
+def global_row_number(df: DataFrame, order_key: Column | str, tiebreak: str, out: str = "rn") -> DataFrame:
     """Exact global 1-based row number by (order_key, tiebreak) without a
-    single-partition window: the key range is cut into 2**salt_bits equal
-    slices (bounds from a scalar subquery), slices are counted, prefix sums
-    give each slice's offset, and rows are numbered inside their slice."""
+    single-partition window: rows are dealt into key ranges with sampled
+    bounds (so neither sparse nor crowded keys make one large), the ranges are
+    written once and counted, and rows are numbered inside their range."""
     k = F.col(order_key) if isinstance(order_key, str) else order_key
-    b = df.select(k.alias("_k")).agg(F.struct(F.min("_k").alias("lo"), F.max("_k").alias("hi"))).scalar()
-    width = (b["hi"] - b["lo"] + 1) / F.lit(2 ** salt_bits)
-    bucket = F.floor((k - b["lo"]) / width).cast("bigint")
-    return rank_within(df.withColumn("_all", F.lit(0)), ["_all"], k, tiebreak, out,
-                       salt_bits, bucket=bucket).drop("_all", f"{out}_n")
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = cut_lineage(df.withColumn("_ok", k).repartitionByRange(parts, "_ok", tiebreak)
+                        .withColumn("_sb", F.spark_partition_id()))
+    sizes = dealt.groupBy("_sb").agg(F.count(F.lit(1)).alias("_cnt"))
+    before = Window.orderBy("_sb").rowsBetween(Window.unboundedPreceding, -1)      # one row per range
+    offsets = sizes.select("_sb", F.coalesce(F.sum("_cnt").over(before), F.lit(0)).alias("_off"))
+    inner = Window.partitionBy("_sb").orderBy("_ok", tiebreak)
+    return (dealt.join(offsets, "_sb").withColumn(out, F.col("_off") + F.row_number().over(inner))
+            .drop("_ok", "_sb", "_off"))
 
 
 def sample_rows(df: DataFrame, key: str, n: int, seed: int = SEED) -> DataFrame:

@@ -3,7 +3,7 @@ each on the bound driver tables with its DuckDB twin."""
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
+from pyspark.sql import Window, functions as F
 
 from partnerlens.functions.scalar import fn_engagement, hash_key_sql, hash_pct_sql
 from partnerlens.operators.clean import onehot_decode, profile_columns
@@ -173,7 +173,8 @@ def q_value_counts(spark, d):
     """Scheme frequency per partner, ranked descending (ties by name)."""
     train, _ = rc.user_split(stockist_long(spark, d))
     c = train.groupBy("Partner_id", "Scheme_Type").agg(F.count(F.lit(1)).alias("cnt"))
-    return finalize(topn_per_group(c, ["Partner_id"], [F.col("cnt").desc(), F.col("Scheme_Type").asc()], 10 ** 6))
+    order = Window.partitionBy("Partner_id").orderBy(F.col("cnt").desc(), "Scheme_Type")
+    return finalize(c.withColumn("rank", F.row_number().over(order)))
 
 
 @register("topn_per_group", sql_final(ENG_SQL + """,

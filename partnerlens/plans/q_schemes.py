@@ -12,12 +12,12 @@ from partnerlens.sources.bindings import PURCHASES_SQL, purchases, stockist_long
 
 
 def scheme_rows(spark, d):
-    """Rows of the indirect approach: one record per purchase line with the
+    """Rows of the indirect approach: one record per sale line with the
     partner (customer), product (brand), scheme and sales."""
-    return stockist_long(spark, d, purchase_only=True, partner="customer")
+    return stockist_long(spark, d, partner="customer")
 
 
-ROWS_SQL = stockist_long_sql(True, "customer", "srows")
+ROWS_SQL = stockist_long_sql(False, "customer", "srows")
 
 SIMPLE_SQL_CTE = ROWS_SQL + """,
 sw AS (SELECT Product_id, unnest(string_split(Scheme_Type, ', ')) AS Scheme, Sales_Quantity_Last_Period AS q
@@ -51,7 +51,7 @@ def q_weighted_counter(spark, d):
 
 
 VALUE_SQL_CTE = ROWS_SQL + """,
-vg AS (SELECT Partner_id, Product_id, Scheme_Type, sum(Sales_Value_Last_Period) AS v
+vg AS (SELECT Partner_id, Product_id, Scheme_Type, sum(Sales_Value_Last_Period) AS v, sum(Sales_Quantity_Last_Period) AS q
        FROM srows GROUP BY Partner_id, Product_id, Scheme_Type),
 vs AS (SELECT Product_id, Scheme_Type, sum(v) AS value FROM vg GROUP BY Product_id, Scheme_Type),
 vtop AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY Product_id ORDER BY value DESC, Scheme_Type) AS r
@@ -77,13 +77,15 @@ def q_agg_scheme_sales(spark, d):
 
 
 @register("agg_partner_product_scheme", sql_final(
-    "WITH" + VALUE_SQL_CTE + "\nSELECT Partner_id, Product_id, Scheme_Type, v AS Sales_Value_Last_Period FROM vg",
-    [("Partner_id", "int"), ("Product_id", "text"), ("Scheme_Type", "text"), ("Sales_Value_Last_Period", "double")]))
+    "WITH" + VALUE_SQL_CTE + "\nSELECT Partner_id, Product_id, Scheme_Type, v AS Sales_Value_Last_Period, q AS Sales_Quantity_Last_Period FROM vg",
+    [("Partner_id", "int"), ("Product_id", "text"), ("Scheme_Type", "text"), ("Sales_Value_Last_Period", "double"),
+     ("Sales_Quantity_Last_Period", "double")]))
 def q_agg_pps(spark, d):
-    """Summed sales value by partner, product and scheme."""
+    """Summed sales value and quantity by partner, product and scheme."""
     r = scheme_rows(spark, d)
     return finalize(r.groupBy("Partner_id", "Product_id", "Scheme_Type")
-                    .agg(F.sum("Sales_Value_Last_Period").alias("Sales_Value_Last_Period")))
+                    .agg(F.sum("Sales_Value_Last_Period").alias("Sales_Value_Last_Period"),
+                         F.sum("Sales_Quantity_Last_Period").alias("Sales_Quantity_Last_Period")))
 
 
 @register("join_partners_schemes", sql_final("WITH" + SIMPLE_SQL_CTE + """
@@ -145,14 +147,16 @@ def q_melt_products(spark, d):
     return finalize(sc.melt_products(wide, ["Partner_id"], products))
 
 
-@register("multilabel_binarize", """SELECT * FROM (
-  PIVOT (SELECT DISTINCT Scheme_Type, Product_id FROM (""" + "WITH" + stockist_long_sql() + """
-         SELECT * FROM stockist) s) ON Product_id USING count(*) GROUP BY Scheme_Type)""")
+@register("multilabel_binarize", sql_final("WITH" + stockist_long_sql() + """,
+pairs AS (SELECT DISTINCT Scheme_Type, Product_id FROM stockist)
+SELECT s.Scheme_Type, p.Product_id, CASE WHEN x.Product_id IS NULL THEN 0 ELSE 1 END AS flag
+FROM (SELECT DISTINCT Scheme_Type FROM pairs) s CROSS JOIN (SELECT DISTINCT Product_id FROM pairs) p
+LEFT JOIN pairs x ON x.Scheme_Type = s.Scheme_Type AND x.Product_id = p.Product_id""",
+    [("Scheme_Type", "text"), ("Product_id", "text"), ("flag", "int")]))
 def q_multilabel_binarize(spark, d):
-    """Scheme x product 0/1 matrix (one column per product, sorted labels)."""
-    r = stockist_long(spark, d).select("Scheme_Type", "Product_id").distinct()
-    wide = r.groupBy("Scheme_Type").pivot("Product_id").agg(F.count(F.lit(1)))
-    return finalize(wide.na.fill(0))
+    """Scheme x product 0/1 matrix in long form, zeros included."""
+    pairs = stockist_long(spark, d).select("Scheme_Type", "Product_id").distinct()
+    return finalize(sc.multilabel_binarize(pairs, "Scheme_Type", "Product_id"))
 
 
 @register("agg_set_products", sql_final("WITH" + stockist_long_sql() + """

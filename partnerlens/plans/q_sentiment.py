@@ -16,18 +16,21 @@ ID, TEXT, LABEL = "Feedback_ID", "Feedback_Text", "Sentiment"
 
 
 def scored(spark, d, alpha: float = 1.0):
+    """All texts scored by weights learnt on the labelled train split, and the
+    labelled texts held out of it."""
     fb = feedback(spark, d)
-    train, test = split_random(fb, ID)
+    train, test = split_random(fb.filter(F.col(LABEL).isNotNull()), ID)
     w, prior = st.train_token_weights(train, ID, TEXT, LABEL, alpha)
-    return test, st.score_with_weights(test, ID, TEXT, w, prior), w
+    return fb, test, st.score_with_weights(fb, ID, TEXT, w, prior), w
 
 
 def _scorer_sql(alpha: str = "1.0", suffix: str = "") -> str:
     """CTEs: token weights learnt on the train split and test scores."""
     s = suffix
     return f"""
-tr{s} AS (SELECT * FROM feedback WHERE {hash_pct_sql('Feedback_ID')} >= 20),
-te{s} AS (SELECT * FROM feedback WHERE {hash_pct_sql('Feedback_ID')} < 20),
+tr{s} AS (SELECT * FROM feedback WHERE Sentiment IS NOT NULL AND {hash_pct_sql('Feedback_ID')} >= 20),
+he{s} AS (SELECT Feedback_ID FROM feedback WHERE Sentiment IS NOT NULL AND {hash_pct_sql('Feedback_ID')} < 20),
+te{s} AS (SELECT * FROM feedback),
 tk{s} AS (SELECT Feedback_ID, token, count(*) AS n FROM (
           SELECT Feedback_ID, unnest(regexp_split_to_array(lower(Feedback_Text), '[^\\p{{L}}\\p{{N}}]+')) AS token
           FROM tr{s}) x WHERE token <> '' GROUP BY Feedback_ID, token),
@@ -47,7 +50,7 @@ ss{s} AS (SELECT ttk{s}.Feedback_ID, sum(n * w) AS s FROM ttk{s} JOIN w{s} ON tt
 sc{s} AS (SELECT t.Feedback_ID, t.Sentiment, t.Partner_id,
                1 / (1 + exp(-(pr{s}.prior + coalesce(ss{s}.s, 0.0)))) AS score
         FROM te{s} t LEFT JOIN ss{s} ON t.Feedback_ID = ss{s}.Feedback_ID, pr{s}),
-lab{s} AS (SELECT *, CASE WHEN score >= 0.5 THEN 'Positive' ELSE 'Negative' END AS label FROM sc{s})"""
+lab{s} AS (SELECT *, Feedback_ID IN (SELECT Feedback_ID FROM he{s}) AS held, CASE WHEN score >= 0.5 THEN 'Positive' ELSE 'Negative' END AS label FROM sc{s})"""
 
 
 SCORER_SQL = "WITH" + FEEDBACK_SQL + "," + _scorer_sql()
@@ -56,8 +59,8 @@ SCORER_SQL = "WITH" + FEEDBACK_SQL + "," + _scorer_sql()
 @register("token_weight_scorer", sql_final(SCORER_SQL + "\nSELECT Feedback_ID, score, label FROM lab", [
     ("Feedback_ID", "int"), ("score", "double"), ("label", "text")]))
 def q_token_weight_scorer(spark, d):
-    """Token-weight sentiment scores for the held-out labelled feedback (whole texts)."""
-    _, s, _ = scored(spark, d)
+    """Token-weight sentiment scores of all feedback (whole texts)."""
+    _, _, s, _ = scored(spark, d)
     return finalize(s)
 
 
@@ -96,37 +99,37 @@ REPORT_COLS = [("label", "text"), ("precision", "double"), ("recall", "double"),
                ("support", "double")]
 
 
-@register("sentiment_eval", sql_final(SCORER_SQL + ",\nev AS (SELECT Sentiment AS t, label AS p FROM lab)," +
+@register("sentiment_eval", sql_final(SCORER_SQL + ",\nev AS (SELECT Sentiment AS t, label AS p FROM lab WHERE held)," +
                                       _report_sql("ev") + "\nSELECT * FROM report", REPORT_COLS))
 def q_sentiment_eval(spark, d):
     """Classification report of the token-weight scorer against the labels."""
-    test, s, _ = scored(spark, d)
+    _, test, s, _ = scored(spark, d)
     ev = test.select(ID, LABEL).join(s, ID)
     return finalize(classification_report(ev, LABEL, "label"))
 
 
 @register("classification_report", sql_final(
     "WITH" + FEEDBACK_SQL + "," + _scorer_sql("1.0", "") + "," + _scorer_sql("5.0", "5") + """,
-ev AS (SELECT 'alpha_1' AS model, Sentiment AS t, label AS p FROM lab
-       UNION ALL SELECT 'alpha_5', Sentiment, label FROM lab5),""" + _report_sql("ev", "model") +
+ev AS (SELECT 'alpha_1' AS model, Sentiment AS t, label AS p FROM lab WHERE held
+       UNION ALL SELECT 'alpha_5', Sentiment, label FROM lab5 WHERE held),""" + _report_sql("ev", "model") +
     "\nSELECT * FROM report", [("model", "text")] + REPORT_COLS))
 def q_classification_report(spark, d):
     """Reports for several models in one job (two smoothing strengths of the token scorer)."""
-    test, s1, _ = scored(spark, d, 1.0)
-    _, s5, _ = scored(spark, d, 5.0)
+    _, test, s1, _ = scored(spark, d, 1.0)
+    _, _, s5, _ = scored(spark, d, 5.0)
     ev = (s1.withColumn("model", F.lit("alpha_1")).unionByName(s5.withColumn("model", F.lit("alpha_5")))
           .join(test.select(ID, LABEL), ID))
     return finalize(classification_report(ev, LABEL, "label", model_col="model"))
 
 
 @register("token_attribution", sql_final(SCORER_SQL + f""",
-pick AS (SELECT Feedback_ID FROM te ORDER BY {hash_key_sql('Feedback_ID')}, Feedback_ID LIMIT 3)
+pick AS (SELECT Feedback_ID FROM he ORDER BY {hash_key_sql('Feedback_ID')}, Feedback_ID LIMIT 3)
 SELECT ttk.Feedback_ID, ttk.token, ttk.n, w.w, ttk.n * w.w AS contribution
 FROM ttk JOIN w ON ttk.token = w.token WHERE ttk.Feedback_ID IN (SELECT Feedback_ID FROM pick)""",
     [("Feedback_ID", "int"), ("token", "text"), ("n", "int"), ("w", "double"), ("contribution", "double")]))
 def q_token_attribution(spark, d):
     """Per-token contributions to the score of 3 sampled held-out texts (exact for this scorer)."""
-    test, _, w = scored(spark, d)
+    _, test, _, w = scored(spark, d)
     picked = sample_rows(test.select(ID, TEXT), ID, 3)
     return finalize(st.token_attribution(picked, ID, TEXT, w))
 
@@ -145,7 +148,7 @@ def q_batch_number(spark, d):
 
 @register("llm_batch_prompts", sql_final(BATCH_SQL + """
 SELECT batch_id, '""" + st.PROMPT_HEAD.replace("'", "''") + """' ||
-       string_agg(CAST(pos AS VARCHAR) || '. ' || Feedback_Text, chr(10) || chr(10) ORDER BY pos) AS prompt
+       string_agg(CAST(pos AS VARCHAR) || '. ' || coalesce(Feedback_Text, ''), chr(10) || chr(10) ORDER BY pos) AS prompt
 FROM bt GROUP BY batch_id""", [("batch_id", "int"), ("prompt", "text")]))
 def q_llm_batch_prompts(spark, d):
     """One numbered prompt per batch of 50 feedback texts."""
@@ -155,13 +158,15 @@ def q_llm_batch_prompts(spark, d):
 @register("llm_parse_replies", sql_final(SCORER_SQL + """,
 bn AS (SELECT *, row_number() OVER (ORDER BY Feedback_ID) AS rn FROM lab),
 bt AS (SELECT *, CAST((rn - 1) // 50 AS BIGINT) AS batch_id, CAST((rn - 1) % 50 + 1 AS INTEGER) AS pos FROM bn)
-SELECT Feedback_ID, batch_id, pos, label, CAST(""" + fixed_text_sql("score", 2) + """ AS DOUBLE) AS score FROM bt""",
+SELECT Feedback_ID, batch_id, pos, CASE WHEN Feedback_ID % 11 = 3 THEN 'Negative' ELSE label END AS label,
+       CASE WHEN Feedback_ID % 11 = 3 THEN 0.0 ELSE CAST(""" + fixed_text_sql("score", 2) + """ AS DOUBLE) END AS score FROM bt""",
     [("Feedback_ID", "int"), ("batch_id", "int"), ("pos", "int"), ("label", "text"), ("score", "double")]))
 def q_llm_parse_replies(spark, d):
-    """Replies in the 'n: Label, score' protocol (replayed from stored scores) parsed and re-attached by position."""
-    _, s, _ = scored(spark, d)
+    """Replies in the 'n: Label, score' protocol (replayed from stored scores, one line in eleven spoiled) parsed and
+    re-attached by position."""
+    _, _, s, _ = scored(spark, d)
     b = st.batch_number(s, ID)
-    parsed = st.parse_replies(st.reply_text(b))
+    parsed = st.parse_replies(st.reply_text(b, F.pmod(F.col(ID), F.lit(11)) == 3))
     out = st.attach_replies(b.select(ID, "batch_id", "pos"), parsed)
     return finalize(out.select(ID, "batch_id", "pos", "label", "score"))
 
@@ -173,8 +178,8 @@ FROM supplier s LEFT JOIN lab l ON s.s_suppkey = l.Partner_id""",
      ("Feedback_Score_model", "double")]))
 def q_sentiment_enrich(spark, d):
     """Partners left-joined with their scored feedback (model score under its own name)."""
-    test, s, _ = scored(spark, d)
-    sc = s.join(test.select(ID, "Partner_id"), ID)
+    fb, _, s, _ = scored(spark, d)
+    sc = s.join(fb.select(ID, "Partner_id"), ID)
     sup = table(spark, d, "supplier").select(F.col("s_suppkey").alias("Partner_id"), "s_name")
     out = sup.join(sc, "Partner_id", "left").select(
         "Partner_id", "s_name", ID, F.col("label").alias("gpt_prediction"),

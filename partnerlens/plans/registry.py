@@ -32,7 +32,7 @@ class Query:
 REGISTRY: dict[str, Query] = {}
 
 _MODULES = ("q_discount", "q_clean", "q_schemes", "q_recommend", "q_evaluate",
-            "q_explain", "q_sentiment", "q_io")
+            "q_explain", "q_sentiment")
 
 
 def register(qid: str, sql: str | None = None):
@@ -46,11 +46,7 @@ def register(qid: str, sql: str | None = None):
 
 def load_all() -> dict[str, Query]:
     for m in _MODULES:
-        try:
-            importlib.import_module(f"partnerlens.plans.{m}")
-        except ModuleNotFoundError as e:  # module not written yet
-            if e.name != f"partnerlens.plans.{m}":
-                raise
+        importlib.import_module(f"partnerlens.plans.{m}")
     return REGISTRY
 
 

@@ -49,10 +49,7 @@ def scheme_rank_value(rows: DataFrame, n: int = TOP_N) -> DataFrame:
     """Per product: the n schemes with the largest summed sales value -- the
     optimum of max sum(c_i x_i) s.t. 0 <= x_i <= 1, sum x_i <= n; missing
     slots NULL."""
-    agg = (rows.groupBy("Partner_id", "Product_id", "Scheme_Type")
-           .agg(F.sum("Sales_Value_Last_Period").alias("Sales_Value_Last_Period"),
-                F.sum("Sales_Quantity_Last_Period").alias("Sales_Quantity_Last_Period")))
-    by_scheme = agg.groupBy("Product_id", "Scheme_Type").agg(F.sum("Sales_Value_Last_Period").alias("value"))
+    by_scheme = rows.groupBy("Product_id", "Scheme_Type").agg(F.sum("Sales_Value_Last_Period").alias("value"))
     top = topn_per_group(by_scheme, ["Product_id"], [F.col("value").desc(), F.col("Scheme_Type").asc()], n)
     s = slots(top, ["Product_id"], "Scheme_Type", n)
     held = rows.groupBy("Product_id").agg(F.count_distinct("Partner_id").alias("n_partners"))
@@ -68,18 +65,30 @@ def product_partner_schemes(rows: DataFrame, scheme_map: DataFrame) -> DataFrame
 
 # ------------------------------------------------------------ list columns
 
+# an element of a list literal: quoted either way, None, or a bare number
+LIST_ITEM = r"""'(?:[^'\\]|\\.)*'|"(?:[^"\\]|\\.)*"|[^,\[\]\s'"]+"""
+
+
 def parse_list_col(df: DataFrame, col: str, elem_type: str = "string") -> DataFrame:
-    """Python-literal list text ("['A', 'B']", "[0.3, 0.2]") -> array;
-    anything that is not such a list -> NULL.  Text is never evaluated."""
+    """Python-literal list text ("['A', 'B']", "[0.3, None]") -> array, with
+    quotes of either kind, backslash escapes and None as NULL; anything that
+    does not start as a list -> NULL.  Text is never evaluated."""
     txt = F.trim(F.col(col))
-    js = F.regexp_replace(txt, "'", '"')
-    parsed = F.from_json(js, f"array<{elem_type}>", {"mode": "PERMISSIVE"})
-    return df.withColumn(col, F.when(txt.startswith("["), parsed))
+    items = F.regexp_extract_all(txt, F.lit(LIST_ITEM), F.lit(0))
+
+    def value(x):
+        quoted = x.startswith("'") | x.startswith('"')
+        inner = F.regexp_replace(x.substr(F.lit(2), F.length(x) - 2), r"\\(.)", "$1")
+        return F.when(quoted, inner).when(x != "None", x).try_cast(elem_type)
+    return df.withColumn(col, F.when(txt.startswith("["), F.transform(items, value)))
 
 
 def list_to_text(arr_col: str, quote: bool = True):
     """Array -> Python-literal text, as the reference writes list columns."""
-    f = (lambda x: F.concat(F.lit("'"), x, F.lit("'"))) if quote else (lambda x: x.cast("string"))
+    def quoted(x):
+        return F.concat(F.lit("'"), F.regexp_replace(x, r"([\\\\'])", r"\\$1"), F.lit("'"))
+
+    f = (lambda x: F.coalesce(quoted(x), F.lit("None"))) if quote else (lambda x: F.coalesce(x.cast("string"), F.lit("None")))
     return F.concat(F.lit("["), F.concat_ws(", ", F.transform(F.col(arr_col), f)), F.lit("]"))
 
 
@@ -112,3 +121,13 @@ def final_mapping(recs: DataFrame, scheme_map: DataFrame, n: int = TOP_N) -> Dat
     pairs = zip_arrays(recs)
     return (join_scheme_lookup(pairs, scheme_map, n)
             .select("Partner_id", "Product_id", "Similarity_Scores", *[f"Scheme_{i}" for i in range(1, n + 1)]))
+
+
+def multilabel_binarize(pairs: DataFrame, row: str, label: str) -> DataFrame:
+    """(row, label, flag) for every row value and label: 1 where the pair
+    occurs.  Few row values (a handful of schemes) against many labels: each
+    label carries the set of its rows, against the list of all rows."""
+    every = pairs.agg(F.sort_array(F.collect_set(row))).scalar()
+    held = pairs.groupBy(label).agg(F.collect_set(row).alias("_rows")).withColumn("_all", every)
+    return (held.select(label, "_rows", F.explode("_all").alias(row))
+            .select(row, label, F.array_contains("_rows", F.col(row)).cast("int").alias("flag")))

@@ -19,6 +19,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 from partnerlens.functions.scalar import NEGATIVE, POSITIVE, fn_fixed_text, fn_label_threshold
+from partnerlens.operators.joins import heavy_join
 from partnerlens.operators.split import global_row_number
 
 # The batched request of the reference.
@@ -38,15 +39,17 @@ def tokens(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
 def train_token_weights(labelled: DataFrame, id_col: str, text_col: str, label_col: str,
                         alpha: float = 1.0) -> tuple[DataFrame, Column]:
     """Smoothed log-odds weight per token and the class prior log-odds
-    (a scalar subquery).  Counts are partial-aggregated per text first."""
-    tk = tokens(labelled, id_col, text_col).join(labelled.select(id_col, label_col), id_col)
+    (a scalar subquery).  The label travels with the tokens, so counting is
+    one partial and one final aggregate by token."""
     pos = F.col(label_col) == POSITIVE
-    counts = tk.groupBy("token").agg(F.sum(F.when(pos, F.col("n")).otherwise(0)).alias("cp"),
-                                     F.sum(F.when(~pos, F.col("n")).otherwise(0)).alias("cn"))
+    tk = labelled.select(pos.alias("_pos"), F.explode(F.split(F.lower(F.col(text_col)), TOKEN_SPLIT)).alias("token"))
+    counts = (tk.filter(F.col("token") != "").groupBy("token")
+              .agg(F.count(F.when(F.col("_pos"), 1)).alias("cp"), F.count(F.when(~F.col("_pos"), 1)).alias("cn")))
     tot = counts.agg(F.struct(F.sum("cp").alias("np"), F.sum("cn").alias("nn"),
                               F.count(F.lit(1)).alias("v"))).scalar()       # one-row scalar subquery
     w = counts.select("token", (F.log((F.col("cp") + alpha) / (tot["np"] + alpha * tot["v"]))
-                                - F.log((F.col("cn") + alpha) / (tot["nn"] + alpha * tot["v"]))).alias("w"))
+                                - F.log((F.col("cn") + alpha) / (tot["nn"] + alpha * tot["v"]))).alias("w"),
+                      (F.col("cp") + F.col("cn")).alias("occurs"))
     docs = labelled.agg(F.struct(F.sum(F.when(pos, 1).otherwise(0)).alias("p"),
                                  F.sum(F.when(~pos, 1).otherwise(0)).alias("q"))).scalar()
     prior = F.log((docs["p"] + alpha) / (docs["q"] + alpha))
@@ -56,8 +59,9 @@ def train_token_weights(labelled: DataFrame, id_col: str, text_col: str, label_c
 def score_with_weights(texts: DataFrame, id_col: str, text_col: str, weights: DataFrame, prior: Column,
                        threshold: float = 0.5) -> DataFrame:
     """(id, score, label): logistic of prior + sum of token weights x counts.
-    The token join is a shuffle join (AQE splits a hot token's partition)."""
-    s = (tokens(texts, id_col, text_col).join(weights, "token")
+    Tokens that many texts hold are joined by broadcast (``heavy_join``)."""
+    total = weights.agg(F.sum("occurs")).scalar()
+    s = (heavy_join(tokens(texts, id_col, text_col), weights, "token", "occurs", total)
          .groupBy(id_col).agg(F.sum(F.col("n") * F.col("w")).alias("s")))
     out = (texts.select(id_col).join(s, id_col, "left")
            .withColumn("score", 1 / (1 + F.exp(-(prior + F.coalesce(F.col("s"), F.lit(0.0)))))))
@@ -67,7 +71,7 @@ def score_with_weights(texts: DataFrame, id_col: str, text_col: str, weights: Da
 def token_attribution(texts: DataFrame, id_col: str, text_col: str, weights: DataFrame) -> DataFrame:
     """Per text and token: count, weight and contribution (= weight x count),
     the exact additive attribution of the token-weight scorer."""
-    return (tokens(texts, id_col, text_col).join(weights, "token")
+    return (tokens(texts, id_col, text_col).join(weights.drop("occurs"), "token")
             .select(id_col, "token", "n", "w", (F.col("n") * F.col("w")).alias("contribution")))
 
 
@@ -84,7 +88,7 @@ def batch_number(df: DataFrame, order_col: str, size: int = BATCH_SIZE) -> DataF
 def batch_prompts(batched: DataFrame, text_col: str) -> DataFrame:
     """One prompt per batch: instruction head + '1. text' items joined by a
     blank line, in position order (a batch holds at most BATCH_SIZE texts)."""
-    item = F.concat(F.col("pos").cast("string"), F.lit(". "), F.col(text_col))
+    item = F.concat(F.col("pos").cast("string"), F.lit(". "), F.coalesce(F.col(text_col), F.lit("")))
     g = batched.groupBy("batch_id").agg(F.array_sort(F.collect_list(F.struct("pos", item.alias("t")))).alias("a"))
     return g.select("batch_id", F.concat(F.lit(PROMPT_HEAD),
                                          F.array_join(F.transform("a", lambda x: x["t"]), "\n\n")).alias("prompt"))
@@ -114,11 +118,13 @@ def attach_replies(batched: DataFrame, parsed: DataFrame) -> DataFrame:
             .withColumn("score", F.coalesce("score", F.lit(0.0))))
 
 
-def reply_text(scored: DataFrame) -> DataFrame:
+def reply_text(scored: DataFrame, spoiled: Column | None = None) -> DataFrame:
     """Replies in the protocol's format built from scored rows (for tests
     and for replaying stored model outputs)."""
     line = F.concat(F.col("pos").cast("string"), F.lit(": "), F.col("label"), F.lit(", "),
                     fn_fixed_text("score", 2))
+    if spoiled is not None:       # a model that now and then leaves the format
+        line = F.when(spoiled, F.concat(F.col("pos").cast("string"), F.lit(": I am not sure"))).otherwise(line)
     g = scored.groupBy("batch_id").agg(F.array_sort(F.collect_list(F.struct("pos", line.alias("l")))).alias("a"))
     return g.select("batch_id", F.array_join(F.transform("a", lambda x: x["l"]), "\n").alias("reply"))
 

@@ -8,7 +8,7 @@ DuckDB oracle queries use, so both sides see the same rows.
 Binding (fixed; shared by Spark and SQL):
 
   Partner_id (dense)      l_suppkey
-  Partner_id (sparse)     o_custkey, purchase := l_returnflag = 'N' AND l_quantity >= 41
+  Partner_id (sparse)     o_custkey, purchase := l_returnflag = 'N' (not returned)
   Scheme_Type             o_orderpriority
   Product_id              p_brand (recommenders), p_type (time series)
   Geography               r_name via customer -> nation -> region
@@ -69,7 +69,7 @@ ROW_KEY_SQL = ("concat_ws('|', CAST(l.l_orderkey AS VARCHAR), CAST(l.l_linenumbe
 def _lines(spark: SparkSession, d: str, purchase_only: bool = False) -> DataFrame:
     li = table(spark, d, "lineitem")
     if purchase_only:
-        li = li.filter((F.col("l_returnflag") == "N") & (F.col("l_quantity") >= 41))
+        li = li.filter(F.col("l_returnflag") == "N")
     orders = table(spark, d, "orders").select("o_orderkey", "o_custkey", "o_orderdate", "o_orderpriority")
     return li.join(orders, F.col("l_orderkey") == F.col("o_orderkey"))
 
@@ -134,7 +134,7 @@ def stockist_long(spark: SparkSession, d: str, purchase_only: bool = False,
 def stockist_long_sql(purchase_only: bool = False, partner: str = "supplier",
                       name: str = "stockist") -> str:
     pid = "l.l_suppkey" if partner == "supplier" else "o.o_custkey"
-    where = "WHERE l.l_returnflag = 'N' AND l.l_quantity >= 41" if purchase_only else ""
+    where = "WHERE l.l_returnflag = 'N'" if purchase_only else ""
     return f"""
 {name} AS (
   SELECT {ROW_KEY_SQL} AS row_key, {pid} AS Partner_id,
@@ -167,21 +167,22 @@ purchases AS (SELECT DISTINCT Partner_id, Product_id FROM purchase_rows)"""
 
 
 def feedback(spark: SparkSession, d: str) -> DataFrame:
-    """I5: labelled feedback texts with a bound partner."""
+    """I5: all feedback texts with a bound partner; Sentiment is null where
+    nobody labelled the text."""
     n_sup = table(spark, d, "supplier").agg(F.count(F.lit(1))).scalar()
     docs = table(spark, d, "documents").select("doc_id", "text")
     labels = table(spark, d, "labels").select("doc_id", "quality")
-    return (docs.join(labels, "doc_id")
+    return (docs.join(labels, "doc_id", "left")
             .select(F.col("doc_id").alias("Feedback_ID"),
                     F.col("text").alias("Feedback_Text"),
-                    F.when(F.col("quality") == 1, "Positive").otherwise("Negative").alias("Sentiment"),
+                    F.when(F.col("quality") == 1, "Positive").when(F.col("quality").isNotNull(), "Negative").alias("Sentiment"),
                     (F.pmod(F.col("doc_id"), n_sup) + 1).alias("Partner_id")))
 
 
 FEEDBACK_SQL = """
 feedback AS (
   SELECT d.doc_id AS Feedback_ID, d.text AS Feedback_Text,
-         CASE WHEN lb.quality = 1 THEN 'Positive' ELSE 'Negative' END AS Sentiment,
+         CASE WHEN lb.quality = 1 THEN 'Positive' WHEN lb.quality IS NOT NULL THEN 'Negative' END AS Sentiment,
          (d.doc_id % (SELECT count(*) FROM supplier)) + 1 AS Partner_id
-  FROM documents d JOIN labels lb ON d.doc_id = lb.doc_id
+  FROM documents d LEFT JOIN labels lb ON d.doc_id = lb.doc_id
 )"""

@@ -9,11 +9,12 @@ from pyspark.sql import functions as F
 
 from partnerlens.functions.scalar import fn_demand_response, fn_hash_pct, fn_price_bucket_label
 from partnerlens.operators.clean import clean_sales, onehot_decode
+from partnerlens.operators.joins import heavy_join
 from partnerlens.operators.similarity import cosine_topk, jaccard_pairs, topn_similar
 from partnerlens.operators.split import global_row_number, rank_within, split_stratified
 from partnerlens.plans import discount as dd
 from partnerlens.plans.evaluate import classification_report, prf_at_k
-from partnerlens.plans.schemes import parse_list_col, scheme_rank_simple, zip_arrays
+from partnerlens.plans.schemes import list_to_text, multilabel_binarize, parse_list_col, scheme_rank_simple, zip_arrays
 from partnerlens.plans.sentiment import parse_replies, score_text_batches
 
 
@@ -133,7 +134,7 @@ def test_rank_within_exact_under_skew(spark):
 
 def test_global_row_number_is_a_permutation(spark):
     df = spark.range(0, 5000, 7).withColumnRenamed("id", "v")
-    r = global_row_number(df, F.col("v"), "v", "rn", salt_bits=4).orderBy("v").toPandas()
+    r = global_row_number(df, F.col("v"), "v", "rn").orderBy("v").toPandas()
     assert r.rn.tolist() == list(range(1, len(r) + 1))
 
 
@@ -166,6 +167,46 @@ def test_parse_list_col_and_zip(spark):
     assert [(r.Product_id, r.Similarity_Scores) for r in z] == [("A", 0.5), ("B", 0.25)]
 
 
+def test_parse_list_col_quotes_none_and_escapes(spark):
+    rows = [(1, '["O\'Brien", \'B\']'), (2, "['A', None]"), (3, r'''['say "x"', 'it\'s']'''), (4, "plain")]
+    df = spark.createDataFrame(rows, "i int, c string")
+    got = {r.i: r.c for r in parse_list_col(df, "c").collect()}
+    assert got == {1: ["O'Brien", "B"], 2: ["A", None], 3: ['say "x"', "it's"], 4: None}
+    back = spark.createDataFrame([(1, ["O'Brien", None, 'q"\\'])], "i int, c array<string>").select("i", list_to_text("c").alias("c"))
+    assert parse_list_col(back, "c").first().c == ["O'Brien", None, 'q"\\']
+
+
+def test_rank_within_keeps_null_groups(spark):
+    df = spark.createDataFrame([(None, 1), (None, 2), ("a", 3)], "g string, v long")
+    got = sorted((r.g or "", r.v, r.rn) for r in rank_within(df, ["g"], F.col("v"), "v").collect())
+    assert got == [("", 1, 1), ("", 2, 2), ("a", 3, 1)]
+
+
+def test_global_row_number_spreads_sparse_keys(spark):
+    df = spark.createDataFrame([(i,) for i in range(2000)] + [(10 ** 15,), (None,)], "v long")
+    got = [r.rn for r in global_row_number(df, F.col("v"), "v", "rn").orderBy(F.col("v").asc_nulls_first()).collect()]
+    assert got == list(range(1, 2003))
+
+
+def test_heavy_join_hot_and_cold(spark):
+    big = spark.createDataFrame([("a", i) for i in range(400)] + [("b", 1), ("c", 2), (None, 3)], "k string, i int")
+    small = spark.createDataFrame([("a", 400, 1.0), ("b", 1, 2.0), ("d", 1, 3.0)], "k string, n long, w double")
+    got = heavy_join(big, small, "k", "n", F.lit(402), heavy=5).groupBy("k").agg(F.count("w").alias("c")).collect()
+    assert {r.k: r.c for r in got} == {"a": 400, "b": 1}
+
+
+def test_parse_replies_malformed_lines(spark):
+    text = "1: Positive, 0.9\n\n2 Negative 0.1\n3: Negative\n4: Positive, high\n5: Negative, 0.2\n5: Positive, 0.8"
+    got = {r.pos: (r.label, r.score) for r in parse_replies(spark.createDataFrame([(0, text), (1, None)], "batch_id int, reply string")).collect()}
+    assert got == {1: ("Positive", 0.9), 3: ("Negative", 0.0), 4: ("Negative", 0.0), 5: ("Negative", 0.2)}
+
+
+def test_multilabel_binarize_has_zeros(spark):
+    df = spark.createDataFrame([("s", "p"), ("t", "p"), ("t", "q"), ("t", "q")], "r string, l string")
+    got = {(x.r, x.l): x.flag for x in multilabel_binarize(df, "r", "l").collect()}
+    assert got == {("s", "p"): 1, ("t", "p"): 1, ("s", "q"): 0, ("t", "q"): 1}
+
+
 def test_scheme_rank_simple_splits_cells_and_pads(spark):
     rows = [(1, "P", "A, B", 5.0), (2, "P", "B", 1.0), (3, "P", None, 9.0), (4, "Q", "C", 2.0)]
     df = spark.createDataFrame(rows, "Partner_id int, Product_id string, Scheme_Type string, "

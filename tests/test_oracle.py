@@ -20,7 +20,8 @@ def test_query_matches_sql(spark, con, qid):
     q = REG[qid]
     df = q.fn(spark, SF_SMALL)
     rows = [tuple(r) for r in df.collect()]
-    res = con.execute(q.sql)
+    con.execute(f"CREATE OR REPLACE VIEW oracle_{qid} AS {q.sql}")      # the driver reads it through a view
+    res = con.execute(f"SELECT * FROM oracle_{qid}")
     verdict = compare(rows, df.columns, res.fetchall(), [d[0] for d in res.description])
     assert verdict.startswith("ok"), f"{qid}: {verdict}"
 
