@@ -173,13 +173,21 @@ def forecast_metrics(comparisons: DataFrame) -> DataFrame:
 
 
 def forecast_future(panel: DataFrame, steps: int = FORECAST_STEPS, parity: bool = False,
-                    f: Fit | None = None, **kw) -> DataFrame:
-    """``steps`` monthly forecasts after the train end, exogenous values held
-    at the last train month."""
+                    f: Fit | None = None, after: str = "train", **kw) -> DataFrame:
+    """``steps`` monthly forecasts after the train end (``after='train'``) or
+    after the last known month (``'all'``), exogenous values held at that
+    month's; the coefficients come from the train months either way."""
+    if after not in ("train", "all"):
+        raise ValueError("after must be 'train' or 'all'")
     f = f or fit(panel, **kw)
-    months = (f.coef.select(*KEYS, "T", "p_T", "c_T")
+    start = f.coef.select(*KEYS, F.col("T").alias("_from"), "p_T", "c_T")
+    if after == "all":
+        last = panel.groupBy(*KEYS).agg(F.max("YearMonth").alias("_from"), F.max_by("Log_Price", "YearMonth").alias("p_T"),
+                                        F.max_by("Log_Competitor_Price", "YearMonth").alias("c_T"))
+        start = last.join(f.coef.select(*KEYS), KEYS)
+    months = (start
               .select(*KEYS, "p_T", "c_T",
-                      F.explode(F.sequence(F.add_months("T", 1), F.add_months("T", steps),
+                      F.explode(F.sequence(F.add_months("_from", 1), F.add_months("_from", steps),
                                            F.expr("INTERVAL 1 MONTH"))).alias("YearMonth")))
     pred = _predict(f, months, "p_T", "c_T")
     return pred.select(F.col("Product_id").alias("product"), F.col("Geography").alias("region"),

@@ -258,6 +258,25 @@ def q_forecast_future(spark, d):
     return finalize(dd.forecast_future(panel_of(spark, d)))
 
 
+FUTURE_ALL_SQL = FIT_SQL + f""",
+fut AS (
+  SELECT l.Product_id, l.Geography, l.p_T, l.c_T, unnest(generate_series(l.E + 1, l.E + 12)) AS mi
+  FROM (SELECT Product_id, Geography, max(mi) AS E, arg_max(Log_Price, mi) AS p_T, arg_max(Log_Competitor_Price, mi) AS c_T
+        FROM panel GROUP BY Product_id, Geography) l
+  JOIN coef k ON k.Product_id = l.Product_id AND k.Geography = l.Geography
+),
+pred AS ({_predict_sql('fut', 'p_T', 'c_T')})"""
+
+
+@register("forecast_future_all", sql_final(
+    "WITH" + FUTURE_ALL_SQL + f"\nSELECT Product_id AS product, Geography AS region, {MONTH_TEXT.format(m='mi')} AS date,"
+    " exp(yhat) - 1 AS forecast FROM pred",
+    [("product", "text"), ("region", "text"), ("date", "text"), ("forecast", "double")]))
+def q_forecast_future_all(spark, d):
+    """Twelve monthly forecasts after the last known month."""
+    return finalize(dd.forecast_future(panel_of(spark, d), after="all"))
+
+
 @register("forecast_pipeline", sql_final(
     "WITH" + COMPARISONS_SQL + """,
 m AS (
@@ -391,16 +410,16 @@ def q_discount_simulation(spark, d):
     return finalize(simulation_of(spark, d))
 
 
-OPTIMAL_SQL = sql_final(
-    "WITH" + BUCKETS_SQL + """,
+OPTIMAL_INNER = "WITH" + BUCKETS_SQL + """,
 ranked AS (
   SELECT *, row_number() OVER (PARTITION BY product, region, bucket ORDER BY revenue DESC, discount_pct ASC) AS rn
   FROM sim2)
 SELECT product, region, price_bucket, price_midpoint, discount_pct AS optimal_discount_pct,
        predicted_demand AS optimal_demand, revenue AS max_revenue
-FROM ranked WHERE rn = 1""",
-    [("product", "text"), ("region", "text"), ("price_bucket", "text"), ("price_midpoint", "double"),
-     ("optimal_discount_pct", "int"), ("optimal_demand", "double"), ("max_revenue", "double")])
+FROM ranked WHERE rn = 1"""
+OPTIMAL_COLS = [("product", "text"), ("region", "text"), ("price_bucket", "text"), ("price_midpoint", "double"),
+                ("optimal_discount_pct", "int"), ("optimal_demand", "double"), ("max_revenue", "double")]
+OPTIMAL_SQL = sql_final(OPTIMAL_INNER, OPTIMAL_COLS)
 
 
 @register("optimal_discounts", OPTIMAL_SQL)
@@ -409,6 +428,23 @@ def q_optimal_discounts(spark, d):
     return finalize(dd.optimal_discounts(simulation_of(spark, d)))
 
 
+STRESS = 8
+STRESS_SQL = sql_final(OPTIMAL_INNER.replace(
+    "el AS (SELECT Product_id, Geography, beta_p AS e FROM coef)",
+    f"el AS (SELECT Product_id, Geography, CASE WHEN Geography <> 'ASIA' THEN beta_p * {STRESS} END AS e FROM coef)"),
+    OPTIMAL_COLS, digits=2)
+
+
+@register("optimal_discounts_stress", STRESS_SQL)
+def q_optimal_discounts_stress(spark, d):
+    """Optimal discounts of a market that answers prices eight times as strongly, with no elasticity known for one
+    region (the default is used there): optima from 0 to 50 percent."""
+    p = panel_of(spark, d)
+    el = dd.elasticity(p).withColumn(
+        "price_elasticity", F.when(F.col("region") != "ASIA", F.col("price_elasticity") * STRESS))
+    return finalize(dd.optimal_discounts(dd.discount_simulation(p, el)), digits=2)
+
+
 # ------------------------------------------------------- building blocks
 
 @register("agg_monthly", sql_final(

@@ -165,19 +165,24 @@ def q_rec_item_based(spark, d):
     return finalize(rc.rec_item_based(stockist_long(spark, d)).drop("Scheme_Type"))
 
 
-@register("jaccard_schemes", sql_final("WITH" + stockist_long_sql() + f""",
+def _scheme_users(spark, d):
+    """Sale lines with the partner as the item of a scheme: schemes are alike when the same partners use them."""
+    return stockist_long(spark, d, partner="customer").withColumn("Product_id", F.col("Partner_id"))
+
+
+@register("jaccard_schemes", sql_final("WITH" + stockist_long_sql(partner="customer") + f""",
 train AS (SELECT * FROM stockist WHERE {hash_pct_sql('row_key')} >= 20),
-""" + jaccard_all_sql("train", "Scheme_Type", "Product_id", "jac").lstrip() + """
+""" + jaccard_all_sql("train", "Scheme_Type", "Partner_id", "jac").lstrip() + """
 SELECT a, b, sim AS jaccard FROM jac WHERE sim > 0""", [("a", "text"), ("b", "text"), ("jaccard", "double")]))
 def q_jaccard_schemes(spark, d):
-    """Scheme x scheme Jaccard on the products each scheme covers (train split)."""
-    train, _ = split_random(stockist_long(spark, d), "row_key")
+    """Scheme x scheme Jaccard on the partners that use each scheme (train split)."""
+    train, _ = split_random(_scheme_users(spark, d), "row_key")
     return finalize(rc.scheme_similarity(train).select("a", "b", "jaccard"))
 
 
-SIMILAR_SCHEMES_SQL = "WITH" + stockist_long_sql() + f""",
+SIMILAR_SCHEMES_SQL = "WITH" + stockist_long_sql(partner="customer") + f""",
 train AS (SELECT * FROM stockist WHERE {hash_pct_sql('row_key')} >= 20),
-""" + jaccard_all_sql("train", "Scheme_Type", "Product_id", "jac").lstrip() + """
+""" + jaccard_all_sql("train", "Scheme_Type", "Partner_id", "jac").lstrip() + """
 SELECT a AS scheme, b AS similar_scheme, sim, r AS rank FROM (
   SELECT *, row_number() OVER (PARTITION BY a ORDER BY sim DESC, b) AS r FROM jac) x WHERE r <= 3"""
 
@@ -186,7 +191,7 @@ SELECT a AS scheme, b AS similar_scheme, sim, r AS rank FROM (
     ("scheme", "text"), ("similar_scheme", "text"), ("sim", "double"), ("rank", "int")]))
 def q_similar_schemes(spark, d):
     """Top-3 most similar schemes for every scheme (self excluded, zero similarities filled by name)."""
-    train, _ = split_random(stockist_long(spark, d), "row_key")
+    train, _ = split_random(_scheme_users(spark, d), "row_key")
     top = rc.similar_schemes(train)
     return finalize(top.select(F.col("a").alias("scheme"), F.col("b").alias("similar_scheme"), "sim", "rank"))
 
@@ -241,7 +246,7 @@ def q_rec_products_knn_toggle(spark, d):
     return finalize(rc.rec_products_knn_toggle(purchases(spark, d)))
 
 
-def _jaccard_products_cte(include_purchased: bool) -> str:
+def jaccard_products_cte(include_purchased: bool) -> str:
     excl = "" if include_purchased else """
     AND NOT EXISTS (SELECT 1 FROM test t2 WHERE t2.Partner_id = t.Partner_id AND t2.Product_id = s.b)"""
     return "WITH" + PURCHASES_SQL + f""",
@@ -263,7 +268,7 @@ FROM (SELECT DISTINCT Partner_id FROM test) t LEFT JOIN recs r ON t.Partner_id =
 
 
 def _jaccard_products_sql(include_purchased: bool) -> str:
-    return _jaccard_products_cte(include_purchased) + "\nSELECT * FROM jrec"
+    return jaccard_products_cte(include_purchased) + "\nSELECT * FROM jrec"
 
 
 REC_COLS3 = [("Partner_id", "int"), ("Recommended_Products", "text"), ("Similarity_Scores", "text")]

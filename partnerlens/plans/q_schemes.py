@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from partnerlens.plans import recommend as rc
 from partnerlens.plans import schemes as sc
-from partnerlens.plans.q_recommend import KNN_PRODUCTS_SQL
+from partnerlens.plans.q_recommend import KNN_PRODUCTS_SQL, jaccard_products_cte
 from partnerlens.plans.registry import finalize, register, sql_final
 from partnerlens.sources.bindings import PURCHASES_SQL, purchases, stockist_long, stockist_long_sql
 
@@ -114,6 +114,19 @@ def q_final_mapping(spark, d):
     return finalize(sc.final_mapping(recs, sc.scheme_rank_simple(scheme_rows(spark, d))))
 
 
+@register("final_mapping_item", sql_final(jaccard_products_cte(True) + "," + VALUE_SQL_CTE + """
+SELECT t.Partner_id, t.Product_id, t.score AS Similarity_Scores,
+       coalesce(m.Scheme_1, 'Not Available') AS Scheme_1, coalesce(m.Scheme_2, 'Not Available') AS Scheme_2,
+       coalesce(m.Scheme_3, 'Not Available') AS Scheme_3
+FROM best t LEFT JOIN vmap m ON t.Product_id = m.Product_id""", [
+    ("Partner_id", "int"), ("Product_id", "text"), ("Similarity_Scores", "double"),
+    ("Scheme_1", "text"), ("Scheme_2", "text"), ("Scheme_3", "text")]))
+def q_final_mapping_item(spark, d):
+    """The same mapping by the other route: item-based recommendations on the value ranking of schemes."""
+    recs = rc.rec_products_jaccard(purchases(spark, d), include_purchased=True)
+    return finalize(sc.final_mapping(recs, sc.scheme_rank_value(scheme_rows(spark, d))))
+
+
 @register("zip_arrays", sql_final(KNN_PRODUCTS_SQL + """
 SELECT Partner_id, r - 1 AS pos, Product_id, score AS Similarity_Scores FROM top""",
     [("Partner_id", "int"), ("pos", "int"), ("Product_id", "text"), ("Similarity_Scores", "double")]))

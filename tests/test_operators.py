@@ -290,3 +290,12 @@ def test_jaccard_streamed_batches_match_single_batch(spark):
                 brute[(a, b)] = len(sets[a] & sets[b]) / len(sets[a] | sets[b])
     assert full == small
     assert {(r[0], r[1]): r[5] for r in full} == pytest.approx(brute)
+
+
+def test_optimal_discount_elastic_and_tie(spark):
+    rows = [("p", "r", 1, "1-2", 10.0, d, 5.0, q) for d, q in ((0, 5.0), (25, 8.0), (50, 20.0))]        # 50, 60, 100
+    rows += [("p", "r", 2, "2-3", 10.0, d, 4.0, q) for d, q in ((0, 4.0), (50, 8.0))]                    # 40, 40: a tie
+    df = spark.createDataFrame(rows, "product string, region string, bucket int, price_bucket string, price_midpoint double, "
+                                     "discount_pct int, original_avg_demand double, predicted_demand double")
+    got = {r.price_bucket: r.optimal_discount_pct for r in dd.optimal_discounts(df).collect()}
+    assert got == {"1-2": 50, "2-3": 0}
