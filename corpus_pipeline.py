@@ -6,7 +6,8 @@ and returns a DataFrame that is written as Parquet and read again as the next
 one's docs.  All but the last return the columns of ``documents``; the mixing
 stage adds ``mix_position``, the place of a document in the mixture, in whose
 order the packing stage takes the documents.  Null and empty texts have no
-words and end with the quality stage; an empty table passes through as such."""
+words and end with the quality stage; rows that repeat an id stay or go
+together, and so do rows without an id; an empty table passes through as such."""
 
 from __future__ import annotations
 
@@ -27,14 +28,14 @@ COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the rules do not reject."""
     kept = quality(docs).filter("kept").select(F.col("doc_id").alias("__kept")).distinct()
-    return docs.join(kept, F.col("doc_id") == F.col("__kept"), "left_semi").select(*COLUMNS)
+    return docs.join(kept, F.col("doc_id").eqNullSafe(F.col("__kept")), "left_semi").select(*COLUMNS)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The document with the smallest id of each SimHash group."""
     groups = simhash_groups(docs)
-    first = groups.filter(F.col("doc_id") == F.col("component_id")).select(F.col("doc_id").alias("__first")).distinct()
-    return docs.join(first, F.col("doc_id") == F.col("__first"), "left_semi").select(*COLUMNS)
+    first = groups.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("__first")).distinct()
+    return docs.join(first, F.col("doc_id").eqNullSafe(F.col("__first")), "left_semi").select(*COLUMNS)
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

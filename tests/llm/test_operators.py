@@ -2,6 +2,7 @@
 tables and on rows made to be awkward (nulls, empty and long texts, repeated
 rows, ties, clashing extra columns, empty tables)."""
 
+import functools
 import html as html_lib
 import itertools
 import math
@@ -110,11 +111,16 @@ def test_mix_keeps_all_rows_and_shares(spark):
 
 # ------------------------------------------------------------ op2, op5
 
-def plain_ids(name, text, end):
+@functools.cache
+def plain_tokenizer(name):
     from tokenizers import Tokenizer
     t = Tokenizer.from_file(tokenizer_path(name))
     t.encode_special_tokens = True
-    return [*t.encode(text or "", add_special_tokens=False).ids, end]
+    return t
+
+
+def plain_ids(name, text, end):
+    return [*plain_tokenizer(name).encode(text or "", add_special_tokens=False).ids, end]
 
 
 @pytest.mark.parametrize("name", ["byte_bpe_50k.json", "word_bpe_49k.json"])
