@@ -5,8 +5,9 @@ from __future__ import annotations
 
 from pyspark.sql import Window, functions as F
 
-from partnerlens.functions.scalar import fn_engagement, hash_key_sql, hash_pct_sql
-from partnerlens.operators.clean import onehot_decode, profile_columns
+from partnerlens.functions.scalar import (fn_engagement, fn_engagement_dropped, fn_engagement_geo, fn_label_class, hash_key_sql,
+                                          hash_pct_sql)
+from partnerlens.operators.clean import binarize, coerce_int0, onehot_decode, profile_columns, purchased_list
 from partnerlens.operators.ranking import topn_per_group
 from partnerlens.operators.split import sample_rows, split_random
 from partnerlens.plans import discount as dd
@@ -259,3 +260,65 @@ def q_agg_price_bounds(spark, d):
     p = panel_of(spark, d)
     return finalize(p.groupBy("Product_id", "Geography").agg(F.min("Price").alias("min_price"),
                                                              F.max("Price").alias("max_price")))
+
+
+# fixed values: the regions and order priorities of the tables
+SCHEMES = ["1-URGENT", "2-HIGH", "3-MEDIUM", "4-NOT SPECIFIED", "5-LOW"]
+REGIONS = ("AFRICA", "AMERICA", "ASIA", "EUROPE", "MIDDLE EAST")
+
+
+def _region_dummies(spark, d):
+    """Sale lines with a 0/1 column per region."""
+    return stockist_long(spark, d).withColumns({r: (F.col("Geography") == r).cast("int") for r in REGIONS})
+
+
+def _engagement_sql(expr: str) -> str:
+    return sql_final("WITH" + stockist_long_sql() + f"""
+SELECT Partner_id, Scheme_Type, sum({expr}) AS engagement FROM stockist GROUP BY Partner_id, Scheme_Type""",
+                     [("Partner_id", "int"), ("Scheme_Type", "text"), ("engagement", "double")])
+
+
+KEPT = REGIONS[:3]
+KEPT_SQL = "CAST(Geography IN ('AFRICA', 'AMERICA', 'ASIA') AS INTEGER)"
+
+
+@register("fn_engagement_geo", _engagement_sql("ln(1 + Sales_Value_Last_Period) * (Feedback_Score + 5.0)"))
+def q_fn_engagement_geo(spark, d):
+    """log1p(sales) x (feedback + 5 x region dummies), summed per partner and scheme."""
+    e = fn_engagement_geo("Sales_Value_Last_Period", "Feedback_Score", list(REGIONS))
+    return finalize(_region_dummies(spark, d).groupBy("Partner_id", "Scheme_Type").agg(F.sum(e).alias("engagement")))
+
+
+@register("fn_engagement_dropped", _engagement_sql(f"ln(1 + Sales_Value_Last_Period) * (Feedback_Score + 1.0 * {KEPT_SQL})"))
+def q_fn_engagement_dropped(spark, d):
+    """Engagement with two regions' dummies dropped, additive form."""
+    e = fn_engagement_dropped("Sales_Value_Last_Period", "Feedback_Score", list(KEPT))
+    return finalize(_region_dummies(spark, d).groupBy("Partner_id", "Scheme_Type").agg(F.sum(e).alias("engagement")))
+
+
+@register("fn_engagement_dropped_product", _engagement_sql(f"ln(1 + Sales_Value_Last_Period) * Feedback_Score * {KEPT_SQL}"))
+def q_fn_engagement_dropped_product(spark, d):
+    """Engagement with two regions' dummies dropped, product form."""
+    e = fn_engagement_dropped("Sales_Value_Last_Period", "Feedback_Score", list(KEPT), "product")
+    return finalize(_region_dummies(spark, d).groupBy("Partner_id", "Scheme_Type").agg(F.sum(e).alias("engagement")))
+
+
+@register("purchased_list", sql_final("WITH" + stockist_long_sql(True, "customer") + """
+SELECT Partner_id, string_agg(DISTINCT Scheme_Type, ', ' ORDER BY Scheme_Type) AS Purchased,
+       true AS has_purchase FROM stockist GROUP BY Partner_id""",
+    [("Partner_id", "int"), ("Purchased", "text"), ("has_purchase", "int")]))
+def q_purchased_list(spark, d):
+    """Names of the non-zero count columns per partner (counts as text, coerced, made 0/1, listed)."""
+    rows = stockist_long(spark, d, purchase_only=True, partner="customer")
+    wide = rows.groupBy("Partner_id").pivot("Scheme_Type", SCHEMES).agg(F.count(F.lit(1)).cast("string"))
+    flags = binarize(coerce_int0(wide, SCHEMES), SCHEMES)
+    return finalize(purchased_list(flags, SCHEMES).select("Partner_id", "Purchased", "has_purchase"))
+
+
+@register("fn_label_class", sql_final("""
+SELECT doc_id, CASE WHEN quality = 1 THEN 'Positive' ELSE 'Negative' END AS label FROM labels""",
+    [("doc_id", "int"), ("label", "text")]))
+def q_fn_label_class(spark, d):
+    """Label of a numeric class."""
+    labels = table(spark, d, "labels")
+    return finalize(labels.select("doc_id", fn_label_class("quality", 1).alias("label")))
