@@ -1,20 +1,27 @@
 """Exact similarity kernels.
 
 ``cosine_topk`` -- exact k nearest neighbours by cosine similarity (the
-reference uses brute-force ``NearestNeighbors``).  Vectors come in long form
-(id, dim, value).  Both sides are hash-partitioned into blocks of bounded
-size; each (query block, candidate block) pair is one cogroup whose numpy
-kernel computes the block of similarities and emits only its top k per
-query.  A final window over (query) keeps the overall top k; its groups hold
-at most k x (number of candidate blocks) rows.  No pair rows are shuffled,
-no block is larger than ``block_rows`` ids, nothing passes the driver.
+reference uses brute-force ``NearestNeighbors``), without comparing all ids:
+
+1. Equal vectors are one class; only classes are compared.  A class stands for
+   its smallest ids, as many as an answer can name.
+2. Candidate classes lie in buckets around pivots (classes chosen by hash, at
+   most PIVOTS_MAX, about the root of the number of classes).  A query goes
+   to a bucket only if the angle to its pivot less the bucket's radius allows
+   a similarity as high as the query's k-th best pivot.  The bound is exact,
+   so no neighbour is lost.
+3. Buckets are cut into blocks of about ``block_rows`` classes; a numpy kernel
+   per pair of blocks emits its top k per query, ranked by a final window over
+   at most k rows per block.
+
+No pair rows are shuffled, nothing that grows with the data passes the driver.
 
 ``jaccard_pairs`` -- |A n B| / |A u B| between sets (e.g. products by the
 partners holding them).  Element->set pairs are de-duplicated first (map-side
 partial aggregation, so a hot element or set is reduced before any shuffle),
-then each partition counts set co-occurrence locally with numpy and emits
-one row per co-occurring pair of *sets*; those partial counts are summed by
-a second, small aggregation.
+then each partition counts set co-occurrence locally with numpy, one tile of
+sets against another, and emits one row per co-occurring pair of *sets*; those
+partial counts are summed by a second, small aggregation.
 """
 
 from __future__ import annotations
@@ -23,26 +30,121 @@ import math
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window, functions as F, types as T
+from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
-BLOCK_ROWS = 4096       # ids per block; a block kernel holds BLOCK_ROWS^2 doubles (128 MB)
-DENSE_SETS_MAX = 4096   # local co-occurrence matrix bound (sets per partition)
+from partnerlens.operators.joins import heavy_join
+from partnerlens.session import cut_lineage
 
+BLOCK_ROWS = 4096       # vectors per block, on average; a kernel holds BLOCK_ROWS^2 doubles (128 MB)
+PIVOTS_MAX = 4096       # pivots of all groups together
+TILE_SETS = 1024        # sets per tile of a local co-occurrence count
+RANK_DIGITS = 12        # similarities are ranked after rounding to 12 decimals, so
+                        # results do not depend on summation order (block layout, engine)
+BOUND_SLACK = 1e-9      # covers the rounding of angles in the bucket bound
 
-def _parallelism(spark) -> int:
+
+def parallelism(spark) -> int:
     try:
         return spark.sparkContext.defaultParallelism
     except Exception:  # noqa: BLE001 - Spark Connect sessions have no SparkContext
         return int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
 
 
-def _n_blocks(df: DataFrame, id_col: str, block_rows: int) -> int:
+def n_blocks(df: DataFrame, id_col: str, block_rows: int) -> int:
     n = df.select(id_col).distinct().count()
     return max(1, math.ceil(n / block_rows))
 
 
-RANK_DIGITS = 12       # similarities are ranked after rounding to 12 decimals, so
-                       # results do not depend on summation order (block layout, engine)
+def top_rows(sim: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, column, value) of the k largest finite entries per row, ordered by
+    value (to RANK_DIGITS) and column.  Entries within a tolerance of the k-th
+    largest raw value are a superset; only those are rounded and ordered."""
+    k = min(k, sim.shape[1])
+    if not k or not len(sim):
+        none = np.zeros(0, dtype=int)
+        return none, none, np.zeros(0)
+    at = sim.shape[1] - k
+    low = np.partition(sim, at, axis=1)[:, at:at + 1]
+    rows, cols = np.nonzero(sim >= low - 4 * 10.0 ** -RANK_DIGITS)
+    vals = sim[rows, cols]
+    fin = np.isfinite(vals)
+    rows, cols, vals = rows[fin], cols[fin], vals[fin]
+    o = np.lexsort((cols, -np.round(vals, RANK_DIGITS), rows))
+    rows, cols, vals = rows[o], cols[o], vals[o]
+    first = np.r_[0, np.flatnonzero(np.diff(rows)) + 1] if len(rows) else np.zeros(0, dtype=int)
+    keep = np.arange(len(rows)) - np.repeat(first, np.diff(np.r_[first, len(rows)])) < k
+    return rows[keep], cols[keep], vals[keep]
+
+
+def _unit(dis, vals, d: int) -> np.ndarray:
+    """Sparse rows (positions, values) as dense vectors of length one; zero
+    vectors stay zero."""
+    m = np.zeros((len(dis), d))
+    rows = np.repeat(np.arange(len(dis)), [len(x) for x in dis])
+    if len(rows):
+        m[rows, np.concatenate([np.asarray(x, dtype=int) for x in dis])] = np.concatenate(list(vals))
+    norm = np.sqrt(np.einsum("ij,ij->i", m, m))
+    return m / np.where(norm > 0, norm, 1.0)[:, None]
+
+
+def _by_group(pdf: pd.DataFrame, g: list[str]):
+    if not g:
+        yield (), pdf
+    else:
+        yield from pdf.groupby(g, sort=False)
+
+
+def _place(pivots: dict, g: list[str], d: int):
+    """Classes -> their bucket (nearest pivot; -1 for zero vectors) and angle."""
+    def run(batches):
+        for pdf in batches:
+            for key, part in _by_group(pdf, g):
+                u = _unit(part["dis"], part["vals"], d)
+                s = u @ pivots[key].T if key in pivots else np.zeros((len(u), 1))
+                zero = ~u.any(axis=1)
+                yield part.assign(bucket=np.where(zero, -1, s.argmax(axis=1)).astype(np.int32),
+                                  angle=np.where(zero, 0.0, np.arccos(np.clip(s.max(axis=1), -1, 1))))
+    return run
+
+
+def _reach(pivots: dict, radius: dict, g: list[str], d: int, kk: int):
+    """Queries -> a row per bucket that may hold one of their kk nearest."""
+    def run(batches):
+        for pdf in batches:
+            for key, part in _by_group(pdf, g):
+                mine = radius.get(key, {})
+                if not mine:
+                    continue
+                u = _unit(part["dis"], part["vals"], d)
+                buckets = np.array(sorted(mine), dtype=np.int32)
+                r = np.array([mine[b] for b in buckets.tolist()])
+                p = pivots.get(key, np.zeros((0, d)))
+                s = u @ p.T
+                least = np.partition(s, len(p) - kk, axis=1)[:, len(p) - kk] if len(p) >= kk else np.full(len(u), -np.inf)
+                best = np.zeros((len(u), len(buckets)))             # zero vectors: similarity 0 with everything
+                some = buckets >= 0
+                if some.any():
+                    angle = np.arccos(np.clip(s[:, buckets[some]], -1, 1))
+                    best[:, some] = np.where(u.any(axis=1)[:, None], np.cos(np.maximum(angle - r[some], 0.0)), 0.0)
+                rows, cols = np.nonzero(best >= least[:, None] - BOUND_SLACK)
+                yield part.iloc[rows].assign(bucket=buckets[cols])
+    return run
+
+
+def _vectors(df: DataFrame, g: list[str], id_col: str, dim_col: str, val_col: str, dims: Column) -> DataFrame:
+    """(group..., id, dis, vals, cls): sparse vectors by position in the
+    dimension catalog; cls is the same for equal vectors of a group."""
+    cells = (df.filter(F.col(id_col).isNotNull())
+             .groupBy(*g, F.col(id_col).alias("id"), F.col(dim_col).cast("string").alias("_d"))
+             .agg(F.sum(val_col).cast("double").alias("val"))
+             .withColumn("_dims", dims)
+             .withColumn("di", (F.array_position("_dims", F.col("_d")) - 1).cast("int")))
+    held = F.filter(F.collect_list(F.struct("di", "val")), lambda x: x["di"].isNotNull() & (x["val"] != 0))
+    return (cells.groupBy(*g, "id").agg(F.array_sort(held).alias("_e"))       # at most the catalog
+            .select(*g, "id", F.transform("_e", lambda x: x["di"]).alias("dis"),
+                    F.transform("_e", lambda x: x["val"]).alias("vals"))
+            .withColumn("cls", F.md5(F.concat_ws("|", *[F.col(c).cast("string") for c in g],
+                                                 F.col("dis").cast("string"), F.col("vals").cast("string")))))
 
 
 def cosine_topk(cand: DataFrame, k: int, query: DataFrame | None = None,
@@ -54,89 +156,107 @@ def cosine_topk(cand: DataFrame, k: int, query: DataFrame | None = None,
     Returns (group..., qid, cid, sim, rank); ties (to 12 decimals) broken by
     candidate id ascending; a zero vector has similarity 0 with everything.
     ``query=None`` means all candidates query each other (self excluded when
-    ``exclude_self``).  With ``group_cols`` (e.g. a variant key) neighbours
-    are searched only inside the same group -- many kNN problems, one job.
-
-    Vectors stay in long form; each dimension is replaced by its integer
-    position in the (bounded) dimension catalog, and the kernel scatters the
-    rows of one block into dense numpy matrices.
+    ``exclude_self``).  With ``group_cols`` (e.g. a variant key, never null)
+    neighbours are searched only inside the same group -- many kNN problems,
+    one job.  Null ids and null dimensions take no part.
     """
     g = list(group_cols)
-    query = cand if query is None else query
-    id_type = cand.schema[id_col].dataType
-    dims = (cand.select(F.col(dim_col).cast("string").alias("d"))
-            .union(query.select(F.col(dim_col).cast("string").alias("d"))).distinct()
+    kk = k + int(exclude_self)          # classes (and members of one) that an answer can need
+    both = cand if query is None else cand.select(F.col(dim_col)).unionAll(query.select(F.col(dim_col)))
+    dims = (both.select(F.col(dim_col).cast("string").alias("d")).distinct()
             .agg(F.sort_array(F.collect_list("d"))).scalar())          # bounded: the feature catalog
 
-    def indexed(df: DataFrame) -> DataFrame:
-        return (df.groupBy(*g, id_col, F.col(dim_col).cast("string").alias("_d"))
-                .agg(F.sum(val_col).cast("double").alias("val"))
-                .withColumn("_dims", dims)
-                .select(*[F.col(c).alias(c) for c in g], F.col(id_col).alias("id"),
-                        (F.array_position("_dims", F.col("_d")) - 1).cast("int").alias("di"), "val"))
-
-    qd, cd = indexed(query), indexed(cand)
-    bq, bc = _n_blocks(qd, "id", block_rows), _n_blocks(cd, "id", block_rows)
-    # block keys are INT on both sides: the cogroup hash-partitions on them
-    qb = (qd.withColumn("qb", F.pmod(F.xxhash64("id"), F.lit(bq)).cast("int"))
-          .withColumn("cb", F.explode(F.sequence(F.lit(0), F.lit(bc - 1), F.lit(1)).cast("array<int>"))))
-    cb = (cd.withColumn("cb", F.pmod(F.xxhash64("id"), F.lit(bc)).cast("int"))
-          .withColumn("qb", F.explode(F.sequence(F.lit(0), F.lit(bq - 1), F.lit(1)).cast("array<int>"))))
-    fields = [cand.schema[c] for c in g]
-    schema = T.StructType([T.StructField(f.name, f.dataType) for f in fields]
-                          + [T.StructField("qid", id_type), T.StructField("cid", id_type),
-                             T.StructField("sim", T.DoubleType())])
-    out_cols = [*g, "qid", "cid", "sim"]
-    tol = 4 * 10.0 ** -RANK_DIGITS
-
-    def kernel(qpdf: pd.DataFrame, cpdf: pd.DataFrame) -> pd.DataFrame:
-        if qpdf.empty or cpdf.empty:
-            return pd.DataFrame({c: pd.Series([], dtype=object) for c in out_cols})
-        d = int(max(qpdf["di"].max(), cpdf["di"].max())) + 1
-        qids, qinv = np.unique(qpdf["id"].to_numpy(), return_inverse=True)
-        cids, cinv = np.unique(cpdf["id"].to_numpy(), return_inverse=True)   # ascending ids
-        Q = np.zeros((len(qids), d))
-        C = np.zeros((len(cids), d))
-        Q[qinv, qpdf["di"].to_numpy()] = qpdf["val"].to_numpy()             # (id, dim) unique
-        C[cinv, cpdf["di"].to_numpy()] = cpdf["val"].to_numpy()
-        nq, nc = np.sqrt(np.einsum("ij,ij->i", Q, Q)), np.sqrt(np.einsum("ij,ij->i", C, C))
-        Q /= np.where(nq > 0, nq, 1.0)[:, None]                              # zero rows stay zero
-        C /= np.where(nc > 0, nc, 1.0)[:, None]
-        sim = Q @ C.T
-        if exclude_self:                       # self pairs located by binary search
-            pos = np.minimum(np.searchsorted(cids, qids), len(cids) - 1)
-            hit = np.flatnonzero(cids[pos] == qids)
-            sim[hit, pos[hit]] = -np.inf
-        kk = min(k, len(cids))
-        # candidates within a tolerance of the kk-th best raw similarity are
-        # a superset of the top kk under 12-decimal rounding; only those are
-        # rounded and ordered by (row, -rounded sim, cid)
-        thr = np.partition(sim, len(cids) - kk, axis=1)[:, len(cids) - kk:len(cids) - kk + 1]
-        rows, cols = np.nonzero(sim >= thr - tol)
-        vals = sim[rows, cols]
-        fin = np.isfinite(vals)
-        rows, cols, vals = rows[fin], cols[fin], vals[fin]
-        o = np.lexsort((cols, -np.round(vals, RANK_DIGITS), rows))
-        rows, cols, vals = rows[o], cols[o], vals[o]
-        first = np.r_[0, np.flatnonzero(np.diff(rows)) + 1] if len(rows) else np.zeros(0, dtype=int)
-        rank = np.arange(len(rows)) - np.repeat(first, np.diff(np.r_[first, len(rows)]))
-        keep = rank < kk
-        out = pd.DataFrame({"qid": qids[rows[keep]], "cid": cids[cols[keep]], "sim": vals[keep]})
-        for c in g:
-            out.insert(0, c, qpdf[c].iloc[0])
-        return out[out_cols]
-
-    # one cogroup per (group, query block, candidate block): spread them over
-    # all task slots explicitly (runtime coalescing would pack many heavy
-    # kernels into few tasks because their inputs are small in bytes)
-    keys = [*g, "qb", "cb"]
-    n = 2 * _parallelism(cand.sparkSession)
-    part = (qb.repartition(n, *keys).groupBy(*keys)
-            .cogroup(cb.repartition(n, *keys).groupBy(*keys))
+    def classes_of(vec: DataFrame) -> DataFrame:
+        return cut_lineage(vec.groupBy(*g, "cls").agg(F.min("id").alias("rep"), F.first("dis").alias("dis"),
+                                                      F.first("vals").alias("vals"), F.count(F.lit(1)).alias("n")))
+
+    cvec = cut_lineage(_vectors(cand, g, id_col, dim_col, val_col, dims))
+    qvec = cvec if query is None else cut_lineage(_vectors(query, g, id_col, dim_col, val_col, dims))
+    cc = classes_of(cvec)
+    qc = cc if query is None else classes_of(qvec)
+    sized = cc.groupBy(*g).agg(F.count(F.lit(1)).alias("n"), F.max(F.array_max("dis")).alias("d"))
+    groups, most, d = sized.agg(F.count(F.lit(1)), F.max("n"), F.max("d")).first()
+    d = 1 + max(x for x in (0, d, qc.agg(F.max(F.array_max("dis"))).first()[0] if query is not None else None)
+                if x is not None)
+
+    nn = _class_topk(cc.select(*g, "rep", "dis", "vals"), qc.select(*g, "rep", "dis", "vals"), g, kk,
+                     groups, most or 0, d, block_rows)
+    # the smallest ids of each class that is named, then of all classes of an answer
+    inside = Window.partitionBy(*g, "cls").orderBy("id")
+    members = (cvec.select(*g, "cls", "id").withColumn("_n", F.row_number().over(inside))
+               .withColumn("crep", F.first("id").over(inside)).filter(F.col("_n") <= kk)
+               .select(*g, "crep", F.col("id").alias("cid")))
+    best = Window.partitionBy(*g, "qrep").orderBy(F.round("sim", RANK_DIGITS).desc(), F.col("cid").asc())
+    answers = (nn.join(members, [*g, "crep"]).withColumn("_r", F.row_number().over(best)).filter(F.col("_r") <= kk)
+               .groupBy(*g, "qrep").agg(F.array_sort(F.collect_list(F.struct("_r", "cid", "sim"))).alias("_a")))
+    named = (answers.join(qc.select(*g, F.col("rep").alias("qrep"), "cls", "n"), [*g, "qrep"])
+             .select("cls", "_a", "n"))
+    mine = heavy_join(qvec.select(*g, F.col("id").alias("qid"), "cls"), named, "cls", "n",
+                      qc.agg(F.sum("n")).scalar())
+    others = F.filter("_a", lambda x: x["cid"] != F.col("qid")) if exclude_self else F.col("_a")
+    return (mine.select(*g, "qid", F.posexplode(F.slice(others, 1, k)).alias("_p", "_x"))
+            .select(*g, "qid", F.col("_x.cid").alias("cid"), F.col("_x.sim").alias("sim"), (F.col("_p") + 1).alias("rank")))
+
+
+def _class_topk(cc: DataFrame, qc: DataFrame, g: list[str], kk: int, groups: int, most: int, d: int,
+                block_rows: int) -> DataFrame:
+    """(group..., qrep, crep, sim): the kk nearest classes of every query class,
+    ties by the classes' smallest ids.  A group of one block needs no pivots."""
+    per_group = 1 if most <= block_rows else min(math.ceil(math.sqrt(most)), PIVOTS_MAX // max(groups, 1))
+    if per_group < 2:
+        placed, reach = cc.withColumn("bucket", F.lit(0)), qc.withColumn("bucket", F.lit(0))
+    else:
+        by = Window.partitionBy(*g).orderBy(F.xxhash64("rep"), "rep")
+        chosen = cc.filter(F.size("dis") > 0).withColumn("_n", F.row_number().over(by)).filter(F.col("_n") <= per_group)
+        found: dict[tuple, list] = {}
+        for r in chosen.orderBy("_n").collect():                     # at most PIVOTS_MAX rows
+            found.setdefault(tuple(r[c] for c in g), []).append((r["dis"], r["vals"]))
+        pivots = {key: _unit([x for x, _ in rows], [y for _, y in rows], d) for key, rows in found.items()}
+        fields = cc.schema.fields
+        placed = cut_lineage(cc.mapInPandas(_place(pivots, g, d), T.StructType(
+            fields + [T.StructField("bucket", T.IntegerType()), T.StructField("angle", T.DoubleType())])))
+        radius: dict[tuple, dict] = {}
+        for r in placed.groupBy(*g, "bucket").agg(F.max("angle").alias("r")).collect():      # a row per pivot
+            radius.setdefault(tuple(r[c] for c in g), {})[r["bucket"]] = r["r"]
+        reach = qc.mapInPandas(_reach(pivots, radius, g, d, kk),
+                               T.StructType(fields + [T.StructField("bucket", T.IntegerType())]))
+
+    def blocks(df: DataFrame, name: str) -> DataFrame:
+        return df.groupBy(*g, "bucket").agg(F.ceil(F.count(F.lit(1)) / F.lit(block_rows)).cast("int").alias(name))
+
+    layout = blocks(reach, "nq").join(blocks(placed, "nc"), [*g, "bucket"])                  # a row per pivot
+
+    def spread(df: DataFrame, own: str, own_n: str, other: str, other_n: str) -> DataFrame:
+        return (df.join(F.broadcast(layout), [*g, "bucket"])
+                .withColumn(own, F.pmod(F.xxhash64("rep"), F.col(own_n)).cast("int"))
+                .withColumn(other, F.explode(F.sequence(F.lit(0), F.col(other_n) - 1)))
+                .select(*[F.col(x).alias(x) for x in (*g, "bucket", "qb", "cb", "rep", "dis", "vals")]))
+
+    kinds = [cc.schema[c] for c in g]
+    id_type = cc.schema["rep"].dataType
+    schema = T.StructType(kinds + [T.StructField("qrep", qc.schema["rep"].dataType), T.StructField("crep", id_type),
+                                   T.StructField("sim", T.DoubleType())])
+    names = [f.name for f in schema.fields]
+
+    def kernel(q: pd.DataFrame, c: pd.DataFrame) -> pd.DataFrame:
+        if q.empty or c.empty:
+            return pd.DataFrame({x: pd.Series([], dtype=object) for x in names})
+        c = c.sort_values("rep")                                     # columns in id order: ties by id
+        rows, cols, vals = top_rows(_unit(q["dis"], q["vals"], d) @ _unit(c["dis"], c["vals"], d).T, kk)
+        out = pd.DataFrame({"qrep": q["rep"].to_numpy()[rows], "crep": c["rep"].to_numpy()[cols], "sim": vals})
+        for x in g:
+            out[x] = q[x].iloc[0]
+        return out[names]
+
+    # spread the kernels over all task slots explicitly (runtime coalescing
+    # would pack many heavy ones into few tasks, their inputs being small)
+    keys = [*g, "bucket", "qb", "cb"]
+    n = max(2 * parallelism(cc.sparkSession), int(cc.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    part = (spread(reach, "qb", "nq", "cb", "nc").repartition(n, *keys).groupBy(*keys)
+            .cogroup(spread(placed, "cb", "nc", "qb", "nq").repartition(n, *keys).groupBy(*keys))
             .applyInPandas(kernel, schema))
-    w = Window.partitionBy(*g, "qid").orderBy(F.round("sim", RANK_DIGITS).desc(), F.col("cid").asc())
-    return (part.withColumn("rank", F.row_number().over(w))
-            .filter(F.col("rank") <= k))
+    w = Window.partitionBy(*g, "qrep").orderBy(F.round("sim", RANK_DIGITS).desc(), F.col("crep").asc())
+    return part.withColumn("_r", F.row_number().over(w)).filter(F.col("_r") <= kk).drop("_r")
 
 
 def jaccard_pairs(pairs: DataFrame, set_col: str, elem_col: str) -> DataFrame:
@@ -154,18 +274,26 @@ def jaccard_pairs(pairs: DataFrame, set_col: str, elem_col: str) -> DataFrame:
         """Co-occurrence counts of sets within a frame holding whole elements."""
         sets, sinv = np.unique(pdf["s"].to_numpy(), return_inverse=True)
         elems, einv = np.unique(pdf["e"].to_numpy(), return_inverse=True)
-        if len(sets) <= DENSE_SETS_MAX:
-            m = np.zeros((len(elems), len(sets)))
-            m[einv, sinv] = 1.0
-            acc = m.T @ m                     # exact: integer counts far below 2**53
-            np.fill_diagonal(acc, 0)
-            ia, ib = np.nonzero(acc)
-            return pd.DataFrame({"a": sets[ia], "b": sets[ib], "inter": acc[ia, ib].astype(np.int64)})
-        g = pd.DataFrame({"s": pdf["s"].to_numpy(), "e": einv})    # very many sets: exact pair counts
-        mm = g.merge(g, on="e")
-        mm = mm[mm["s_x"] != mm["s_y"]]
-        return (mm.groupby(["s_x", "s_y"]).size().reset_index(name="inter")
-                .rename(columns={"s_x": "a", "s_y": "b"}))
+        by = np.argsort(sinv, kind="stable")
+        cuts = np.searchsorted(sinv[by], np.arange(0, len(sets) + TILE_SETS, TILE_SETS))
+
+        def tile(i: int) -> np.ndarray:
+            at = by[cuts[i]:cuts[i + 1]]
+            m = np.zeros((len(elems), min(TILE_SETS, len(sets) - i * TILE_SETS)), dtype=np.float32)
+            m[einv[at], sinv[at] - i * TILE_SETS] = 1.0
+            return m
+
+        for i in range(len(cuts) - 1):
+            left = tile(i)
+            for j in range(i, len(cuts) - 1):
+                acc = left.T @ (tile(j) if j > i else left)   # exact: a frame has far below 2**24 elements
+                if i == j:
+                    np.fill_diagonal(acc, 0)
+                ia, ib = np.nonzero(acc)
+                a, b, n = sets[ia + i * TILE_SETS], sets[ib + j * TILE_SETS], acc[ia, ib].astype(np.int64)
+                yield pd.DataFrame({"a": a, "b": b, "inter": n})
+                if j > i:
+                    yield pd.DataFrame({"a": b, "b": a, "inter": n})
 
     def local_counts(batches):
         """Batches arrive sorted by element: all rows of an element are
@@ -181,9 +309,9 @@ def jaccard_pairs(pairs: DataFrame, set_col: str, elem_col: str) -> DataFrame:
             tail = b["e"].to_numpy() == last
             carry, done = b[tail], b[~tail]
             if not done.empty:
-                yield counts_of(done)
+                yield from counts_of(done)
         if carry is not None and not carry.empty:
-            yield counts_of(carry)
+            yield from counts_of(carry)
 
     co = (d.repartition("e").sortWithinPartitions("e").mapInPandas(local_counts, schema)
           .groupBy("a", "b").agg(F.sum("inter").alias("inter")))

@@ -111,6 +111,61 @@ def test_cosine_topk_groups_are_independent(spark):
     assert per[("b", 9)] == 0                     # orthogonal to all -> sim 0, lowest id
 
 
+def test_cosine_topk_through_pivots_is_exact(spark):
+    rng = np.random.default_rng(5)
+    vecs = {i: [float(x) for x in rng.integers(-1, 6, 4)] for i in range(400)}
+    vecs |= {i: vecs[i % 5] for i in range(400, 460)}           # few classes with many ids
+    vecs |= {i: [0.0] * 4 for i in range(460, 465)}
+    rows = [(g, i, f"d{j}", v) for g in "ab" for i, vec in vecs.items() for j, v in enumerate(vec)
+            if g == "a" or i % 2]
+    rows += [("a", None, "d0", 1.0), ("a", 3, None, 1.0)]       # take no part
+    df = spark.createDataFrame(rows, "variant string, id long, dim string, val double")
+    got = {}
+    for r in cosine_topk(df, 4, group_cols=["variant"], block_rows=16).collect():
+        got.setdefault(r.variant, {}).setdefault(r.qid, {})[r.rank] = r.cid
+    for g, ids in (("a", vecs), ("b", {i: v for i, v in vecs.items() if i % 2})):
+        want = {q: {n + 1: c for n, (c, _) in enumerate(x)} for q, x in _brute_cosine(ids, 4).items()}
+        assert got[g] == want
+
+
+def test_cosine_topk_other_queries_and_empty_tables(spark):
+    schema = "id long, dim string, val double"
+    cand = spark.createDataFrame([(i, f"d{j}", float((i * 7 + j * 3) % 5)) for i in range(50) for j in range(3)], schema)
+    query = spark.createDataFrame([(i, f"d{j}", float((i * 7 + j * 3) % 5)) for i in range(40, 60) for j in range(3)],
+                                  schema)
+    own = cosine_topk(cand, 2, query=query, exclude_self=False, block_rows=8).filter("rank = 1").collect()
+    assert len(own) == 20 and all(r.sim == pytest.approx(1.0) and r.cid == r.qid % 5 for r in own)
+    none = spark.createDataFrame([], schema)
+    assert cosine_topk(none, 2).count() == 0
+    assert cosine_topk(cand, 2, query=none, exclude_self=False).count() == 0
+    assert cosine_topk(none, 2, query=query, exclude_self=False).count() == 0
+
+
+def test_bucket_bound_leaves_most_buckets_out():
+    from partnerlens.operators.similarity import _place, _reach, _unit
+    rng = np.random.default_rng(2)
+    share = []
+    for n in (2000, 8000, 32000):
+        m = rng.random((n, 4))
+        pdf = pd.DataFrame({"rep": np.arange(n), "dis": [np.arange(4)] * n, "vals": list(m)})
+        p = math.ceil(math.sqrt(n))
+        pivots = {(): _unit(pdf["dis"][:p], pdf["vals"][:p], 4)}
+        placed = pd.concat(_place(pivots, [], 4)([pdf]))
+        radius = {(): placed.groupby("bucket")["angle"].max().to_dict()}
+        size = placed["bucket"].value_counts()
+        met = sum(size[b["bucket"]].sum() for b in _reach(pivots, radius, [], 4, 2)([pdf[:500]]))
+        share.append(met / 500 / n)
+    assert share[0] < 0.5 and share[1] < 0.7 * share[0] and share[2] < 0.7 * share[1]
+
+
+def test_jaccard_tiles_agree(spark, monkeypatch):
+    from partnerlens.operators import similarity
+    pairs = spark.createDataFrame([(f"s{(i * 13) % 11}", (i * 7) % 17) for i in range(120)], "s string, e int")
+    whole = sorted(map(tuple, jaccard_pairs(pairs, "s", "e").collect()))
+    monkeypatch.setattr(similarity, "TILE_SETS", 3)
+    assert sorted(map(tuple, jaccard_pairs(pairs, "s", "e").collect())) == whole and whole
+
+
 def test_jaccard_and_topn_similar_fill_zeros(spark):
     pairs = spark.createDataFrame([("A", 1), ("A", 2), ("B", 2), ("B", 3), ("C", 9), ("D", 1)],
                                   "s string, e int")
