@@ -5,7 +5,7 @@ reference uses brute-force ``NearestNeighbors``), without comparing all ids:
 
 1. Equal vectors are one class; only classes are compared.  A class stands for
    its smallest ids, as many as an answer can name.
-2. Candidate classes lie in buckets around pivots (classes chosen by hash, at
+2. Beyond a few blocks, candidate classes lie in buckets around pivots (classes chosen by hash, at
    most PIVOTS_MAX, about the root of the number of classes).  A query goes
    to a bucket only if the angle to its pivot less the bucket's radius allows
    a similarity as high as the query's k-th best pivot.  The bound is exact,
@@ -37,6 +37,7 @@ from partnerlens.session import cut_lineage
 
 BLOCK_ROWS = 4096       # vectors per block, on average; a kernel holds BLOCK_ROWS^2 doubles (128 MB)
 PIVOTS_MAX = 4096       # pivots of all groups together
+PIVOTS_FROM = 8         # blocks in a group from which on finding buckets costs less than it saves
 TILE_SETS = 1024        # sets per tile of a local co-occurrence count
 RANK_DIGITS = 12        # similarities are ranked after rounding to 12 decimals, so
                         # results do not depend on summation order (block layout, engine)
@@ -201,8 +202,8 @@ def cosine_topk(cand: DataFrame, k: int, query: DataFrame | None = None,
 def _class_topk(cc: DataFrame, qc: DataFrame, g: list[str], kk: int, groups: int, most: int, d: int,
                 block_rows: int) -> DataFrame:
     """(group..., qrep, crep, sim): the kk nearest classes of every query class,
-    ties by the classes' smallest ids.  A group of one block needs no pivots."""
-    per_group = 1 if most <= block_rows else min(math.ceil(math.sqrt(most)), PIVOTS_MAX // max(groups, 1))
+    ties by the classes' smallest ids.  Groups of few blocks need no pivots."""
+    per_group = 1 if most <= PIVOTS_FROM * block_rows else min(math.ceil(math.sqrt(most)), PIVOTS_MAX // max(groups, 1))
     if per_group < 2:
         placed, reach = cc.withColumn("bucket", F.lit(0)), qc.withColumn("bucket", F.lit(0))
     else:
