@@ -25,6 +25,8 @@ and never pairs.  Later exact copies of a whole text are found before all this
 
 from __future__ import annotations
 
+import hashlib
+
 import ahocorasick
 import numpy as np
 import pyarrow as pa
@@ -43,13 +45,14 @@ class Block:
     """The documents of one block, in the order of (id, text), as one sequence
     of word ids; a separator that is no word ends every document."""
 
-    def __init__(self, docs: pa.Table, copies: set[int]):
+    def __init__(self, docs: pa.Table, copies: set[str]):
         ids = [NO_ID if x is None else x for x in docs.column("__id").to_pylist()]
         texts = [(x or "").encode("utf-8", "surrogatepass") for x in docs.column("__text").to_pylist()]
         self.order = sorted(range(len(ids)), key=lambda i: (ids[i], texts[i]))
         self.doc = np.array([ids[i] for i in self.order], dtype=np.int64)
         self.words = [texts[i].split() for i in self.order]
-        self.copy = np.array([int(d) in copies for d in self.doc], dtype=bool)
+        marked = {int(c.partition(":")[0]) for c in copies}  # an id may have other texts too: the digest decides
+        self.copy = np.array([ids[i] in marked and copy_mark(ids[i], texts[i]) in copies for i in self.order], dtype=bool)
         self.vocab = Vocab()
         parts = []
         end = np.array([-1], dtype=np.int32)
@@ -89,7 +92,12 @@ class Block:
         return d, at - self.starts[d]
 
 
-def _copies(table: pa.Table) -> set[int]:
+def copy_mark(doc: int, text: bytes) -> str:
+    """Mark of a later copy, as later_copies makes it."""
+    return f"{doc}:{hashlib.md5(text).hexdigest()}"
+
+
+def _copies(table: pa.Table) -> set[str]:
     return set(table.column("__copy").drop_null().to_pylist())
 
 
@@ -102,7 +110,7 @@ def _find_anchors(window: int):
         return pa.table({"__block": pa.array([key[0].as_py()] * (len(h) + len(marks)), pa.int32()),
                          "__hash": pa.concat_arrays([pa.array(h.view(np.int64)), pa.nulls(len(marks), pa.int64())]),
                          "__n": pa.concat_arrays([pa.array(n, pa.int64()), pa.array([2] * len(marks), pa.int64())]),
-                         "__copy": pa.concat_arrays([pa.nulls(len(h), pa.int64()), pa.array(marks, pa.int64())])})
+                         "__copy": pa.concat_arrays([pa.nulls(len(h), pa.string()), pa.array(marks, pa.string())])})
     return run
 
 
@@ -131,7 +139,7 @@ def occurrences(seq: np.ndarray, phrases: np.ndarray, words: int) -> np.ndarray:
     return np.fromiter((e for e, _ in a.iter(_letters(seq + 1, width, bits))), np.int64) // width
 
 
-PLACES = "__block int, __h1 long, __h2 long, __doc long, __start int, __run int, __ord int, __copy long"
+PLACES = "__block int, __h1 long, __h2 long, __doc long, __start int, __run int, __ord int, __copy string"
 
 
 def _find_windows(window: int):
@@ -178,7 +186,7 @@ def _find_windows(window: int):
         none = pa.nulls(m, pa.int64())
         full = [pa.concat_arrays([pa.array(cols[c], pa.int64()), none]) for c in ("h1", "h2", "doc", "start", "run", "ord")]
         full = full[:3] + [x.cast(pa.int32()) for x in full[3:]]
-        copy = pa.concat_arrays([pa.nulls(n, pa.int64()), *marks.chunks]) if m else pa.nulls(n, pa.int64())
+        copy = pa.concat_arrays([pa.nulls(n, pa.string()), pa.array(marks.to_pylist(), pa.string())])
         return pa.table([pa.array([key[0].as_py()] * (n + m), pa.int32()), *full, copy],
                         names=[x.split()[0] for x in PLACES.split(", ")])
     return run
@@ -212,11 +220,11 @@ def _cut(window: int, names: list[str]):
 
 
 def later_copies(docs: DataFrame, blocks: int) -> DataFrame:
-    """(block, id) of rows whose whole text also stands in a smaller id."""
+    """(block, id:digest) of rows whose whole text also stands in a smaller id."""
     keyed = scratch(docs.select("__block", "__id", F.md5(F.col("__text")).alias("__md5")).filter("__text is not null and __id is not null"), "digests")
     firsts = keyed.groupBy("__md5").agg(F.min("__id").alias("__min"), F.count(F.lit(1)).alias("__n")).filter("__n > 1")
     return (lookup(keyed, firsts, "__md5", "__n", keyed.count()).filter(F.col("__id") > F.col("__min"))
-            .select("__block", F.col("__id").alias("__copy")).distinct())
+            .select("__block", F.concat_ws(":", "__id", "__md5").alias("__copy")).distinct())
 
 
 def substring_dedup(docs: DataFrame, window: int = 20, carry: tuple[str, ...] = (), key: str = "doc_id",
@@ -237,7 +245,7 @@ def substring_dedup(docs: DataFrame, window: int = 20, carry: tuple[str, ...] =
     blocks = rows.groupBy("__block")
     copies = scratch(later_copies(rows_of(docs, n, key, text), n), "copies")
     anchors = blocks.cogroup(copies.groupBy("__block")).applyInArrow(
-        _find_anchors(window), "__block int, __hash long, __n long, __copy long")
+        _find_anchors(window), "__block int, __hash long, __n long, __copy string")
     often = F.sum("__n").over(Window.partitionBy("__hash", F.col("__copy")))
     recurring = anchors.withColumn("__all", often).filter("__all > 1").select("__block", "__hash", "__copy")
     places = blocks.cogroup(recurring.groupBy("__block")).applyInArrow(_find_windows(window), PLACES)

@@ -268,6 +268,33 @@ def test_substring_dedup_odd_rows(spark):
     assert by[2]["n_words"] == 0 and by[2]["kept_text"] == "" and by[9]["n_removed"] == 0 and by[1]["c_shard"] == "x"
 
 
+def brute_dedup_rows(texts, window=20):
+    """As brute_dedup, by row: an id may have several texts."""
+    words = [(i, WORD.findall(t or "")) for i, t in texts]
+    first = {}
+    for i, w in words:
+        for s in range(len(w) - window + 1):
+            k = tuple(w[s:s + window])
+            first[k] = min(first.get(k, (i, s)), (i, s))
+    out = []
+    for i, w in words:
+        gone = set()
+        for s in range(len(w) - window + 1):
+            if first[tuple(w[s:s + window])] < (i, s):
+                gone.update(range(s, s + window))
+        out.append((i, len(w), len(gone), " ".join(x for j, x in enumerate(w) if j not in gone)))
+    return Counter(out)
+
+
+def test_substring_dedup_ids_with_several_texts(spark):
+    a, b, c = (" ".join(f"{x}{i}" for i in range(30)) for x in "abc")
+    texts = [(1, a), (2, a), (2, f"{b} only here"), (3, f"new {b}"), (4, c), (5, c), (5, c), (5, f"{c} more"), (6, f"x {c} {b}")]
+    df = spark.createDataFrame(texts, "doc_id long, text string")
+    got = Counter((x["doc_id"], x["n_words"], x["n_removed"], x["kept_text"]) for x in substring_dedup(df).collect())
+    assert got == brute_dedup_rows(texts)
+    assert got[2, 32, 0, f"{b} only here"] == 1 and got[3, 31, 30, "new"] == 1
+
+
 # ------------------------------------------------------------ op4
 
 def brute_fingerprint(text):
