@@ -167,7 +167,7 @@ def _find_windows(window: int):
                 later = np.zeros(len(by), dtype=bool)
                 later[by] = (doc[by] > doc[first]) | (start[by] > start[first])
                 lead = np.sort(by[head])
-                # settled windows, as runs of consecutive starts; a hash of their own keeps them apart
+                # settled windows, as runs of consecutive starts; their place stands for a hash and keeps them apart
                 s = np.flatnonzero(later)
                 cut = np.ones(len(s), dtype=bool)
                 cut[1:] = np.diff(w[s]) != 1
@@ -177,8 +177,9 @@ def _find_windows(window: int):
                 # an equal place (a row that repeats an id) is neither earlier nor later and stays with the leader
                 same = np.setdiff1d(np.flatnonzero(~later), lead)
                 lead = np.sort(np.concatenate([lead, same]))
-                cols = {"h1": np.concatenate([a1[lead], a1[r]]).view(np.int64),
-                        "h2": np.concatenate([a2[lead], a2[r]]).view(np.int64),
+                own = (key[0].as_py() << 32) + ordinal[r]
+                cols = {"h1": np.concatenate([a1[lead].view(np.int64), own]),
+                        "h2": np.concatenate([a2[lead].view(np.int64), start[r]]),
                         "doc": np.concatenate([doc[lead], doc[r]]), "start": np.concatenate([start[lead], start[r]]),
                         "run": np.concatenate([np.zeros(len(lead), np.int64), length]),
                         "ord": np.concatenate([ordinal[lead], ordinal[r]])}

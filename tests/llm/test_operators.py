@@ -286,6 +286,21 @@ def brute_dedup_rows(texts, window=20):
     return Counter(out)
 
 
+def test_settled_windows_stay_out_of_window_groups():
+    """A passage in every text of a block: one row per distinct window, the
+    later places each in a group of their own."""
+    import pyarrow as pa
+    from partnerlens.llm import substring_dedup as m
+    shared = " ".join(f"s{i}" for i in range(25))
+    docs = pa.table({"__block": pa.array([3] * 50, pa.int32()), "__id": pa.array(range(50), pa.int64()),
+                     "__text": [f"a{i} b{i} {shared} c{i}" for i in range(50)]})
+    found = m._find_anchors(20)((pa.scalar(3),), docs, pa.table({"__copy": pa.array([], pa.string())}))
+    known = found.filter(pa.compute.greater(found.column("__n"), 1))
+    rows = m._find_windows(20)((pa.scalar(3),), docs, known).to_pylist()
+    assert sum(r["__run"] == 6 for r in rows) == 49 == sum(r["__run"] > 0 for r in rows)
+    assert max(Counter((r["__h1"], r["__h2"]) for r in rows).values()) == 1
+
+
 def test_substring_dedup_ids_with_several_texts(spark):
     a, b, c = (" ".join(f"{x}{i}" for i in range(30)) for x in "abc")
     texts = [(1, a), (2, a), (2, f"{b} only here"), (3, f"new {b}"), (4, c), (5, c), (5, c), (5, f"{c} more"), (6, f"x {c} {b}")]
