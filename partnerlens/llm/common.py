@@ -46,10 +46,11 @@ def block_count(docs: DataFrame, text: str, block_bytes: int) -> int:
     return max(math.ceil(total / block_bytes), shuffle_parts(docs.sparkSession))
 
 
-def block_of(key, n: int):
-    """Block number of a row: a hash of its key, so equal keys share a block
-    and no source or other attribute of the rows makes a block large."""
-    return F.pmod(F.xxhash64(key), F.lit(n)).cast("int")
+def block_of(n: int, key, text):
+    """Block number of a row: a hash of its key and text, so that neither null
+    nor repeated keys nor any other attribute of the rows make a block large;
+    only rows equal in both share one."""
+    return F.pmod(F.xxhash64(key, text), F.lit(n)).cast("int")
 
 
 def gapless_index(df: DataFrame, groups: list[str], order: list[str], name: str,

@@ -3,7 +3,7 @@
 A passage of ``window`` words that starts earlier elsewhere (in a smaller
 doc_id, or before in the same document) is removed.
 
-1. Documents are dealt into blocks by a hash of the id.  In each block every
+1. Documents are dealt into blocks by a hash of id and text.  In each block every
    run of words yields anchors: the phrases of ANCHOR words whose hash is the
    least among the ``window - ANCHOR + 1`` phrases of a window.  Equal windows
    have equal anchors, so only anchors that recur matter, and per block each
@@ -240,7 +240,7 @@ def substring_dedup(docs: DataFrame, window: int = 20, carry: tuple[str, ...] =
     n = block_count(docs, text, BLOCK_BYTES)
     names = [f"c_{c}" for c in carry]
     # the one shuffle of the texts; all three passes below read it
-    rows = (docs.select(block_of(F.col(key), n).alias("__block"), F.col(key).cast("long").alias("__id"),
+    rows = (docs.select(block_of(n, F.col(key), F.col(text)).alias("__block"), F.col(key).cast("long").alias("__id"),
                         F.col(text).alias("__text"), *[F.col(f"`{c}`").alias(f"c_{c}") for c in carry])
             .repartition(n, "__block"))
     blocks = rows.groupBy("__block")
@@ -261,5 +261,5 @@ def substring_dedup(docs: DataFrame, window: int = 20, carry: tuple[str, ...] =
 
 
 def rows_of(docs: DataFrame, n: int, key: str, text: str) -> DataFrame:
-    return docs.select(block_of(F.col(key), n).alias("__block"), F.col(key).cast("long").alias("__id"),
+    return docs.select(block_of(n, F.col(key), F.col(text)).alias("__block"), F.col(key).cast("long").alias("__id"),
                        F.col(text).alias("__text"))

@@ -310,6 +310,24 @@ def test_substring_dedup_ids_with_several_texts(spark):
     assert got[2, 32, 0, f"{b} only here"] == 1 and got[3, 31, 30, "new"] == 1
 
 
+def test_null_and_repeated_ids_spread_over_blocks(spark):
+    from partnerlens.llm.substring_dedup import rows_of
+    r = random.Random(8)
+    pool = [" ".join(f"p{r.randrange(9999)}" for _ in range(25)) for _ in range(6)]
+    big = 2 ** 63 - 1  # brute_dedup_rows sorts by id; a null one counts as the largest
+    texts = [(i, f"t{j} u{j} {r.choice(pool)} w{j}") for i in (7, big) for j in range(60)]
+    texts += [(3, pool[0]), (7, pool[1]), (big, pool[1])]
+    df = spark.createDataFrame([(None if i == big else i, t) for i, t in texts], "doc_id long, text string")
+    for rows, name in ((rows_of(df, 16, "doc_id", "text"), "__id"), (hmm.blocks_of(df, 16), "doc_id")):
+        for which in (f"{name} = 7", f"{name} is null"):
+            assert rows.filter(which).select("__block").distinct().count() > 8
+    got = Counter((big if x["doc_id"] is None else x["doc_id"], x["n_words"], x["n_removed"], x["kept_text"])
+                  for x in substring_dedup(df).collect())
+    assert got == brute_dedup_rows(texts)
+    scored = hmm.lm_scores(df).collect()
+    assert len(scored) == len(texts) and len({(x["doc_id"], x["train_tokens"]) for x in scored}) == 3
+
+
 # ------------------------------------------------------------ op4
 
 def brute_fingerprint(text):
