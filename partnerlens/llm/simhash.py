@@ -62,6 +62,15 @@ def _fingerprints(shingle: int):
     return run
 
 
+def with_fingerprints(df: DataFrame, text: str = "text", shingle: int = 3) -> DataFrame:
+    """``df`` with the column fp."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            fp = np.array([fingerprint(t, shingle) for t in b.column(text).to_pylist()], dtype=np.uint64)
+            yield pa.record_batch([*b.columns, pa.array(fp.view(np.int64))], names=[*b.schema.names, "fp"])
+    return df.mapInArrow(run, ", ".join(f"`{n}` {t}" for n, t in [*df.dtypes, ("fp", "long")]))
+
+
 def gray_rank(x: np.ndarray) -> np.ndarray:
     """Place of 64-bit words in the reflected Gray code."""
     x = x.copy()
@@ -277,13 +286,27 @@ def simhash_groups(docs: DataFrame, shingle: int = 3, distance: int = 3, key: st
     document for the links; a null id reaches others but is nobody's
     component (all-null groups have the component null).  An empty table gives
     no rows."""
+    out = grouped(docs, shingle, distance, key, text)
+    return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id", "n_same")
+
+
+def grouped(docs: DataFrame, shingle: int = 3, distance: int = 3, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """simhash_groups with the fingerprint as a number, fp, and the smallest
+    such number of the group, root.  Fingerprints are the nodes of the links,
+    so that those without an id link like any other."""
     total_fps = scratch(docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text"))
                         .mapInArrow(_fingerprints(shingle), "doc_id long, fp long"), "fingerprints")
     classes = scratch(total_fps.groupBy("fp").agg(F.min("doc_id").alias("low"), F.count(F.lit(1)).alias("n_same")), "classes")
-    ids = classes.withColumn("rep", F.col("low"))
-    roots = components(links(ids.filter("rep is not null"), distance))
-    named = (ids.join(roots.select(F.col("node").alias("__node"), "root"), F.col("rep") == F.col("__node"), "left")
-             .select("fp", F.coalesce("root", "rep").alias("component_id"), "n_same", F.col("n_same").alias("__n")))
-    total = total_fps.count()
-    out = lookup(total_fps, named, "fp", "__n", total)
-    return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id", "n_same")
+    n_classes = classes.count()
+    # fingerprints whose smallest id is the same
+    named = classes.filter("low is not null").select("low", "fp")
+    several = named.groupBy("low").agg(F.min("fp").alias("a"), F.count(F.lit(1)).alias("__n")).filter("__n > 1")
+    repeated = lookup(named, several, "low", "__n", n_classes).filter("a < fp").select("a", F.col("fp").alias("b"))
+    near = links(classes.select(F.col("fp").alias("rep"), "fp"), distance)
+    roots = components(near.unionByName(repeated)).select(F.col("node").alias("__node"), "root")
+    rooted = scratch(classes.join(roots, F.col("fp") == F.col("__node"), "left")
+                     .select("fp", F.coalesce("root", "fp").alias("root"), "low", "n_same"), "rooted")
+    lows = rooted.groupBy("root").agg(F.min("low").alias("component_id"), F.count(F.lit(1)).alias("__n"))
+    of_class = (lookup(rooted, lows, "root", "__n", n_classes)
+                .select("fp", "root", "component_id", "n_same", F.col("n_same").alias("__n")))
+    return lookup(total_fps, of_class, "fp", "__n", total_fps.count())

@@ -413,6 +413,38 @@ def test_simhash_odd_rows(spark):
     assert simhash_groups(empty(odd_docs(spark))).count() == 0
 
 
+def near_texts(seed, far):
+    """Three texts, each at most 3 bits from the one before; with ``far`` the
+    last is further than that from the first."""
+    r = random.Random(seed)
+    while True:
+        words = [f"n{r.randrange(5000)}" for _ in range(400)]
+        texts = [" ".join(words)]
+        for _ in range(2000):
+            old, at = words[:], r.randrange(400)
+            words[at] = f"m{r.randrange(5000)}"
+            f = fingerprint(" ".join(words))
+            step = (fingerprint(texts[-1]) ^ f).bit_count()
+            if step > 3:
+                words = old
+            elif step and (len(texts) == 1 or not far or (fingerprint(texts[0]) ^ f).bit_count() > 3):
+                texts.append(" ".join(words))
+                if len(texts) == 3:
+                    return texts
+
+
+def null_id_rows():
+    a, n, b = near_texts(1, True)
+    c, d, _ = near_texts(2, False)
+    return [(2, a), (None, n), (1, b), (None, c), (None, d), (None, d), (4, "quite another text, alone")]
+
+
+def test_simhash_links_null_ids(spark):
+    df = spark.createDataFrame(null_id_rows(), "doc_id long, text string")
+    got = [(r["doc_id"], r["component_id"]) for r in simhash_groups(df).collect()]
+    assert Counter(got) == Counter([(2, 1), (1, 1), (None, 1), (None, None), (None, None), (None, None), (4, 4)])
+
+
 def test_components_long_chain(spark):
     n = 300
     e = spark.createDataFrame([(i, i + 1) for i in range(n)] + [(1000, 1001)], "a long, b long")

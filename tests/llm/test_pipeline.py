@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 import corpus_pipeline
 from partnerlens.llm.common import scratch
 from tests.conftest import SF_SMALL
-from tests.llm.test_operators import (brute_components, brute_counts, brute_dedup, brute_fingerprint, check_pieces, odd_docs)
+from tests.llm.test_operators import (brute_components, brute_counts, brute_dedup, brute_fingerprint, check_pieces, null_id_rows,
+                                      odd_docs)
 
 
 @pytest.fixture(scope="module")
@@ -49,6 +50,15 @@ def test_near_duplicate_stage(stages):
     assert set(after) == {i for i, r in root.items() if i == r}
 
 
+def test_near_duplicate_stage_without_ids(spark):
+    rows = null_id_rows()
+    df = spark.createDataFrame([(i, t, "en", None, len(t)) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    out = corpus_pipeline.near_duplicates(spark, df, SF_SMALL)
+    assert out.columns == corpus_pipeline.COLUMNS and out.dtypes == df.dtypes
+    got = {(r["doc_id"], r["text"]) for r in out.collect()}
+    assert out.count() == 3 and got == {rows[2], rows[6], min(rows[3:5], key=lambda x: x[1])}
+
+
 def test_passage_stage(stages):
     before, rows = texts(stages[2]), stages[3].collect()
     want = brute_dedup(list(before.items()))
