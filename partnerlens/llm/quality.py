@@ -24,12 +24,28 @@ from partnerlens.llm.words import MULTIPLIERS, Vocab, spread, window_hash, word_
 SYMBOLS = "#*$%&|<>"
 WINDOW = 8
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_distinct", "n_same_next",
-          "n_letters")
+          "n_letters", "stretch_distinct")
+STRETCH = 2000  # variety is the mean over all stretches of so many words, as it falls with length
 START = (0.5, 0.975)  # chance that a rule's vote on a bad and on a good text is good
 PRIOR = (0.2, 0.8)  # bad, good
 _LETTERS = re.compile(r"[^\W\d_]+")
 
 
+def stretch_distinct(ids: np.ndarray, size: int) -> int:
+    """Distinct words of every ``size`` consecutive ones, summed over all such
+    stretches; a shorter text is one stretch."""
+    n = len(ids)
+    size = min(n, size)
+    by = np.argsort(ids, kind="stable")
+    last = np.full(n, -1, dtype=np.int64)  # place of the same word before
+    again = ids[by[1:]] == ids[by[:-1]]
+    last[by[1:][again]] = by[:-1][again]
+    at = np.arange(n)
+    # a word is new to the stretches that hold it and start after its last place
+    lo, hi = np.maximum(np.maximum(at - size + 1, last + 1), 0), np.minimum(at, n - size)
+    return int(np.maximum(hi - lo + 1, 0).sum())
+
+
 def text_counts(text: str | None) -> tuple[int, ...]:
     """The COUNTS of one whole text; null and empty texts give zeros."""
     text = text or ""
@@ -37,7 +53,7 @@ def text_counts(text: str | None) -> tuple[int, ...]:
     words = raw.split()
     n = len(words)
     if n == 0:
-        return (0, 0, sum(map(text.count, SYMBOLS)), *[0] * 6)
+        return (0, 0, sum(map(text.count, SYMBOLS)), *[0] * 7)
     vocab = Vocab()
     ids = word_ids(words, vocab)
     blanks = sum(map(text.count, " \t\n\x0b\x0c\r"))
@@ -51,7 +67,7 @@ def text_counts(text: str | None) -> tuple[int, ...]:
         if len(starts):
             repeat = int(spread(starts, WINDOW, n).sum())
     return (n, len(text) - blanks, sum(map(text.count, SYMBOLS)), len(lines) - len(set(lines)), repeat, len(lines),
-            len(vocab), int((ids[1:] == ids[:-1]).sum()), sum(map(len, _LETTERS.findall(text))))
+            len(vocab), int((ids[1:] == ids[:-1]).sum()), sum(map(len, _LETTERS.findall(text))), stretch_distinct(ids, STRETCH))
 
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -72,7 +88,9 @@ def votes() -> dict[str, Column]:
         return F.when(~enough, 0).when(bad, -1).when(good, 1).otherwise(0)
 
     symbols, letters, length = per("n_symbols", "word_chars"), per("n_letters", "word_chars"), per("word_chars", "n_words")
-    variety, runs, lines = per("n_distinct", "n_words"), per("n_same_next", "n_words"), per("n_dup_lines", "n_lines")
+    size = F.least(n, F.lit(STRETCH))
+    variety = F.try_divide(c("stretch_distinct"), size * (n - size + 1))
+    runs, lines = per("n_same_next", "n_words"), per("n_dup_lines", "n_lines")
     marks, lined = per("n_symbols", "n_words"), c("n_lines") >= 3
     return {
         "symbols": rule(symbols > 0.05, symbols < 0.01, n >= 5),
@@ -81,7 +99,7 @@ def votes() -> dict[str, Column]:
         "word_length": rule((length < 3) | (length > 7.5), length.between(3.5, 6.5), n >= 5),
         "repetition": rule((100 * c("n_repeat_words") > 30 * n) | (lined & (lines > 0.4)),
                            (100 * c("n_repeat_words") < 5 * n) & ~(lined & (lines > 0.1)), n >= 2 * WINDOW),
-        "variety": rule(((variety < 0.3) & (n < 2000)) | (runs > 0.2), (variety > 0.45) & (runs < 0.05), n >= 20),
+        "variety": rule((variety < 0.3) | (runs > 0.2), (variety > 0.45) & (runs < 0.05), n >= 20),
     }
 
 

@@ -22,7 +22,7 @@ from partnerlens.llm.common import gapless_index, lookup, scratch_path
 from partnerlens.llm.encoder import encoder, tokenizer_path
 from partnerlens.llm.mixing import hyperperiod, mix, phases
 from partnerlens.llm.packing import SumOfSquares, pack
-from partnerlens.llm.quality import fit, quality, text_counts
+from partnerlens.llm.quality import fit, quality, stretch_distinct, text_counts
 from partnerlens.llm.sharding import assign_shards, sharded
 from partnerlens.llm.simhash import components, fingerprint, simhash_groups
 from partnerlens.llm.substring_dedup import substring_dedup
@@ -489,6 +489,20 @@ def test_quality_odd_rows(spark):
     assert post[1, 1, 1] > 0.9 > 0.1 > post[-1, -1, 0]
 
 
+def test_variety_has_no_switch_by_size(spark):
+    r = random.Random(4)
+    junk, rich = [f"word{'abcdefghij'[i % 10]}{'klmn'[i // 10]}" for i in range(40)], [f"w{i}" for i in range(9000)]
+    made = {n: " ".join(r.choice(junk) for _ in range(n)) for n in (300, 1999, 2000, 2600, 5000)}
+    made[6000] = " ".join(r.choice(rich) for _ in range(6000))
+    df = spark.createDataFrame(list(made.items()), "doc_id long, text string")
+    got = {x["doc_id"]: x["vote_variety"] for x in quality(df).collect()}
+    assert got == {**dict.fromkeys(made, -1), 6000: 1}
+    ids = np.array([r.randrange(30) for _ in range(90)])
+    for size in (1, 7, 89, 90, 200):
+        w = min(size, 90)
+        assert stretch_distinct(ids, size) == sum(len(set(ids[s:s + w].tolist())) for s in range(90 - w + 1))
+
+
 # ------------------------------------------------------------ op7
 
 def brute_nearest(vectors, k):
