@@ -272,7 +272,7 @@ def _train(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def train(pages: DataFrame, key: str = "page_id", html: str = "html") -> Crf:
     """Fits the field to TRAIN_PAGES labelled pages, in one task."""
-    some = (pages.filter(F.lower(F.col(html)).rlike("<(article|main)[ >]"))
+    some = (pages.filter(F.lower(F.col(html)).rlike("<(article|main)[\\s/>]"))
             .select(F.col(key).cast("string").alias("k"), F.col(html).alias("h"))
             .orderBy(F.xxhash64("k"), "k", F.md5("h")).limit(TRAIN_PAGES).coalesce(1))
     got = some.mapInArrow(_train, "used array<int>, w array<double>").first()

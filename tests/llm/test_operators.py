@@ -565,6 +565,15 @@ def test_main_text_odd_pages(spark):
     assert html_crf.main_text(df.filter("page_id = 5")).first()["text"] == ""
 
 
+def test_main_text_white_space_in_tags(spark):
+    body = "".join(f"<p>Sentence number {i} of the story, told in full and at length here.</p>" for i in range(6))
+    pages = [(i, "u", f"<body><nav><a href=x>Home</a></nav><{t}{gap}class=a>{body}</{t}><footer>(c) us</footer></body>")
+             for i, (t, gap) in enumerate(itertools.product(("article", "main"), ("\n", "\t", "\r\n", "\f")))]
+    df = spark.createDataFrame(pages, "page_id long, url string, html string")
+    story = " ".join(f"Sentence number {i} of the story, told in full and at length here." for i in range(6))
+    assert {r["text"] for r in html_crf.main_text(df).collect()} == {story}
+
+
 def test_crf_against_enumeration():
     r = np.random.default_rng(4)
     m = html_crf.Crf(r.normal(size=(html_crf.FEATURES, 2)), r.normal(size=(2, 2)), r.normal(size=2))
