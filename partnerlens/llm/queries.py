@@ -5,7 +5,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from partnerlens.llm import divergence as source_divergence, ngram_join
+from partnerlens.llm import divergence as source_divergence, hard_negatives as negatives, ngram_join
 from partnerlens.llm.ann import nearest
 from partnerlens.llm.common import scratch_path
 from partnerlens.llm.encoder import tokenizer_path
@@ -86,6 +86,12 @@ def op11_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.jaccard_groups(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hard negatives of every hundredth vector and its five best positives."""
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return negatives.hard_negatives(table(spark, sf_dir, "embeddings"), F.pmod(F.col("vec_id"), F.lit(100)) == 0, label)
+
+
 def op13_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Distances between the sources of every language, and the terms behind them."""
     return source_divergence.divergence(table(spark, sf_dir, "documents").select("lang", "source", "text"))
@@ -93,5 +99,6 @@ def op13_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (op1_mixing, op2_token_files, op3_substring_dedup, op4_simhash, op5_packing, op6_quality,
                                    op7_nearest, op8_main_text, op9_hmm_score, op10_rendezvous, op11_ngram_join,
-                                   op13_divergence)}
-SQL: dict[str, str] = {"op11_ngram_join": ngram_join.SQL, "op13_divergence": source_divergence.SQL}
+                                   op12_hard_negatives, op13_divergence)}
+SQL: dict[str, str] = {"op11_ngram_join": ngram_join.SQL, "op12_hard_negatives": negatives.SQL,
+                        "op13_divergence": source_divergence.SQL}
