@@ -21,11 +21,11 @@ whole set always holds a full prefix; a set close below the next power of two
 is signed for both.
 
 Equal sets are one node.  Sets that share signatures are verified on their
-whole token sets.  First every node is held against the least node it shares a
-signature with, and linked nodes are contracted, until that finds no more
-links; then all pairs of different components that still share a signature are
-verified.  A group of near copies thus costs a few comparisons per member,
-while no pair of unconnected candidates is left out."""
+whole token sets.  First every node is held against its neighbour under each of
+its signatures, in an order that changes from round to round, and linked nodes
+are contracted; then all pairs of different components that still share a
+signature are verified.  A group of near copies thus costs a few comparisons
+per member, while no pair of unconnected candidates is left out."""
 
 from __future__ import annotations
 
@@ -34,16 +34,17 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from partnerlens.llm.common import block_count, block_of, lookup, scratch, shuffle_parts
 from partnerlens.llm.simhash import components
 from partnerlens.llm.words import MULTIPLIERS, Vocab, window_hash, word_hashes, word_ids
 
-BLOCK_BYTES = 8 << 20
+BLOCK_BYTES = 6 << 20
 RARE = 16       # up to so many sets a token is a signature by itself
 FREQUENT = 1024  # up to so many it is signed in pairs, beyond in threes
 GROUPS = 8      # a group of frequent tokens per so many tokens of the set's level
+NEAR_LINEAR = 2  # open pairs per signature row that are verified at once
 SMALL = 8       # sets of levels below this size are signed by single tokens only
 
 _MIX = (np.uint64(0xFF51AFD7ED558CCD), np.uint64(0xC4CEB9FE1A85EC53))
@@ -139,12 +140,18 @@ def combinations(t: np.ndarray, group: np.ndarray, size: int, level: int) -> np.
     return mix(held)
 
 
+def _slices(texts, piece: int = 256) -> Iterator[list[str | None]]:
+    """A column of texts a few rows at a time."""
+    for a in range(0, len(texts), piece):
+        yield texts.slice(a, piece).to_pylist()
+
+
 def _members(k: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            sets = shingle_sets(b.column(2).to_pylist(), k)
-            yield pa.record_batch([b.column(0), b.column(1), pa.array([len(s) for s in sets], pa.int64()),
-                                   pa.array([digest(s) for s in sets])], names=["block", "doc_id", "n", "digest"])
+            sets = [(len(s), digest(s)) for part in _slices(b.column(2)) for s in shingle_sets(part, k)]
+            yield pa.record_batch([b.column(0), b.column(1), pa.array([n for n, _ in sets], pa.int64()),
+                                   pa.array([d for _, d in sets], pa.string())], names=["block", "doc_id", "n", "digest"])
     return run
 
 
@@ -152,9 +159,8 @@ def _own_sets(key, rows: pa.Table, reps: list[str], k: int) -> list[tuple[int, s
     """(node, digest, tokens) of the sets this block stands for."""
     want = {d: (key[0].as_py() << 32) + i for i, d in enumerate(sorted(reps))}
     out = []
-    texts = rows.column("text").to_pylist()
-    for a in range(0, len(texts), 256):
-        for s in shingle_sets(texts[a:a + 256], k):
+    for part in _slices(rows.column("text")):
+        for s in shingle_sets(part, k):
             if len(s) and (node := want.pop(d := digest(s), None)) is not None:
                 out.append((node, d, s))
     return out
@@ -270,29 +276,50 @@ def _labelled(sigs: DataFrame, edges: DataFrame) -> DataFrame:
     roots = components(edges).select(F.col("node").alias("__node"), "root")
     rows = (sigs.select("sig", "node", "n").join(roots, F.col("node") == F.col("__node"), "left")
             .select("sig", "node", "n", F.coalesce("root", "node").alias("comp")))
-    split = rows.groupBy("sig").agg(F.min(F.struct("comp", "node", "n")).alias("first"), F.max("comp").alias("top"))
-    split = split.filter("first.comp < top").select("sig", "first")
+    split = rows.groupBy("sig").agg(F.min("comp").alias("low"), F.max("comp").alias("top")).filter("low < top").select("sig")
     return scratch(rows.join(split, "sig"), "signatures")
 
 
+def _open_pairs(sigs: DataFrame) -> int:
+    """Pairs of different components over all signatures (a pair counts once
+    per signature it shares)."""
+    by_comp = sigs.groupBy("sig", "comp").agg(F.count(F.lit(1)).cast("double").alias("m"))
+    each = by_comp.groupBy("sig").agg(((F.sum("m") * F.sum("m") - F.sum(F.col("m") * F.col("m"))) / 2).alias("p"))
+    return int(each.agg(F.sum("p")).first()[0] or 0)
+
+
 def jaccard_links(signed: DataFrame, percent: int) -> DataFrame:
-    """(a, b): a spanning set of the links between the signed sets."""
+    """(a, b): a spanning set of the links between the signed sets.
+
+    Rounds verify, under every signature, each node with the next one in a
+    hash order that changes with the round, if their components differ: no more
+    pairs than signature rows.  They go on while they find links and more than
+    NEAR_LINEAR pairs of different components are left per signature row; then
+    all those pairs are verified."""
     sets = signed.filter("sig is null").select("node", "tokens")
-    sigs = signed.filter("sig is not null").select("sig", "node", "n", F.col("node").alias("comp"))
+    sigs = signed.filter("sig is not null").select("sig", "node", "n")
     fits = F.least("n", "m") * 100 >= F.greatest("n", "m") * percent
     edges = scratch(sets.sparkSession.createDataFrame([], "a long, b long"), "links")
+
+    def found(pairs: DataFrame) -> DataFrame:
+        ordered = pairs.filter(fits & (F.col("comp") != F.col("comp2"))).select(
+            F.least("node", "node2").alias("a"), F.greatest("node", "node2").alias("b"))
+        return _linked(ordered.distinct(), sets, percent)
+
+    turn = 0
     while True:
         sigs = _labelled(sigs, edges)
-        near = (sigs.filter("comp <> first.comp").select(F.col("first.node").alias("lead"), F.col("first.n").alias("m"), "node", "n")
-                .filter(fits).groupBy("node").agg(F.min("lead").alias("lead")).select(F.col("lead").alias("a"), F.col("node").alias("b")))
-        more = _linked(near, sets, percent)
+        if _open_pairs(sigs) <= NEAR_LINEAR * sigs.count():
+            break
+        after = Window.partitionBy("sig").orderBy(F.xxhash64("node", F.lit(turn)), "node")
+        more = found(sigs.withColumns({"node2": F.lead("node").over(after), "m": F.lead("n").over(after),
+                                       "comp2": F.lead("comp").over(after)}).filter("node2 is not null"))
         if more.isEmpty():
             break
         edges = scratch(edges.unionByName(more), "links")
-    second = sigs.select("sig", F.col("node").alias("b"), F.col("n").alias("m"), F.col("comp").alias("comp2"))
-    rest = (sigs.select("sig", F.col("node").alias("a"), "n", "comp").join(second, "sig")
-            .filter((F.col("a") < F.col("b")) & (F.col("comp") != F.col("comp2")) & fits).select("a", "b").distinct())
-    return edges.unionByName(_linked(rest, sets, percent))
+        turn += 1
+    second = sigs.select("sig", F.col("node").alias("node2"), F.col("n").alias("m"), F.col("comp").alias("comp2"))
+    return edges.unionByName(found(sigs.join(second, "sig").filter("comp < comp2")))
 
 
 def jaccard_groups(docs: DataFrame, shingle: int = 4, percent: int = 85, key: str = "doc_id", text: str = "text") -> DataFrame:
