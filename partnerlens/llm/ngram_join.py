@@ -25,7 +25,9 @@ whole token sets.  First every node is held against its neighbour under each of
 its signatures, in an order that changes from round to round, and linked nodes
 are contracted; then all pairs of different components that still share a
 signature are verified.  A group of near copies thus costs a few comparisons
-per member, while no pair of unconnected candidates is left out."""
+per member.  Where many sets share a signature without linking, blocks of them
+meet in cells that verify all their pairs as one matrix product; no candidate
+is left out and no crowded group becomes rows of pairs."""
 
 from __future__ import annotations
 
@@ -37,14 +39,16 @@ import xxhash
 from pyspark.sql import DataFrame, Window, functions as F
 
 from partnerlens.llm.common import block_count, block_of, lookup, scratch, shuffle_parts
-from partnerlens.llm.simhash import components
+from partnerlens.llm.simhash import _forest, components
 from partnerlens.llm.words import MULTIPLIERS, Vocab, window_hash, word_hashes, word_ids
 
 BLOCK_BYTES = 6 << 20
 RARE = 16       # up to so many sets a token is a signature by itself
 FREQUENT = 1024  # up to so many it is signed in pairs, beyond in threes
 GROUPS = 8      # a group of frequent tokens per so many tokens of the set's level
-NEAR_LINEAR = 2  # open pairs per signature row that are verified at once
+CROWDED = 16    # a signature of more nodes is settled by cells, not by rows of pairs
+CELL_SETS = 256  # sets in a block of a cluster; two blocks meet in a cell
+COLUMNS = 4096  # tokens counted at a time in a cell
 SMALL = 8       # sets of levels below this size are signed by single tokens only
 
 _MIX = (np.uint64(0xFF51AFD7ED558CCD), np.uint64(0xC4CEB9FE1A85EC53))
@@ -280,12 +284,44 @@ def _labelled(sigs: DataFrame, edges: DataFrame) -> DataFrame:
     return scratch(rows.join(split, "sig"), "signatures")
 
 
-def _open_pairs(sigs: DataFrame) -> int:
-    """Pairs of different components over all signatures (a pair counts once
-    per signature it shares)."""
-    by_comp = sigs.groupBy("sig", "comp").agg(F.count(F.lit(1)).cast("double").alias("m"))
-    each = by_comp.groupBy("sig").agg(((F.sum("m") * F.sum("m") - F.sum(F.col("m") * F.col("m"))) / 2).alias("p"))
-    return int(each.agg(F.sum("p")).first()[0] or 0)
+def _cell(percent: int):
+    """All links among the sets of one cell (two blocks of a cluster), as a
+    spanning forest: intersections are products of 0/1 matrices, a range of
+    tokens at a time, so pairs never become rows."""
+    def run(key: tuple[pa.Scalar, ...], rows: pa.Table) -> pa.Table:
+        node = rows.column("node").to_numpy()
+        sets = [np.frombuffer(x, np.uint64) for x in rows.column("tokens").to_pylist()]
+        size = np.array([len(x) for x in sets], dtype=np.int64)
+        of = np.repeat(np.arange(len(sets)), size)
+        _, token, times = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+        column = np.cumsum(times > 1) - 1  # tokens of one set only count for nothing
+        shared = times[token] > 1
+        of, at = of[shared], column[token[shared]]
+        order = np.argsort(at, kind="stable")
+        of, at = of[order], at[order]
+        both = np.zeros((len(sets), len(sets)), dtype=np.int64)
+        for low in range(0, int(at[-1]) + 1 if len(at) else 0, COLUMNS):
+            x, y = np.searchsorted(at, [low, low + COLUMNS])
+            m = np.zeros((len(sets), COLUMNS), dtype=np.float32)
+            m[of[x:y], at[x:y] - low] = 1.0
+            both += (m @ m.T).astype(np.int64)
+        linked = np.triu(100 * both >= percent * (size[:, None] + size[None, :] - both), 1)
+        links = _forest(node, *np.nonzero(linked))
+        return pa.table([pa.array([x for x, _ in links], pa.int64()), pa.array([y for _, y in links], pa.int64())], names=["a", "b"])
+    return run
+
+
+def _dense_links(sigs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Links among the nodes of crowded signatures.  Nodes that such signatures
+    connect are a cluster; it is cut into blocks, and every two blocks of a
+    cluster meet in a cell, where all pairs are verified at once."""
+    stars = sigs.groupBy("sig").agg(F.min("node").alias("a")).join(sigs.select("sig", F.col("node").alias("b")), "sig").filter("a < b")
+    clusters = components(stars.select("a", "b").distinct())
+    sizes = clusters.groupBy("root").agg(F.ceil(F.count(F.lit(1)) / CELL_SETS).cast("int").alias("blocks"))
+    placed = clusters.join(sizes, "root").withColumn("at", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    cells = placed.withColumn("with", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select(
+        "root", F.least("at", "with").alias("i"), F.greatest("at", "with").alias("j"), "node")
+    return scratch(cells.join(sets, "node").groupBy("root", "i", "j").applyInArrow(_cell(percent), "a long, b long"), "links")
 
 
 def jaccard_links(signed: DataFrame, percent: int) -> DataFrame:
@@ -293,9 +329,10 @@ def jaccard_links(signed: DataFrame, percent: int) -> DataFrame:
 
     Rounds verify, under every signature, each node with the next one in a
     hash order that changes with the round, if their components differ: no more
-    pairs than signature rows.  They go on while they find links and more than
-    NEAR_LINEAR pairs of different components are left per signature row; then
-    all those pairs are verified."""
+    pairs than signature rows.  They go on while they contract a twentieth of
+    the nodes that are left.  Then all pairs of different components that share
+    a signature are verified: those of signatures with up to ``CROWDED`` nodes
+    as rows, those of crowded ones by cells."""
     sets = signed.filter("sig is null").select("node", "tokens")
     sigs = signed.filter("sig is not null").select("sig", "node", "n")
     fits = F.least("n", "m") * 100 >= F.greatest("n", "m") * percent
@@ -306,20 +343,21 @@ def jaccard_links(signed: DataFrame, percent: int) -> DataFrame:
             F.least("node", "node2").alias("a"), F.greatest("node", "node2").alias("b"))
         return _linked(ordered.distinct(), sets, percent)
 
-    turn = 0
-    while True:
+    turn, going = 0, True
+    while going:
         sigs = _labelled(sigs, edges)
-        if _open_pairs(sigs) <= NEAR_LINEAR * sigs.count():
-            break
         after = Window.partitionBy("sig").orderBy(F.xxhash64("node", F.lit(turn)), "node")
         more = found(sigs.withColumns({"node2": F.lead("node").over(after), "m": F.lead("n").over(after),
                                        "comp2": F.lead("comp").over(after)}).filter("node2 is not null"))
-        if more.isEmpty():
-            break
         edges = scratch(edges.unionByName(more), "links")
+        going = 20 * more.count() > sigs.select("comp").distinct().count()
         turn += 1
-    second = sigs.select("sig", F.col("node").alias("node2"), F.col("n").alias("m"), F.col("comp").alias("comp2"))
-    return edges.unionByName(found(sigs.join(second, "sig").filter("comp < comp2")))
+    sigs = _labelled(sigs, edges)
+    crowd = sigs.groupBy("sig").agg(F.count(F.lit(1)).alias("c")).filter(F.col("c") > CROWDED).select("sig")
+    few = sigs.join(crowd, "sig", "left_anti")
+    second = few.select("sig", F.col("node").alias("node2"), F.col("n").alias("m"), F.col("comp").alias("comp2"))
+    return (edges.unionByName(found(few.join(second, "sig").filter("comp < comp2")))
+            .unionByName(_dense_links(sigs.join(crowd, "sig", "left_semi"), sets, percent)))
 
 
 def jaccard_groups(docs: DataFrame, shingle: int = 4, percent: int = 85, key: str = "doc_id", text: str = "text") -> DataFrame:
