@@ -19,10 +19,9 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
 from partnerlens.llm.common import block_count
-from partnerlens.llm.encoder import encoder
+from partnerlens.llm.encoder import chunks, encoder
 
 PIECES = ("doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long")
-CHUNK = 512
 
 
 class SumOfSquares:
@@ -81,14 +80,13 @@ def _packer(tokenizer: str, end_id: int, size: int):
                                    names=[f.split()[0] for f in PIECES.split(", ")])
 
         for batch in batches:
-            for a in range(0, batch.num_rows, CHUNK):
-                part = batch.slice(a, CHUNK)
-                for doc, ids in zip(part.column(0).to_pylist(), enc.encode(part.column(1).to_pylist(), end_id)):
+            for a, texts in chunks(batch.column(1)):
+                for doc, ids in zip(batch.column(0).slice(a, len(texts)).to_pylist(), enc.encode(texts, end_id)):
                     n = len(ids)
                     cut = n // size * size
                     for s in range(0, cut, size):
                         emit([(doc, s, ids[s:s + size], n)])
-                    if cut < n and (full := state.put((doc, cut, ids[cut:], n), n - cut)):
+                    if cut < n and (full := state.put((doc, cut, ids[cut:].copy(), n), n - cut)):
                         emit(full)
                 if rows:
                     yield flush()

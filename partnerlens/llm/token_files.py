@@ -25,10 +25,10 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from partnerlens.llm.common import block_count, scratch
-from partnerlens.llm.encoder import encoder
+from partnerlens.llm.encoder import chunks, encoder
 
 BATCH_ROWS = 256
-CHUNK = 512  # texts encoded at a time
+PREFIX = 64  # characters of a text that may part rows of one key
 MANIFEST = "part int, tokens_file string, index_file string, n_docs long, n_tokens long"
 
 
@@ -118,16 +118,15 @@ def _writer(out_dir: str, tokenizer: str, seq_len: int, end_id: int):
         fs, folder = pa.fs.FileSystem.from_uri(out_dir)
         name = f"part-{part:05d}-{uuid.uuid4().hex}"
         for batch in batches:
-            for a in range(0, batch.num_rows, CHUNK):
-                rows = batch.slice(a, CHUNK)
+            for a, texts in chunks(batch.column(1)):
                 if out is None:
                     fs.create_dir(folder, recursive=True)
                     out = SequenceWriter(fs, f"{folder}/{name}.tokens.arrow", seq_len, enc.vocab_size)
-                ids = enc.encode(rows.column(1).to_pylist(), end_id)
+                ids = enc.encode(texts, end_id)
                 n = np.array([len(x) for x in ids], dtype=np.int64)
                 for x in ids:
                     out.append(x)
-                index.append(pa.record_batch([rows.column(0).cast(pa.int64()), pa.array(total + np.cumsum(n) - n), pa.array(n)],
+                index.append(pa.record_batch([batch.column(0).slice(a, len(texts)).cast(pa.int64()), pa.array(total + np.cumsum(n) - n), pa.array(n)],
                                              names=["key", "start", "n"]))
                 docs, total = docs + len(ids), total + int(n.sum())
         if out is not None:
@@ -146,12 +145,15 @@ def write_token_files(docs: DataFrame, out_dir: str, tokenizer: str, end_id: int
                       key: str = "doc_id", text: str = "text", file_bytes: int = 32 << 20) -> DataFrame:
     """Encodes every row and writes the files; returns the manifest (one row
     per file, ``part`` ascending with the keys).  A null text counts as empty;
-    null keys come first; rows that repeat a key follow one another, by text.
-    An empty table writes nothing.  ``out_dir`` must be on storage that all
-    executors share."""
+    null keys come first; rows that repeat a key follow one another, by text,
+    and may lie in several files, parted by the first ``PREFIX`` characters.
+    Texts of any length are encoded whole and run over as many sequences as they
+    need.  Special tokens written out in a text become what the tokenizer makes
+    of them.  Other columns are not read.  An empty table writes nothing.
+    ``out_dir`` must be on storage that all executors share."""
     n = block_count(docs, text, file_bytes)
     ordered = (docs.select(F.col(key).cast("long").alias("key"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-               .repartitionByRange(n, "key").sortWithinPartitions("key", "text"))
+               .repartitionByRange(n, "key", F.substring("text", 1, PREFIX)).sortWithinPartitions("key", "text"))
     return scratch(ordered.mapInArrow(_writer(out_dir, tokenizer, seq_len, end_id), MANIFEST), "manifest")
 
 

@@ -114,9 +114,7 @@ def test_mix_keeps_all_rows_and_shares(spark):
 @functools.cache
 def plain_tokenizer(name):
     from tokenizers import Tokenizer
-    t = Tokenizer.from_file(tokenizer_path(name))
-    t.encode_special_tokens = True
-    return t
+    return Tokenizer.from_file(tokenizer_path(name))
 
 
 def plain_ids(name, text, end):
@@ -128,7 +126,8 @@ def test_encoder_equals_whole_text_encoding(docs, name):
     r = random.Random(3)
     made = ["".join(r.choice([" ", " ", "\n", ".", ",", "a", "B", "é", "'s", "1", "\t", "́", "中", "-"]) for _ in range(40))
             for _ in range(400)]
-    texts = [t or "" for _, t in docs[:60]] + [t or "" for _, t in ODD] + made
+    special = ["a <|endoftext|> b", "<|endoftext|>", "x<|startoftext|>y. <|ENDOFTEXT|>", "<| endoftext |>", "a, <|endoftext|>\n<|endoftext|>."]
+    texts = [t or "" for _, t in docs[:60]] + [t or "" for _, t in ODD] + made + special
     for t, ids in zip(texts, encoder(tokenizer_path(name)).encode(texts, 3)):
         assert ids.tolist() == plain_ids(name, t, 3), repr(t[:80])
 
