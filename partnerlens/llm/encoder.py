@@ -20,7 +20,7 @@ import pyarrow.compute as pc
 
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
-CACHE_BYTES = 80 << 20  # the cache is emptied beyond about this size
+CACHE_BYTES = 160 << 20 # the cache is emptied beyond about this size
 PIECE_BYTES = 180       # what a piece costs there besides its characters
 SLICE = 4096            # pieces given to the tokenizer at a time
 CHUNK_BYTES = 1 << 20   # text encoded at a time
