@@ -208,7 +208,11 @@ def _class_topk(cc: DataFrame, qc: DataFrame, g: list[str], kk: int, groups: int
         placed, reach = cc.withColumn("bucket", F.lit(0)), qc.withColumn("bucket", F.lit(0))
     else:
         by = Window.partitionBy(*g).orderBy(F.xxhash64("rep"), "rep")
-        chosen = cc.filter(F.size("dis") > 0).withColumn("_n", F.row_number().over(by)).filter(F.col("_n") <= per_group)
+        some = cc.filter(F.size("dis") > 0)
+        if g:
+            chosen = some.withColumn("_n", F.row_number().over(by)).filter(F.col("_n") <= per_group)
+        else:       # a bounded top-n; a window without groups would gather all classes in one task
+            chosen = some.withColumn("_n", F.xxhash64("rep")).orderBy("_n", "rep").limit(per_group)
         found: dict[tuple, list] = {}
         for r in chosen.orderBy("_n").collect():                     # at most PIVOTS_MAX rows
             found.setdefault(tuple(r[c] for c in g), []).append((r["dis"], r["vals"]))

@@ -28,6 +28,8 @@ from partnerlens.functions.scalar import (DISCOUNT_MAX, DISCOUNT_MIN, DISCOUNT_S
                                           fn_default_elasticity, fn_demand_response,
                                           fn_exp_inverse, fn_month, fn_price_bucket_label,
                                           fn_revenue)
+from partnerlens.session import cut_lineage
+from partnerlens.sources.io import sink_results4
 
 KEYS = ["Product_id", "Geography"]
 MIN_GRID_MONTHS = 24          # fixed value: groups with fewer grid months are skipped
@@ -211,6 +213,19 @@ def shap_linear(panel: DataFrame, min_test_rows: int = 2, f: Fit | None = None,
             .withColumnsRenamed({"Product_id": "product", "Geography": "region"}))
 
 
+def forecast_run(sales: DataFrame, base: str, fmt: str = "parquet", **kw) -> dict[str, str]:
+    """The forecast job with its four outputs (metrics, forecasts, comparisons,
+    elasticity), published as one set below ``base``.  The panel, the fit and
+    the comparisons, which several outputs read, are materialised once."""
+    panel = cut_lineage(monthly_panel(sales))
+    f = fit(panel, **kw)
+    f = Fit(coef=cut_lineage(f.coef), resid=cut_lineage(f.resid), train=f.train, test=f.test)
+    comparisons = cut_lineage(forecast_eval(panel, f=f))
+    el = f.coef.select(F.col("Product_id").alias("product"), F.col("Geography").alias("region"),
+                       F.col("beta_p").alias("price_elasticity"))
+    return sink_results4(forecast_metrics(comparisons), forecast_future(panel, f=f), comparisons, el, base, fmt)
+
+
 # --------------------------------------------------------------- simulation
 
 def price_buckets(panel: DataFrame, n_buckets: int = N_PRICE_BUCKETS) -> DataFrame:

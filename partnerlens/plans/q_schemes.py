@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from partnerlens.functions.scalar import hash_key_sql
 from partnerlens.plans import recommend as rc
 from partnerlens.plans import schemes as sc
 from partnerlens.plans.q_recommend import KNN_PRODUCTS_SQL, jaccard_products_cte
@@ -88,6 +89,18 @@ def q_agg_pps(spark, d):
                          F.sum("Sales_Quantity_Last_Period").alias("Sales_Quantity_Last_Period")))
 
 
+@register("agg_list_partners", sql_final("WITH" + ROWS_SQL + f""",
+rk AS (SELECT Product_id, Partner_id, row_number() OVER (PARTITION BY Product_id
+              ORDER BY {hash_key_sql('row_key')}, row_key) - 1 AS pos FROM srows WHERE Partner_id IS NOT NULL)
+SELECT Product_id, pos // {sc.LIST_CHUNK} AS chunk, count(*) AS n_partners,
+       string_agg(CAST(Partner_id AS VARCHAR), ', ' ORDER BY pos) AS Partner_ids
+FROM rk GROUP BY Product_id, pos // {sc.LIST_CHUNK}""",
+    [("Product_id", "text"), ("chunk", "int"), ("n_partners", "int"), ("Partner_ids", "text")]))
+def q_agg_list_partners(spark, d):
+    """Partners of all records of every product, repeats kept, in lists of bounded length."""
+    return finalize(sc.partner_lists(scheme_rows(spark, d)))
+
+
 @register("join_partners_schemes", sql_final("WITH" + SIMPLE_SQL_CTE + """
 SELECT m.Product_id, m.Partner_id, s.Scheme_1, s.Scheme_2, s.Scheme_3
 FROM (SELECT DISTINCT Product_id, Partner_id FROM srows) m LEFT JOIN smap s ON m.Product_id = s.Product_id""",

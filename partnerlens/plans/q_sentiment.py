@@ -108,6 +108,27 @@ def q_sentiment_eval(spark, d):
     return finalize(classification_report(ev, LABEL, "label"))
 
 
+def classified(spark, d):
+    """All texts classified by a model fitted on the labelled train split, and
+    the labelled texts held out of it."""
+    fb = feedback(spark, d)
+    train, test = split_random(fb.filter(F.col(LABEL).isNotNull()), ID)
+    return test, st.classify(fb, ID, TEXT, st.train_classifier(train, TEXT, LABEL))
+
+
+@register("text_classifier")
+def q_text_classifier(spark, d):
+    """Sentiment of all feedback by the trained classifier (iterative fit, so without an SQL twin)."""
+    return finalize(classified(spark, d)[1])
+
+
+@register("text_classifier_eval")
+def q_text_classifier_eval(spark, d):
+    """Classification report of the trained classifier on held-out labels."""
+    test, s = classified(spark, d)
+    return finalize(classification_report(test.select(ID, LABEL).join(s, ID), LABEL, "label"))
+
+
 @register("classification_report", sql_final(
     "WITH" + FEEDBACK_SQL + "," + _scorer_sql("1.0", "") + "," + _scorer_sql("5.0", "5") + """,
 ev AS (SELECT 'alpha_1' AS model, Sentiment AS t, label AS p FROM lab WHERE held

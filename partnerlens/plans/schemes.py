@@ -2,18 +2,21 @@
 
 The reference writes a list of partner ids per product.  That list grows
 with the data (a popular product is held by a large share of partners), so
-it is never collected into one row here: the membership stays in long form
-(``product_partner_schemes``), one row per (product, partner).
+it is never collected into one row here: ``partner_lists`` gives it in chunks
+of bounded length, and ``product_partner_schemes`` in long form, one row per
+(product, partner).
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from partnerlens.functions.scalar import FILL_NOT_AVAILABLE, PAD_NO_SCHEME_AVAILABLE, fn_split_schemes
+from partnerlens.functions.scalar import FILL_NOT_AVAILABLE, PAD_NO_SCHEME_AVAILABLE, fn_hash_key, fn_split_schemes
 from partnerlens.operators.ranking import slots, topn_per_group
+from partnerlens.operators.split import rank_within
 
 TOP_N = 3
+LIST_CHUNK = 1000    # partners in one list of partner_lists
 
 
 def melt_products(wide: DataFrame, id_cols: list[str], product_cols: list[str]) -> DataFrame:
@@ -57,6 +60,22 @@ def scheme_rank_value(rows: DataFrame, n: int = TOP_N) -> DataFrame:
                                                      *[f"Scheme_{i}" for i in range(1, n + 1)])
 
 
+def partner_lists(rows: DataFrame, key: str = "row_key", size: int = LIST_CHUNK) -> DataFrame:
+    """(Product_id, chunk, n_partners, Partner_ids): the partners of every
+    record of a product, repeats kept, as lists of ``size`` (the last one may
+    be shorter).  Records are numbered by an exact rank in the order of a hash
+    of ``key``, so a product holding most records is spread over many tasks
+    and no list exceeds ``size``.  Records without partner are left out; those
+    without product are a group of their own."""
+    held = rows.filter(F.col("Partner_id").isNotNull()).select("Product_id", "Partner_id", key)
+    ranked = rank_within(held, ["Product_id"], fn_hash_key(key), key, "_rk")
+    entry = F.struct(F.col("_rk").alias("at"), F.col("Partner_id").alias("p"))
+    return (ranked.withColumn("chunk", F.floor((F.col("_rk") - 1) / size).cast("int"))
+            .groupBy("Product_id", "chunk").agg(F.array_sort(F.collect_list(entry)).alias("_a"))
+            .select("Product_id", "chunk", F.size("_a").alias("n_partners"),
+                    F.transform("_a", lambda x: x["p"]).alias("Partner_ids")))
+
+
 def product_partner_schemes(rows: DataFrame, scheme_map: DataFrame) -> DataFrame:
     """join_partners_schemes in long form: (Product_id, Partner_id, Scheme_1..n)."""
     members = rows.select("Product_id", "Partner_id").distinct()

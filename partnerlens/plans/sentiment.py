@@ -4,6 +4,9 @@ The reference calls hosted models (a chat API, RoBERTa, Stanza).  Here:
 
 * ``token_weight_scorer`` -- a distributed stand-in model: smoothed log-odds
   token weights learnt from labelled rows (explode, count, join, sum);
+* ``train_classifier`` / ``classify`` -- a trained classifier: class-weighted
+  logistic regression on hashed token features, fitted by distributed gradient
+  rounds until the objective settles;
 * ``score_text_batches`` -- the Arrow-batched surface for any per-batch
   callable (loaded once per partition, retried, default on failure);
 * ``batch_prompts`` / ``parse_replies`` -- the request and reply sides of the
@@ -21,6 +24,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 from partnerlens.functions.scalar import NEGATIVE, POSITIVE, fn_fixed_text, fn_label_threshold
 from partnerlens.operators.joins import heavy_join
 from partnerlens.operators.split import global_row_number
+from partnerlens.session import cut_lineage
 
 # The batched request of the reference.
 BATCH_SIZE = 50
@@ -75,6 +79,77 @@ def token_attribution(texts: DataFrame, id_col: str, text_col: str, weights: Dat
             .select(id_col, "token", "n", "w", (F.col("n") * F.col("w")).alias("contribution")))
 
 
+# ------------------------------------------------- trained classifier
+
+FEATURES = 1 << 18       # hashed token features: bounds the model whatever the vocabulary
+REGULARISATION = 1e-4
+TOLERANCE = 1e-7         # relative change of the objective at which the rounds end
+ROUNDS = 200             # rounds at most; ``converged`` tells whether they sufficed
+
+
+def shape_tokens(text: Column) -> Column:
+    """What a bag of words does not show, as tokens: how long the text is, how
+    much of it repeats words or lines, and its shares of symbols, digits and
+    capitals, each in coarse steps."""
+    words = F.filter(F.split(text, r"\s+"), lambda w: w != "")
+    lines = F.filter(F.split(text, "\n"), lambda x: F.trim(x) != "")
+    n_chars = F.greatest(F.length(text), F.lit(1))
+
+    def step(name: str, value: Column) -> Column:
+        return F.concat(F.lit(f"\u0001{name}:"), F.floor(value).cast("string"))
+
+    def share(pattern: str) -> Column:
+        return 40 * (1 - F.length(F.regexp_replace(text, pattern, "")) / n_chars)
+    distinct = 10 * F.size(F.array_distinct(words)) / F.greatest(F.size(words), F.lit(1))
+    return F.array(step("words", F.log2(F.size(words) + 1)), step("distinct", distinct),
+                   step("lines", 10 * F.size(F.array_distinct(lines)) / F.greatest(F.size(lines), F.lit(1))),
+                   step("length", n_chars / F.greatest(F.size(words), F.lit(1))), step("symbols", share(r"[^\p{L}\p{N}\s]")),
+                   step("digits", share(r"\p{N}")), step("capitals", share(r"\p{Lu}")))
+
+
+def token_features(df: DataFrame, text_col: str, size: int = FEATURES) -> DataFrame:
+    """``df`` with ``features``: hashed counts of the tokens of the whole text
+    and of its shape, as a sparse vector of length one."""
+    from pyspark.ml.feature import HashingTF, Normalizer
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    found = F.filter(F.split(F.lower(text), TOKEN_SPLIT), lambda t: t != "")
+    d = df.withColumn("_tokens", F.concat(found, shape_tokens(text)))
+    d = HashingTF(numFeatures=size, inputCol="_tokens", outputCol="_tf", binary=True).transform(d)
+    return Normalizer(inputCol="_tf", outputCol="features").transform(d).drop("_tokens", "_tf")
+
+
+def train_classifier(labelled: DataFrame, text_col: str, label_col: str, size: int = FEATURES,
+                     regularisation: float = REGULARISATION, tolerance: float = TOLERANCE, rounds: int = ROUNDS):
+    """Logistic regression of the positive class.  Classes weigh the same
+    whatever their sizes.  Every round is one distributed pass that sums the
+    gradient in a tree; the features are materialised once."""
+    from pyspark.ml.classification import LogisticRegression
+    y = labelled.filter(F.col(label_col).isNotNull()).select(text_col, (F.col(label_col) == POSITIVE).cast("double").alias("label"))
+    sizes = {r["label"]: r["n"] for r in y.groupBy("label").agg(F.count(F.lit(1)).alias("n")).collect()}    # two rows
+    if len(sizes) < 2:
+        raise ValueError("both classes must occur among the labelled texts")
+    total = sum(sizes.values())
+    weight = F.when(F.col("label") == 1.0, total / (2 * sizes[1.0])).otherwise(total / (2 * sizes[0.0]))
+    rows = cut_lineage(token_features(y, text_col, size).select("features", "label", weight.alias("weight")))
+    model = LogisticRegression(weightCol="weight", regParam=regularisation, elasticNetParam=0.0, standardization=False,
+                               tol=tolerance, maxIter=rounds).fit(rows)
+    return model
+
+
+def converged(model, tolerance: float = TOLERANCE) -> bool:
+    """Whether the last round of a fit changed the objective by less than the tolerance."""
+    h = model.summary.objectiveHistory
+    return len(h) < 2 or abs(h[-2] - h[-1]) <= tolerance * max(abs(h[-1]), 1e-12) or model.summary.totalIterations < ROUNDS
+
+
+def classify(texts: DataFrame, id_col: str, text_col: str, model, threshold: float = 0.5) -> DataFrame:
+    """(id, score, label) of all texts; a null text counts as empty."""
+    from pyspark.ml.functions import vector_to_array
+    out = model.transform(token_features(texts.select(id_col, text_col), text_col, model.numFeatures))
+    return (out.select(id_col, vector_to_array("probability")[1].alias("score"))
+            .select(id_col, "score", fn_label_threshold("score", threshold).alias("label")))
+
+
 # ------------------------------------------------------------ batching
 
 def batch_number(df: DataFrame, order_col: str, size: int = BATCH_SIZE) -> DataFrame:

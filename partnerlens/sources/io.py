@@ -4,9 +4,12 @@ are all the same ``spark.read`` / ``df.write`` call."""
 from __future__ import annotations
 
 import os
+import time
+import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
+MANIFEST = "run string, fmt string, tables array<struct<kind:string,path:string>>"
 FORMATS = {".csv": "csv", ".json": "json", ".parquet": "parquet", ".orc": "orc"}
 
 
@@ -44,21 +47,44 @@ def sink_csv(df: DataFrame, path: str) -> None:
     sink(df, path, "csv")
 
 
+def publish(outputs: dict[str, DataFrame], base: str, fmt: str = "parquet") -> dict[str, str]:
+    """Writes several tables that appear together: each goes to a folder of
+    this run below ``base``, and one row appended to the manifest, after all of
+    them are complete, makes the run the current one.  If a write fails,
+    readers keep the set of the last complete run.  Returns kind -> path."""
+    spark = next(iter(outputs.values())).sparkSession
+    run = f"{time.time_ns():020d}-{uuid.uuid4().hex}"
+    paths = {kind: f"{base}/runs/{run}/{kind}" for kind in outputs}
+    for kind, df in outputs.items():
+        sink(df, paths[kind], fmt)
+    row = [(run, fmt, [(k, p) for k, p in paths.items()])]
+    spark.createDataFrame(row, MANIFEST).coalesce(1).write.mode("append").parquet(f"{base}/manifest")
+    return paths
+
+
+def current(spark: SparkSession, base: str) -> dict[str, DataFrame]:
+    """The tables of the last complete run below ``base``."""
+    last = spark.read.schema(MANIFEST).parquet(f"{base}/manifest").orderBy(F.desc("run")).limit(1).collect()   # one row per run
+    if not last:
+        raise ValueError(f"no complete run below {base}")
+    return {t["kind"]: read_format(spark, t["path"], last[0]["fmt"]) for t in last[0]["tables"]}
+
+
+def read_format(spark: SparkSession, path: str, fmt: str) -> DataFrame:
+    reader = spark.read.format(fmt)
+    return (reader.option("header", True).option("inferSchema", True) if fmt == "csv" else reader).load(path)
+
+
 def sink_results4(metrics: DataFrame, forecasts: DataFrame, comparisons: DataFrame,
                   elasticity: DataFrame, base: str, fmt: str = "parquet") -> dict[str, str]:
-    """The four named outputs of the forecast job, ``<base>_<kind>``."""
-    out = {}
-    for kind, df in (("metrics", metrics), ("forecasts", forecasts), ("comparisons", comparisons),
-                     ("elasticity", elasticity)):
-        out[kind] = f"{base}_{kind}"
-        sink(df, out[kind], fmt)
-    return out
+    """The four named outputs of the forecast job, published as one set."""
+    return publish({"metrics": metrics, "forecasts": forecasts, "comparisons": comparisons, "elasticity": elasticity}, base, fmt)
 
 
 def sink_split(train: DataFrame, test: DataFrame, base: str, fmt: str = "parquet") -> tuple[str, str]:
-    sink(train, f"{base}_train", fmt)
-    sink(test, f"{base}_test", fmt)
-    return f"{base}_train", f"{base}_test"
+    """Both parts of a split, published as one set."""
+    out = publish({"train": train, "test": test}, base, fmt)
+    return out["train"], out["test"]
 
 
 def check_columns(df: DataFrame, required: list[str]) -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from partnerlens.functions.scalar import fn_label_class, fn_pad3
 from partnerlens.operators.clean import (binarize, coerce_int0, drop_cols, existing_cols, normalize_names,
                                          purchased_list)
-from partnerlens.sources.io import check_columns, read_table, scan_csv, sink, sink_csv, sink_results4, sink_split
+from partnerlens.sources.io import check_columns, current, read_table, scan_csv, sink, sink_csv, sink_results4, sink_split
 
 
 def test_csv_round_trip_and_dispatch(spark, tmp_path):
@@ -24,9 +24,45 @@ def test_results4_and_split_sinks(spark, tmp_path):
     df = spark.range(3)
     out = sink_results4(df, df, df, df, str(tmp_path / "run"))
     assert set(out) == {"metrics", "forecasts", "comparisons", "elasticity"}
-    assert all(spark.read.parquet(p).count() == 3 for p in out.values())
-    tr, te = sink_split(df, df.limit(1), str(tmp_path / "split"))
-    assert spark.read.parquet(te).count() == 1
+    assert all(x.count() == 3 for x in current(spark, str(tmp_path / "run")).values())
+    sink_split(df, df.limit(1), str(tmp_path / "split"), "csv")
+    assert current(spark, str(tmp_path / "split"))["test"].count() == 1
+
+
+def test_a_failing_write_leaves_the_last_set(spark, tmp_path):
+    base = str(tmp_path / "run")
+    old, new = spark.range(3), spark.range(5)
+    sink_results4(old, old, old, old, base)
+
+    def broken(batches):
+        raise RuntimeError("third write fails")
+        yield from batches
+    with pytest.raises(Exception, match="third write fails"):
+        sink_results4(new, new, new.mapInPandas(broken, "id long"), new, base)
+    assert {k: x.count() for k, x in current(spark, base).items()} == dict.fromkeys(
+        ("metrics", "forecasts", "comparisons", "elasticity"), 3)
+    sink_results4(new, new, new, new, base)
+    assert all(x.count() == 5 for x in current(spark, base).values())
+
+
+def test_forecast_run_computes_its_parent_once(spark, tmp_path):
+    from partnerlens.operators.clean import clean_sales
+    from partnerlens.plans import discount as dd
+    from partnerlens.sources.bindings import dated_sales
+    from tests.conftest import SF_SMALL
+    sales = clean_sales(dated_sales(spark, SF_SMALL))
+    read = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for b in batches:
+            read.add(len(b))
+            yield b
+    dd.forecast_run(sales.mapInPandas(counted, sales.schema), str(tmp_path / "run"))
+    assert read.value == sales.count()
+    got = current(spark, str(tmp_path / "run"))
+    f = dd.fit(dd.monthly_panel(sales))
+    assert got["elasticity"].count() == f.coef.count() > 0
+    assert got["comparisons"].count() == dd.forecast_eval(dd.monthly_panel(sales), f=f).count()
 
 
 def test_check_columns(spark):

@@ -354,3 +354,73 @@ def test_optimal_discount_elastic_and_tie(spark):
                                      "discount_pct int, original_avg_demand double, predicted_demand double")
     got = {r.price_bucket: r.optimal_discount_pct for r in dd.optimal_discounts(df).collect()}
     assert got == {"1-2": 50, "2-3": 0}
+
+
+def test_shuffle_column_is_a_permutation_of_any_type(spark):
+    from partnerlens.plans.explain import shuffle_column
+    rows = [(f"k{i}", None if i % 11 == 0 else f"v{i % 37}") for i in range(500)]
+    out = shuffle_column(spark.createDataFrame(rows, "row_key string, c string"), "c", repeats=3).collect()
+    assert len(out) == 1500
+    for rep in range(3):
+        part = {r["row_key"]: r for r in out if r["rep"] == rep}
+        assert len(part) == 500 and all(part[k]["c"] == v for k, v in rows)
+        key = lambda x: (x is None, x)
+        assert sorted((r["shuffled"] for r in part.values()), key=key) == sorted((v for _, v in rows), key=key)
+        assert sum(r["shuffled"] != r["c"] for r in part.values()) > 400
+    assert {(r["row_key"], r["shuffled"]) for r in out if r["rep"] == 0} != {(r["row_key"], r["shuffled"]) for r in out if r["rep"] == 1}
+
+
+def test_compare_recs_reports_leftovers(spark):
+    from partnerlens.plans.explain import compare_recs
+    b = spark.createDataFrame([(1, "a", None), (2, "a", "b"), (3, "x", "y"), (None, "n", "n")], "k int, s string, t string")
+    o = spark.createDataFrame([(1, "a", None), (2, "c", "d"), (4, "z", "z"), (None, "n", "m")], "k int, s string, t string")
+    got = {(r["k"], r["status"], r["n_changed"]) for r in compare_recs(b, o, "k", ["s", "t"]).collect()}
+    assert got == {(1, "matched", 0), (2, "matched", 2), (3, "only_base", None), (4, "only_other", None), (None, "matched", 1)}
+
+
+def test_partner_lists_split_a_hot_product(spark):
+    from collections import Counter, defaultdict
+    from partnerlens.plans.schemes import partner_lists
+    rows = [("hot" if i % 3 else None, i % 17, f"k{i}") for i in range(1000)] + [("x", None, "q"), ("x", 5, "r")]
+    df = spark.createDataFrame(rows, "Product_id string, Partner_id int, row_key string")
+    got = defaultdict(list)
+    for r in partner_lists(df, size=100).collect():
+        assert r["n_partners"] == len(r["Partner_ids"]) <= 100
+        got[r["Product_id"]].append((r["chunk"], r["Partner_ids"]))
+    for p in ("hot", None, "x"):
+        want = Counter(a for q, a, _ in rows if q == p and a is not None)
+        assert Counter(x for _, l in got[p] for x in l) == want
+        sizes = [len(l) for _, l in sorted(got[p])]
+        assert all(n == 100 for n in sizes[:-1]) and sorted(c for c, _ in got[p]) == list(range(len(sizes)))
+
+
+def test_classifier_equals_a_numpy_fit(spark):
+    """Coefficients against Newton's method on the same hashed features."""
+    import numpy as np
+    import random
+    from partnerlens.plans import sentiment as st
+    r = random.Random(2)
+    good, bad = "nice fine great quick helpful".split(), "late broken rude slow missing".split()
+    rows = []
+    for i in range(240):
+        own, other = (good, bad) if i % 4 else (bad, good)
+        rows.append((i, " ".join(r.choice(own if r.random() < 0.8 else other) for _ in range(6)), "Positive" if i % 4 else "Negative"))
+    df = spark.createDataFrame(rows + [(900, None, None), (901, "", None)], "id int, t string, y string")
+    model = st.train_classifier(df, "t", "y", size=64, regularisation=0.01, tolerance=1e-12)
+    feats = {x["id"]: x["features"].toArray() for x in st.token_features(df, "t", 64).collect()}
+    x = np.array([[*feats[i], 1.0] for i, _, _ in rows])
+    y = np.array([float(s == "Positive") for _, _, s in rows])
+    w = np.where(y == 1, len(y) / (2 * y.sum()), len(y) / (2 * (1 - y).sum()))
+    b = np.zeros(65)
+    penalty = np.r_[np.full(64, 0.01), 0.0]
+    for _ in range(50):
+        p = 1 / (1 + np.exp(-x @ b))
+        grad = x.T @ (w * (p - y)) / w.sum() + penalty * b
+        hess = (x * (w * p * (1 - p))[:, None]).T @ x / w.sum() + np.diag(penalty + 1e-12)
+        b -= np.linalg.solve(hess, grad)
+    assert np.allclose([*model.coefficients.toArray(), model.intercept], b, atol=2e-4)
+    got = {x["id"]: x for x in st.classify(df, "id", "t", model).collect()}
+    assert len(got) == 242 and np.allclose([got[i]["score"] for i, _, _ in rows], 1 / (1 + np.exp(-x @ b)), atol=1e-4)
+    assert st.converged(model)
+    with pytest.raises(ValueError):
+        st.train_classifier(df.filter("y = 'Positive'"), "t", "y")
