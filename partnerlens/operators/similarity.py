@@ -10,6 +10,14 @@ reference uses brute-force ``NearestNeighbors``), without comparing all ids:
    to a bucket only if the angle to its pivot less the bucket's radius allows
    a similarity as high as the query's k-th best pivot.  The bound is exact,
    so no neighbour is lost.
+   With more than ``PATTERN_FROM`` features (product flags) angles to pivots
+   bound little.  There a bucket is a pattern of present and absent features,
+   the most balanced ones first.  What a query has on the absent features is
+   lost to it in that bucket, which bounds the similarity from above.  Inside a
+   block the classes are sorted by their whole pattern into leaves; the largest,
+   smallest and least absolute weight of every feature in a leaf bound the
+   scores of its members, and only leaves whose bound reaches the query's
+   threshold are scored.
 3. Buckets are cut into blocks of about ``block_rows`` classes; a numpy kernel
    per pair of blocks emits its top k per query, ranked by a final window over
    at most k rows per block.
@@ -38,6 +46,12 @@ from partnerlens.session import cut_lineage
 BLOCK_ROWS = 4096       # vectors per block, on average; a kernel holds BLOCK_ROWS^2 doubles (128 MB)
 PIVOTS_MAX = 4096       # pivots of all groups together
 PIVOTS_FROM = 8         # blocks in a group from which on finding buckets costs less than it saves
+PATTERN_FROM = 8        # features from which on buckets are patterns, not pivots
+PATTERN_BITS = 30       # features of a pattern at most
+LEAF_CLASSES = 8        # classes of similar pattern bounded together
+PROBES = 64             # leaves of a query that are scored first
+PATTERN_BLOCKS = 32     # blocks of classes that make one block of leaves
+QUERY_ROWS = 64         # queries scored at a time against a block of leaves
 TILE_SETS = 1024        # sets per tile of a local co-occurrence count
 RANK_DIGITS = 12        # similarities are ranked after rounding to 12 decimals, so
                         # results do not depend on summation order (block layout, engine)
@@ -88,6 +102,10 @@ def _unit(dis, vals, d: int) -> np.ndarray:
     return m / np.where(norm > 0, norm, 1.0)[:, None]
 
 
+def _lengths(vals) -> np.ndarray:
+    return np.array([math.sqrt(sum(x * x for x in v)) for v in vals])
+
+
 def _by_group(pdf: pd.DataFrame, g: list[str]):
     if not g:
         yield (), pdf
@@ -132,6 +150,85 @@ def _reach(pivots: dict, radius: dict, g: list[str], d: int, kk: int):
     return run
 
 
+def _codes(u: np.ndarray, top: list[int]) -> np.ndarray:
+    """Pattern of present features, the first of ``top`` in the highest bit."""
+    return (u[:, top] != 0) @ (1 << np.arange(len(top) - 1, -1, -1, dtype=np.int64))
+
+
+def _place_pattern(top: dict, bits: dict, g: list[str], d: int):
+    """Classes -> their bucket (the first bits of the pattern) and pattern."""
+    def run(batches):
+        for pdf in batches:
+            for key, part in _by_group(pdf, g):
+                code = _codes(_unit(part["dis"], part["vals"], d), top.get(key, []))
+                yield part.assign(bucket=(code >> (len(top.get(key, [])) - bits.get(key, 0))).astype(np.int32), pattern=code)
+    return run
+
+
+def _reach_pattern(pivots: dict, top: dict, bits: dict, buckets: dict, g: list[str], d: int, kk: int):
+    """Queries -> a row per bucket that may hold one of their kk nearest, with
+    the similarity that these reach at least (``least``)."""
+    def run(batches):
+        for pdf in batches:
+            for key, part in _by_group(pdf, g):
+                have = np.array(sorted(buckets.get(key, ())), dtype=np.int64)
+                u = _unit(part["dis"], part["vals"], d)
+                p = pivots.get(key, np.zeros((0, d)))
+                s = u @ p.T
+                least = np.partition(s, len(p) - kk, axis=1)[:, len(p) - kk] if len(p) >= kk else np.full(len(u), -np.inf)
+                b = bits.get(key, 0)
+                absent = ((have[:, None] >> np.arange(b - 1, -1, -1)) & 1) == 0
+                lost = (u[:, top.get(key, [])[:b]] ** 2) @ absent.T.astype(float)
+                # similarities may be negative: then the bound says nothing below zero
+                best = np.sqrt(np.clip(u.any(axis=1)[:, None] - lost, 0, 1))
+                rows, cols = np.nonzero(best >= least[:, None] - BOUND_SLACK)
+                yield part.iloc[rows].assign(bucket=have[cols].astype(np.int32), least=least[rows])
+    return run
+
+
+class Leaves:
+    """Unit rows c (of vectors of the given lengths) in leaves of similar
+    pattern, with the bounds of their members."""
+
+    def __init__(self, c: np.ndarray, length: np.ndarray, pattern: np.ndarray):
+        self.c = c
+        order = np.argsort(pattern, kind="stable")
+        starts = np.arange(0, len(c), LEAF_CLASSES)
+        self.members = np.split(order, starts[1:])
+        self.high, self.low = np.maximum.reduceat(c[order], starts), np.minimum.reduceat(c[order], starts)
+        weight = np.abs(c[order]) * length[order, None]
+        self.most, self.least = np.maximum.reduceat(weight, starts) ** 2, np.minimum.reduceat(weight, starts) ** 2
+
+    def bounds(self, q: np.ndarray) -> np.ndarray:
+        """Upper bound of the similarity of every query to the members of every leaf."""
+        # what a leaf lacks is lost to the query, what all of it has besides is lost to its members
+        has = (q != 0).astype(float)
+        kept, inside = (q ** 2) @ (self.most > 0).astype(float).T, has @ self.most.T
+        whole = inside + (1 - has) @ self.least.T
+        return np.minimum(np.maximum(q, 0) @ self.high.T + np.minimum(q, 0) @ self.low.T,
+                          np.sqrt(kept * inside / np.where(whole > 0, whole, 1))) + BOUND_SLACK
+
+    def scores(self, q: np.ndarray, least: np.ndarray, kk: int) -> tuple[np.ndarray, int]:
+        """Similarities of unit rows q, -inf where a bound shows that the pair
+        is not among the kk best of the query, and how many pairs were scored.
+        ``least``: what the kk-th best of a query reaches at least."""
+        bound = self.bounds(q)
+        sim = np.full((len(q), len(self.c)), -np.inf)
+        n = len(self.members)
+        first = np.zeros(bound.shape, dtype=bool)       # the most promising leaves, which raise the threshold
+        np.put_along_axis(first, np.argpartition(bound, max(0, n - PROBES), axis=1)[:, max(0, n - PROBES):], True, axis=1)
+        done = 0
+        for want in (first, ~first):
+            want &= bound >= least[:, None]
+            for i in np.flatnonzero(want.any(axis=0)).tolist():
+                rows, leaf = np.flatnonzero(want[:, i]), self.members[i]
+                sim[np.ix_(rows, leaf)] = q[rows] @ self.c[leaf].T
+                done += len(rows) * len(leaf)
+            if sim.shape[1] >= kk:
+                least = np.maximum(least, np.partition(sim, sim.shape[1] - kk, axis=1)[:, sim.shape[1] - kk])
+        return sim, done
+
+
 def _vectors(df: DataFrame, g: list[str], id_col: str, dim_col: str, val_col: str, dims: Column) -> DataFrame:
     """(group..., id, dis, vals, cls): sparse vectors by position in the
     dimension catalog; cls is the same for equal vectors of a group."""
@@ -204,6 +301,7 @@ def _class_topk(cc: DataFrame, qc: DataFrame, g: list[str], kk: int, groups: int
     """(group..., qrep, crep, sim): the kk nearest classes of every query class,
     ties by the classes' smallest ids.  Groups of few blocks need no pivots."""
     per_group = 1 if most <= PIVOTS_FROM * block_rows else min(math.ceil(math.sqrt(most)), PIVOTS_MAX // max(groups, 1))
+    c_rows = max(block_rows, min(PATTERN_BLOCKS * block_rows, (1 << 24) // d))      # bounds the dense block of leaves
     if per_group < 2:
         placed, reach = cc.withColumn("bucket", F.lit(0)), qc.withColumn("bucket", F.lit(0))
     else:
@@ -218,24 +316,46 @@ def _class_topk(cc: DataFrame, qc: DataFrame, g: list[str], kk: int, groups: int
             found.setdefault(tuple(r[c] for c in g), []).append((r["dis"], r["vals"]))
         pivots = {key: _unit([x for x, _ in rows], [y for _, y in rows], d) for key, rows in found.items()}
         fields = cc.schema.fields
-        placed = cut_lineage(cc.mapInPandas(_place(pivots, g, d), T.StructType(
-            fields + [T.StructField("bucket", T.IntegerType()), T.StructField("angle", T.DoubleType())])))
-        radius: dict[tuple, dict] = {}
-        for r in placed.groupBy(*g, "bucket").agg(F.max("angle").alias("r")).collect():      # a row per pivot
-            radius.setdefault(tuple(r[c] for c in g), {})[r["bucket"]] = r["r"]
-        reach = qc.mapInPandas(_reach(pivots, radius, g, d, kk),
-                               T.StructType(fields + [T.StructField("bucket", T.IntegerType())]))
-
-    def blocks(df: DataFrame, name: str) -> DataFrame:
-        return df.groupBy(*g, "bucket").agg(F.ceil(F.count(F.lit(1)) / F.lit(block_rows)).cast("int").alias(name))
-
-    layout = blocks(reach, "nq").join(blocks(placed, "nc"), [*g, "bucket"])                  # a row per pivot
+        integer, double, long = T.IntegerType(), T.DoubleType(), T.LongType()
+        if d > PATTERN_FROM:
+            sizes = cc.groupBy(*g).agg(F.count(F.lit(1)).alias("n"))
+            held = cc.select(*g, F.explode("dis").alias("di")).groupBy(*g, "di").agg(F.count(F.lit(1)).alias("m"))
+            held = held.join(sizes, g) if g else held.crossJoin(sizes)      # one row
+            balance = F.row_number().over(Window.partitionBy(*g).orderBy(F.abs(F.col("m") / F.col("n") - 0.5), "di"))
+            top: dict[tuple, list] = {}
+            bits: dict[tuple, int] = {}
+            for r in held.withColumn("_n", balance).filter(F.col("_n") <= PATTERN_BITS).orderBy("_n").collect():
+                key = tuple(r[c] for c in g)        # PATTERN_BITS rows a group
+                top.setdefault(key, []).append(r["di"])
+                bits[key] = min(len(top[key]), 12, max(0, math.ceil(math.log2(max(1, r["n"] / c_rows)))))
+            placed = cut_lineage(cc.mapInPandas(_place_pattern(top, bits, g, d), T.StructType(
+                fields + [T.StructField("bucket", integer), T.StructField("pattern", long)])))
+            buckets: dict[tuple, set] = {}
+            for r in placed.select(*g, "bucket").distinct().collect():       # at most 2 ** 12 a group
+                buckets.setdefault(tuple(r[c] for c in g), set()).add(r["bucket"])
+            reach = qc.mapInPandas(_reach_pattern(pivots, top, bits, buckets, g, d, kk), T.StructType(
+                fields + [T.StructField("bucket", integer), T.StructField("least", double)]))
+        else:
+            placed = cut_lineage(cc.mapInPandas(_place(pivots, g, d), T.StructType(
+                fields + [T.StructField("bucket", integer), T.StructField("angle", double)])))
+            radius: dict[tuple, dict] = {}
+            for r in placed.groupBy(*g, "bucket").agg(F.max("angle").alias("r")).collect():      # a row per pivot
+                radius.setdefault(tuple(r[c] for c in g), {})[r["bucket"]] = r["r"]
+            reach = qc.mapInPandas(_reach(pivots, radius, g, d, kk),
+                                   T.StructType(fields + [T.StructField("bucket", integer)]))
+    by_pattern = "pattern" in placed.columns
+
+    def blocks(df: DataFrame, name: str, size: int) -> DataFrame:
+        return df.groupBy(*g, "bucket").agg(F.ceil(F.count(F.lit(1)) / F.lit(size)).cast("int").alias(name))
+
+    layout = blocks(reach, "nq", block_rows).join(blocks(placed, "nc", c_rows if by_pattern else block_rows), [*g, "bucket"])                  # a row per pivot
 
     def spread(df: DataFrame, own: str, own_n: str, other: str, other_n: str) -> DataFrame:
+        extra = [x for x in ("pattern", "least") if x in df.columns]
         return (df.join(F.broadcast(layout), [*g, "bucket"])
                 .withColumn(own, F.pmod(F.xxhash64("rep"), F.col(own_n)).cast("int"))
                 .withColumn(other, F.explode(F.sequence(F.lit(0), F.col(other_n) - 1)))
-                .select(*[F.col(x).alias(x) for x in (*g, "bucket", "qb", "cb", "rep", "dis", "vals")]))
+                .select(*[F.col(x).alias(x) for x in (*g, "bucket", "qb", "cb", "rep", "dis", "vals", *extra)]))
 
     kinds = [cc.schema[c] for c in g]
     id_type = cc.schema["rep"].dataType
@@ -247,7 +367,16 @@ def _class_topk(cc: DataFrame, qc: DataFrame, g: list[str], kk: int, groups: int
         if q.empty or c.empty:
             return pd.DataFrame({x: pd.Series([], dtype=object) for x in names})
         c = c.sort_values("rep")                                     # columns in id order: ties by id
-        rows, cols, vals = top_rows(_unit(q["dis"], q["vals"], d) @ _unit(c["dis"], c["vals"], d).T, kk)
+        qu, cu = _unit(q["dis"], q["vals"], d), _unit(c["dis"], c["vals"], d)
+        if by_pattern:
+            leaves, at_least = Leaves(cu, _lengths(c["vals"]), c["pattern"].to_numpy()), q["least"].to_numpy()
+            found = []
+            for a in range(0, len(qu), QUERY_ROWS):
+                r, x, v = top_rows(leaves.scores(qu[a:a + QUERY_ROWS], at_least[a:a + QUERY_ROWS], kk)[0], kk)
+                found.append((r + a, x, v))
+            rows, cols, vals = (np.concatenate(x) for x in zip(*found))
+        else:
+            rows, cols, vals = top_rows(qu @ cu.T, kk)
         out = pd.DataFrame({"qrep": q["rep"].to_numpy()[rows], "crep": c["rep"].to_numpy()[cols], "sim": vals})
         for x in g:
             out[x] = q[x].iloc[0]

@@ -424,3 +424,56 @@ def test_classifier_equals_a_numpy_fit(spark):
     assert st.converged(model)
     with pytest.raises(ValueError):
         st.train_classifier(df.filter("y = 'Positive'"), "t", "y")
+
+
+def test_cosine_topk_through_patterns_is_exact(spark):
+    """More features than PATTERN_FROM: product flags, weights of both signs, ties, zero vectors, groups."""
+    rng = np.random.default_rng(8)
+    vecs = {i: [float(x) for x in (rng.random(12) < 0.4) * (1 if i % 3 else rng.integers(-2, 4, 12))] for i in range(500)}
+    vecs |= {i: vecs[i % 7] for i in range(500, 560)}
+    vecs |= {i: [0.0] * 12 for i in range(560, 564)}
+    rows = [(g, i, f"d{j:02d}", v) for g in "ab" for i, vec in vecs.items() for j, v in enumerate(vec) if g == "a" or i % 2]
+    df = spark.createDataFrame(rows, "variant string, id long, dim string, val double")
+    got = {}
+    for r in cosine_topk(df, 4, group_cols=["variant"], block_rows=16).collect():
+        got.setdefault(r.variant, {}).setdefault(r.qid, {})[r.rank] = r.cid
+    for g, ids in (("a", vecs), ("b", {i: v for i, v in vecs.items() if i % 2})):
+        want = {q: {n + 1: c for n, (c, _) in enumerate(x)} for q, x in _brute_cosine(ids, 4).items()}
+        assert got[g] == want
+    one = df.filter("variant = 'a'").drop("variant")
+    flat = {(r.qid, r["rank"]): r.cid for r in cosine_topk(one, 4, block_rows=16).collect()}
+    assert flat == {(q, n + 1): c for q, x in _brute_cosine(vecs, 4).items() for n, (c, _) in enumerate(x)}
+
+
+def _scored_share(n, queries=96, d=25, kk=6):
+    """Share of the classes scored per query on random product flags, through
+    buckets of blocks of leaves, with 4096 pivots."""
+    from partnerlens.operators.similarity import Leaves, PATTERN_BLOCKS, _codes, _place_pattern, _reach_pattern
+    rng = np.random.default_rng(n)
+    flags = np.unique(rng.random((n + n // 50, d)) < 0.5, axis=0)
+    flags = flags[rng.permutation(len(flags))][:n]
+    dis = [np.flatnonzero(x).tolist() for x in flags]
+    pdf = pd.DataFrame({"rep": range(len(dis)), "dis": dis, "vals": [[1.0] * len(x) for x in dis]})
+    unit = flags / np.sqrt(np.maximum(flags.sum(axis=1), 1))[:, None]
+    top, b = {(): np.argsort(np.abs(flags.mean(axis=0) - 0.5), kind="stable").tolist()}, {(): max(0, math.ceil(math.log2(n / (4096 * PATTERN_BLOCKS))))}
+    placed = pd.concat(_place_pattern(top, b, [], d)([pdf]))
+    buckets = {(): set(placed["bucket"])}
+    pivots = {(): unit[rng.permutation(n)[:min(4096, n)]]}
+    reach = pd.concat(_reach_pattern(pivots, top, b, buckets, [], d, kk)([pdf[:queries]]))
+    done, sims = 0, np.full((queries, n), -np.inf)
+    for bucket, part in reach.groupby("bucket"):
+        c = placed.index[placed["bucket"] == bucket].to_numpy()
+        leaves = Leaves(unit[c], np.sqrt(flags[c].sum(axis=1)), _codes(unit[c], top[()]))
+        s, k = leaves.scores(unit[part["rep"]], part["least"].to_numpy(), kk)
+        sims[np.ix_(part["rep"], c)] = s
+        done += k
+    true = -np.sort(-(unit[:queries] @ unit.T), axis=1)[:, :kk]
+    assert np.allclose(-np.sort(-sims, axis=1)[:, :kk], true)
+    return done / (queries * n)
+
+
+def test_patterns_score_few_pairs_of_product_flags():
+    shares = [_scored_share(n) for n in (6_000, 25_000, 100_000)]
+    assert shares[2] < 0.13 and shares[0] > shares[1] > shares[2], shares
+    growth = math.log(100_000 ** 2 * shares[2] / (6_000 ** 2 * shares[0])) / math.log(100_000 / 6_000)
+    assert growth < 1.6, growth
