@@ -70,10 +70,13 @@ def text_counts(text: str | None) -> tuple[int, ...]:
             len(vocab), int((ids[1:] == ids[:-1]).sum()), sum(map(len, _LETTERS.findall(text))), stretch_distinct(ids, STRETCH))
 
 
-def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
-        cols = list(zip(*map(text_counts, b.column(1).to_pylist()))) or [()] * len(COUNTS)
-        yield pa.record_batch([b.column(0), *[pa.array(c, pa.int64()) for c in cols]], names=["doc_id", *COUNTS])
+def _count(carried: list[str]):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            cols = list(zip(*map(text_counts, b.column(1).to_pylist()))) or [()] * len(COUNTS)
+            yield pa.record_batch([b.column(0), *[pa.array(c, pa.int64()) for c in cols], *b.columns[2:]],
+                                  names=["doc_id", *COUNTS, *carried])
+    return run
 
 
 def votes() -> dict[str, Column]:
@@ -132,15 +135,17 @@ def fit(patterns: list[tuple[tuple[int, ...], int]], rounds: int = 200,
     return {p: float(g) for (p, _), g in zip(patterns, post[:, 1])}
 
 
-def quality(docs: DataFrame, keep_at: float = 0.5, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """Per row of ``docs``: doc_id, the COUNTS, base_failed, kept, p_good and
-    the votes.  base_failed: under 20 words, or more than 30 % of the words in
+def quality(docs: DataFrame, keep_at: float = 0.5, key: str = "doc_id", text: str = "text",
+            carry: tuple[str, ...] = ()) -> DataFrame:
+    """Per row of ``docs``: doc_id, the COUNTS, base_failed, kept, p_good, the
+    votes and the ``carry`` columns as c_<name>.  base_failed: under 20 words, or more than 30 % of the words in
     repeated 8-word windows; such texts are not kept, whatever p_good says.
     Null and empty texts have no words and fail.  Rows that repeat a key are
     judged one by one; an empty table gives no rows."""
-    counted = scratch(docs.select(F.col(key).alias("doc_id"), F.col(text).alias("text"))
-                      .mapInArrow(_count, "doc_id " + dict(docs.dtypes)[key] + ", "
-                                  + ", ".join(f"{c} long" for c in COUNTS)), "counts")
+    types, carried = dict(docs.dtypes), [f"c_{c}" for c in carry]
+    counted = scratch(docs.select(F.col(key).alias("doc_id"), F.col(text).alias("text"), *[F.col(f"`{c}`").alias(f"c_{c}") for c in carry])
+                      .mapInArrow(_count(carried), ", ".join([f"doc_id {types[key]}", *[f"{c} long" for c in COUNTS],
+                                                              *[f"`c_{c}` {types[c]}" for c in carry]])), "counts")
     rules = votes()
     voted = counted.select("*", *[v.cast("int").alias(f"vote_{r}") for r, v in rules.items()])
     names = [f"vote_{r}" for r in rules]
@@ -153,4 +158,4 @@ def quality(docs: DataFrame, keep_at: float = 0.5, key: str = "doc_id", text: st
     failed = (F.col("n_words") < 20) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words"))
     return (judged.withColumn("base_failed", failed)
             .withColumn("kept", ~F.col("base_failed") & (F.coalesce("p_good", F.lit(1.0)) >= keep_at))
-            .select("doc_id", *COUNTS, "base_failed", "kept", "p_good", *names))
+            .select("doc_id", *COUNTS, "base_failed", "kept", "p_good", *names, *[f"`{c}`" for c in carried]))

@@ -302,11 +302,34 @@ def grouped(docs: DataFrame, shingle: int = 3, distance: int = 3, key: str = "do
     named = classes.filter("low is not null").select("low", "fp")
     several = named.groupBy("low").agg(F.min("fp").alias("a"), F.count(F.lit(1)).alias("__n")).filter("__n > 1")
     repeated = lookup(named, several, "low", "__n", n_classes).filter("a < fp").select("a", F.col("fp").alias("b"))
-    near = links(classes.select(F.col("fp").alias("rep"), "fp"), distance)
-    roots = components(near.unionByName(repeated)).select(F.col("node").alias("__node"), "root")
-    rooted = scratch(classes.join(roots, F.col("fp") == F.col("__node"), "left")
-                     .select("fp", F.coalesce("root", "fp").alias("root"), "low", "n_same"), "rooted")
+    rooted = scratch(_rooted(classes, distance, repeated), "rooted")
     lows = rooted.groupBy("root").agg(F.min("low").alias("component_id"), F.count(F.lit(1)).alias("__n"))
     of_class = (lookup(rooted, lows, "root", "__n", n_classes)
                 .select("fp", "root", "component_id", "n_same", F.col("n_same").alias("__n")))
     return lookup(total_fps, of_class, "fp", "__n", total_fps.count())
+
+
+def _rooted(classes: DataFrame, distance: int, more: DataFrame | None = None) -> DataFrame:
+    """``classes`` (one row per fingerprint, fp) with the smallest fingerprint
+    reachable, root, over links of at most ``distance`` bits and the ``more``
+    links (a, b)."""
+    near = links(classes.select(F.col("fp").alias("rep"), "fp"), distance)
+    roots = components(near if more is None else near.unionByName(more)).select(F.col("node").alias("__node"), "root")
+    return (classes.join(roots, F.col("fp") == F.col("__node"), "left").drop("__node")
+            .withColumn("root", F.coalesce("root", "fp")))
+
+
+def one_per_group(docs: DataFrame, shingle: int = 3, distance: int = 3, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """One row of ``docs``, with its columns, of every group of fingerprints
+    within ``distance`` bits: that of the smallest id, rows without id last,
+    then by the beginning and a hash of the text.
+
+    Every row is judged by its own text: rows that repeat an id stay or go one
+    by one, and of rows equal in id and text one stays.  Null and empty texts
+    share a fingerprint and hence a group.  An empty table gives no rows."""
+    rows = scratch(with_fingerprints(docs, text, shingle).withColumn("__row", F.monotonically_increasing_id()), "rows")
+    order = F.struct(F.col(key).isNull().alias("none"), F.col(key).alias("id"), F.substring(text, 1, 64).alias("head"),
+                     F.xxhash64(text).alias("hash"), F.col("__row").alias("row"))
+    classes = scratch(rows.groupBy("fp").agg(F.min(order).alias("first")), "classes")
+    chosen = _rooted(classes, distance).groupBy("root").agg(F.min("first").alias("first")).select(F.col("first.row").alias("__row"))
+    return rows.join(chosen, "__row", "left_semi").select(*[f"`{c}`" for c in docs.columns])
