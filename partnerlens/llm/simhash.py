@@ -321,14 +321,14 @@ def _rooted(classes: DataFrame, distance: int, more: DataFrame | None = None) ->
 
 def one_per_group(docs: DataFrame, shingle: int = 3, distance: int = 3, key: str = "doc_id", text: str = "text") -> DataFrame:
     """One row of ``docs``, with its columns, of every group of fingerprints
-    within ``distance`` bits: that of the smallest id, rows without id last,
-    then by the beginning and a hash of the text.
+    within ``distance`` bits: that of the smallest id (rows of one id by a
+    hash of the text), or of the least text where no row has an id.
 
     Every row is judged by its own text: rows that repeat an id stay or go one
     by one, and of rows equal in id and text one stays.  Null and empty texts
     share a fingerprint and hence a group.  An empty table gives no rows."""
     rows = scratch(with_fingerprints(docs, text, shingle).withColumn("__row", F.monotonically_increasing_id()), "rows")
-    order = F.struct(F.col(key).isNull().alias("none"), F.col(key).alias("id"), F.substring(text, 1, 64).alias("head"),
+    order = F.struct(F.col(key).isNull().alias("none"), F.col(key).alias("id"), F.when(F.col(key).isNull(), F.col(text)).alias("text"),
                      F.xxhash64(text).alias("hash"), F.col("__row").alias("row"))
     classes = scratch(rows.groupBy("fp").agg(F.min(order).alias("first")), "classes")
     chosen = _rooted(classes, distance).groupBy("root").agg(F.min("first").alias("first")).select(F.col("first.row").alias("__row"))

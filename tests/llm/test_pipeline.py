@@ -83,3 +83,22 @@ def test_run_and_odd_rows(spark, stages):
         for _, stage in corpus_pipeline.STAGES:
             df = scratch(stage(spark, df, SF_SMALL), "stage")
         assert df.filter("length < 1").count() == 0
+
+
+def test_rows_with_repeated_ids_are_judged_one_by_one(spark):
+    """Junk does not pass with a good text of its id, a unique text does not go
+    with a near copy of its id, and equal rows are cut to one."""
+    words = [f"lantern{i % 50} river{i} stone{i % 31} morning{i * 7 % 97}" for i in range(40)]
+    good, other, third = (" ".join(words[a:] + words[:a]) + f" tail{a}" for a in (0, 11, 23))
+    junk = "## $$ %% && ** " * 30
+    rows = [(1, good), (1, junk), (None, other), (None, junk), (2, third), (2, third), (3, good), (3, other + " and more words of its own here")]
+    df = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    kept = corpus_pipeline.quality_rules(spark, df, SF_SMALL)
+    assert kept.columns == corpus_pipeline.COLUMNS and junk not in {r["text"] for r in kept.collect()}
+    assert kept.count() == 6
+    fp = {t: brute_fingerprint(t) for _, t in rows}
+    out = [(r["doc_id"], r["text"]) for r in corpus_pipeline.near_duplicates(spark, kept, SF_SMALL).collect()]
+    assert len(set(out)) == len(out)
+    texts = [t for _, t in rows if t != junk]
+    root = brute_components({i: fp[t] for i, t in enumerate(texts)})
+    assert len(out) == len(set(root.values())) and (1, good) in out and (2, third) in out and (3, good) not in out
