@@ -6,9 +6,9 @@ and returns a DataFrame that is written as Parquet and read again as the next
 one's docs.  All but the last return the columns of ``documents``; the mixing
 stage adds ``mix_position``, the place of a document in the mixture, in whose
 order the packing stage takes the documents.  Null and empty texts have no
-words and end with the quality stage; rows that repeat an id stay or go
-together; rows without an id pass the quality stage together and the near-dedup
-one by one; an empty table passes through as such."""
+words and end with the quality stage; every row is judged by its own text, also
+where ids repeat or are missing, and of rows equal in id and text one stays;
+an empty table passes through as such."""
 
 from __future__ import annotations
 
@@ -20,29 +20,21 @@ from partnerlens.llm.mixing import mix
 from partnerlens.llm.packing import pack
 from partnerlens.llm.quality import quality
 from partnerlens.llm.queries import TARGETS
-from partnerlens.llm.simhash import grouped, with_fingerprints
+from partnerlens.llm.simhash import one_per_group
 from partnerlens.llm.substring_dedup import substring_dedup
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the rules do not reject."""
-    kept = quality(docs).filter("kept").select(F.col("doc_id").alias("__kept")).distinct()
-    return docs.join(kept, F.col("doc_id").eqNullSafe(F.col("__kept")), "left_semi").select(*COLUMNS)
+    """Documents that the rules do not reject, every row by its own text."""
+    judged = quality(docs, carry=tuple(COLUMNS)).filter("kept")
+    return judged.select(*[F.col(f"c_{c}").alias(c) for c in COLUMNS])
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest id of each SimHash group; of a group
-    without ids the least row."""
-    groups = scratch(grouped(docs), "groups")
-    first = groups.filter("doc_id = component_id").select(F.col("doc_id").alias("__first")).distinct()
-    named = docs.join(first, F.col("doc_id") == F.col("__first"), "left_semi").select(*COLUMNS)
-    bare = groups.filter("doc_id is null and component_id is null").select("fp", "root").distinct()
-    least = F.min(F.struct("text", *[c for c in COLUMNS if c != "text"])).alias("row")
-    nameless = with_fingerprints(docs.filter("doc_id is null").select(*COLUMNS)).groupBy("fp").agg(least)
-    one = nameless.join(bare, "fp").groupBy("root").agg(F.min("row").alias("row"))
-    return named.unionByName(one.select(*[f"row.{c}" for c in COLUMNS]))
+    """One document of each SimHash group, that of the smallest id."""
+    return one_per_group(docs.select(*COLUMNS))
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
