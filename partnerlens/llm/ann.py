@@ -67,14 +67,14 @@ def _search(k: int, mean: list[float]):
     turn = rotation(len(mean)) if mean else None
 
     def run(key, vectors: pa.Table, queries: pa.Table) -> pa.Table:
-        out_q, out_v, out_d = [], [], []
+        out_r, out_q, out_v, out_d = [], [], [], []
         if vectors.num_rows and queries.num_rows:
             dim = len(mean)
             ids = vectors.column("vec_id").to_numpy()
             v = vectors.column("v").combine_chunks().flatten().to_numpy().reshape(-1, dim).astype(np.float64)
             bits = np.stack([np.frombuffer(x, np.uint8) for x in vectors.column("bits").to_pylist()])
             norm, own = vectors.column("norm").to_numpy(), vectors.column("own").to_numpy()
-            q_ids = queries.column("vec_id").to_numpy()
+            q_ids, q_rows = queries.column("vec_id").to_numpy(), queries.column("row").to_numpy()
             q = queries.column("v").combine_chunks().flatten().to_numpy().reshape(-1, dim).astype(np.float64)
             for a in range(0, len(q), 64):
                 low, high = bounds(bits, norm, own, q[a:a + 64], mean_v, turn)
@@ -86,10 +86,11 @@ def _search(k: int, mean: list[float]):
                     take = np.flatnonzero(other & (low[i] <= limit * (1 + 1e-9) + 1e-12))
                     d = np.sqrt(((v[take] - q[a + i]) ** 2).sum(axis=1))
                     best = np.lexsort((ids[take], d))[:k]
+                    out_r += [int(q_rows[a + i])] * len(best)
                     out_q += [int(q_ids[a + i])] * len(best)
                     out_v += ids[take][best].tolist()
                     out_d += d[best].tolist()
-        return pa.table({"query_id": pa.array(out_q, pa.int64()), "vec_id": pa.array(out_v, pa.int64()),
+        return pa.table({"row": pa.array(out_r, pa.int64()), "query_id": pa.array(out_q, pa.int64()), "vec_id": pa.array(out_v, pa.int64()),
                          "score": pa.array(out_d, pa.float64())})
     return run
 
@@ -114,25 +115,31 @@ def nearest(vectors: DataFrame, is_query, k: int = 10, key: str = "vec_id", vec:
     of the k nearest other rows of every row for which ``is_query`` holds;
     ties go to the smaller id, fewer rows where there are fewer candidates.
 
-    Rows whose id or vector is null, empty, zero, of another length than most,
-    or holds a null or non-finite component take no part.  Rows that repeat an
-    id are not candidates of that id; among candidates each counts by itself.
-    An empty table gives no rows."""
-    spark = vectors.sparkSession
+    Rows whose id or vector is null, empty, zero, or holds a null or
+    non-finite component take no part.  Vectors of different lengths have no
+    distance: each length is searched by itself.  Rows that repeat an id are
+    not candidates of that id; among candidates each counts by itself, and as
+    queries each has a list of its own.  An empty table gives no rows."""
     c = F.col("v")
     fine = (F.col("vec_id").isNotNull() & c.isNotNull() & (F.size(c) > 0)
             & F.forall(c, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(float("inf"))))
             & F.exists(c, lambda x: x != 0))
     rows = vectors.select(F.col(key).cast("long").alias("vec_id"), F.col(vec).cast("array<double>").alias("v"),
                           is_query.alias("__q")).filter(fine)
-    sizes = rows.groupBy(F.size("v").alias("dim")).count().orderBy(F.desc("count"), "dim").limit(1).collect()
-    dim = sizes[0]["dim"] if sizes else 0
-    rows = rows.filter(F.size("v") == dim)
-    mean = [float(x) for x in rows.agg(*[F.avg(F.element_at("v", i + 1)) for i in range(dim)]).first()] if dim else []
-    n = sizes[0]["count"] if sizes else 0
-    parts = shuffle_parts(spark)
+    lengths = {r["dim"]: r["count"] for r in rows.groupBy(F.size("v").alias("dim")).count().collect()}  # few
+    out = None
+    for dim, n in sorted(lengths.items()) or [(0, 0)]:
+        part = _nearest_of(rows.filter(F.size("v") == dim), dim, n, k)
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
+def _nearest_of(rows: DataFrame, dim: int, n: int, k: int) -> DataFrame:
+    """The search among ``n`` rows (vec_id, v, __q) of one length."""
+    mean = [float(x) for x in rows.agg(*[F.avg(F.element_at("v", i + 1)) for i in range(dim)]).first()] if n else []
+    parts = shuffle_parts(rows.sparkSession)
     blocks = max(1, math.ceil(n / VECTOR_BLOCK), min(parts, math.ceil(n / SMALL_BLOCK)))
-    chosen = rows.filter("__q")
+    chosen = scratch(rows.filter("__q").select("vec_id", "v").withColumn("row", F.monotonically_increasing_id()), "queries")
     q_blocks = max(1, math.ceil(chosen.count() / QUERY_BLOCK))
     of = lambda m: F.pmod(F.xxhash64("vec_id"), F.lit(m))
     index = scratch(rows.select("vec_id", "v").mapInArrow(_codes(mean), "vec_id long, v array<double>, bits binary, norm double, own double"), "codes")
@@ -140,9 +147,9 @@ def nearest(vectors: DataFrame, is_query, k: int = 10, key: str = "vec_id", vec:
     left = (index.withColumn("qb", F.explode(F.sequence(F.lit(0), F.lit(q_blocks - 1))))
             .select(cell(F.col("qb"), of(blocks)), "vec_id", "v", "bits", "norm", "own"))
     right = (chosen.withColumn("vb", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-             .select(cell(of(q_blocks), F.col("vb")), "vec_id", "v"))
+             .select(cell(of(q_blocks), F.col("vb")), "vec_id", "v", "row"))
     found = left.groupBy("cell").cogroup(right.groupBy("cell")).applyInArrow(
-        _search(k, mean), "query_id long, vec_id long, score double")
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy("score", "vec_id"))
+        _search(k, mean), "row long, query_id long, vec_id long, score double")
+    rank = F.row_number().over(Window.partitionBy("row").orderBy("score", "vec_id"))
     return (found.withColumn("rank", rank).filter(F.col("rank") <= k)
             .select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score"))

@@ -259,3 +259,17 @@ def test_divergence_odd_rows(spark):
     rows = divergence.divergence(odd_docs(spark), min_docs=1).collect()
     want = brute_divergence([("en", None if i == 3 else "s", t) for i, t in ODD], 1, 50)
     assert {tuple(r) for r in rows} == want
+
+
+# ------------------------------------------------------------ op7 on awkward rows
+
+def test_nearest_of_mixed_lengths_and_repeated_queries(spark):
+    from partnerlens.llm.ann import nearest
+    rows = [(i, [float(i), 1.0]) for i in range(1, 9)] + [(100 + i, [float(i), 1.0, 2.0]) for i in range(1, 6)] + [(3, [3.0, 1.0])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = nearest(df, F.col("vec_id").isin(3, 101), k=4).collect()
+    lists = defaultdict(list)
+    for r in got:
+        lists[r["query_id"], r["rank"]].append(r["vec_id"])
+    assert [sorted(set(lists[3, i + 1])) for i in range(4)] == [[2], [4], [1], [5]] and all(len(lists[3, i + 1]) == 2 for i in range(4))
+    assert [lists[101, i + 1] for i in range(4)] == [[102], [103], [104], [105]]
