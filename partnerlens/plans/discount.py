@@ -73,6 +73,7 @@ class Fit:
     resid: DataFrame     # keys, YearMonth, u  (train grid)
     train: DataFrame
     test: DataFrame
+    grid: DataFrame | None = None   # keys, YearMonth, Log_Price, Log_Competitor_Price, u  (train grid)
 
 
 def densify_months(bounds: DataFrame, start: str, end: str) -> DataFrame:
@@ -130,7 +131,7 @@ def fit(panel: DataFrame, test_size: float = TEST_SIZE,
     coef = (coef.join(tail, KEYS, "left")
             .withColumn("s_T", F.col("u_T") - F.col("u_T12"))
             .select(*KEYS, "beta_p", "beta_c", "T", "s_T", "p_T", "c_T", "n_grid"))
-    return Fit(coef=coef, resid=resid.select(*KEYS, "YearMonth", "u"), train=train, test=test)
+    return Fit(coef=coef, resid=resid.select(*KEYS, "YearMonth", "u"), train=train, test=test, grid=resid)
 
 
 def _predict(f: Fit, targets: DataFrame, p: str, c: str) -> DataFrame:
