@@ -10,13 +10,19 @@ Training pages are labelled by structure: on pages with an article or main
 element, what lies in it (and in no menu, notice, comment and so on inside it)
 is main text.  TRAIN_PAGES of them are taken, the least by a hash of the id,
 each also re-set in other common page layouts so that the weights do not hang
-on one site's markup.  This bounded sample serves the fit alone; every page is
-parsed and decoded whole."""
+on one site's markup.  Where no page has such an element, the blocks of other
+pages that read like prose are re-set in those layouts, and the fit sees these
+alone.  This bounded sample serves the fit alone; every page is parsed and
+decoded whole, in time linear in its length however deep its elements nest:
+a block holds a link to its element, elements link to their parents, and the
+features name the DEPTH innermost ancestors (that any ancestor is main text or
+beside it is handed down from parent to child)."""
 
 from __future__ import annotations
 
 import re
 import zlib
+from collections import Counter
 from collections.abc import Iterator
 from html import escape
 from html.parser import HTMLParser
@@ -30,6 +36,8 @@ FEATURES = 1 << 14
 EPOCHS = 6
 RATE = 0.3
 L2 = 1e-4
+DEPTH = 32                    # ancestors whose tags and names are features
+PROSE_WORDS = 10              # a block of so many words reads like prose
 
 # fixed values: HTML element names by role
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
@@ -50,17 +58,58 @@ alert popup modal newsletter subscribe signup share social related recommended l
 _WORD = re.compile(r"[a-z]+|\d+")
 
 
+class Node:
+    """An open element: its tag, class and id words, and what it hands down."""
+
+    __slots__ = ("tag", "words", "parent", "main", "clean", "beside", "named", "outer", "block", "reset", "memo")
+
+    def __init__(self, tag: str, words: tuple[str, ...], parent: "Node | None", reset: bool = False):
+        self.tag, self.words, self.parent, self.memo = tag, words, parent, None
+        self.main = tag in MAIN or (parent is not None and parent.main)
+        # nothing beside the main text since the innermost main element
+        self.clean = tag in MAIN or (parent is not None and parent.clean and tag not in BESIDE)
+        self.beside = tag in BESIDE or (parent is not None and parent.beside)
+        self.named = any(w in BESIDE_WORDS for w in words) or (parent is not None and parent.named)
+        self.outer = tag if tag in SCOPE else parent.outer if parent else ""
+        self.block = tag if tag in BLOCK else parent.block if parent else ""
+        self.reset = reset or (parent is not None and parent.reset)
+
+    def names(self) -> frozenset[str]:
+        """Features of the element and its nearest ancestors, the same for all its blocks."""
+        if self.memo is None:
+            out, at = set(), self
+            for _ in range(DEPTH):
+                out.add(f"tag={at.tag}")
+                out.update(f"name={w}" for w in at.words)
+                at = at.parent
+                if at is None:
+                    break
+            self.memo = frozenset(out | {f"outer={self.outer}", f"own={self.block}", f"own={self.block}/{self.outer}",
+                                         f"main={self.main}", f"beside={self.beside}", f"besidename={self.named}"})
+        return self.memo
+
+
 class Leaf:
-    __slots__ = ("text", "tags", "names", "linked")
+    """A run of text, the element that holds it (None: no open element) and
+    how many of its characters lie in links."""
+
+    __slots__ = ("text", "node", "linked")
+
+    def __init__(self, text: str, node: Node | None, linked: int):
+        self.text, self.node, self.linked = text, node, linked
 
-    def __init__(self, text: str, tags: tuple[str, ...], names: tuple[str, ...], linked: int):
-        self.text, self.tags, self.names, self.linked = text, tags, names, linked
+
+_NOWHERE = Node("", (), None)
+_NOWHERE.memo = frozenset({"outer=", "own=", "own=/", "main=False", "beside=False", "besidename=False"})
+RESET = "data-reset"  # attribute of main text in re-set pages
 
 
 class _Parser(HTMLParser):
     def __init__(self):
         super().__init__(convert_charrefs=True)
-        self.stack: list[tuple[str, tuple[str, ...]]] = []
+        self.stack: list[Node] = []
+        self.open: Counter[str] = Counter()            # open elements by tag
+        self.scopes: list[Counter[str]] = [Counter()]  # the same since each open scope element, itself included
         self.leaves: list[Leaf] = []
         self.buffer: list[str] = []
         self.linked = self.silent = 0
@@ -68,21 +117,27 @@ class _Parser(HTMLParser):
     def flush(self) -> None:
         text = " ".join("".join(self.buffer).split())
         if text:
-            self.leaves.append(Leaf(text, tuple(t for t, _ in self.stack), tuple(n for _, ns in self.stack for n in ns), self.linked))
+            self.leaves.append(Leaf(text, self.stack[-1] if self.stack else None, self.linked))
         self.buffer, self.linked = [], 0
 
-    def _pop_to(self, i: int) -> None:
-        if any(t in BLOCK for t, _ in self.stack[i:]):
+    def _pop_through(self, names: set[str]) -> None:
+        """Closes all elements up to the innermost of these, which is open."""
+        i = len(self.stack) - 1
+        while self.stack[i].tag not in names:
+            i -= 1
+        if any(n.tag in BLOCK for n in self.stack[i:]):
             self.flush()
-        self.silent -= sum(t in SILENT for t, _ in self.stack[i:])
-        del self.stack[i:]
+        for _ in range(len(self.stack) - i):
+            tag = self.stack.pop().tag
+            self.open[tag] -= 1
+            self.silent -= tag in SILENT
+            self.scopes[-1][tag] -= 1
+            if tag in SCOPE:
+                self.scopes.pop()
 
     def _close(self, names: set[str]) -> None:
-        for i in range(len(self.stack) - 1, -1, -1):
-            if self.stack[i][0] in names:
-                return self._pop_to(i)
-            if self.stack[i][0] in SCOPE:
-                return
+        if any(self.scopes[-1][t] > 0 for t in names):
+            self._pop_through(names)
 
     def handle_starttag(self, tag, attrs):
         if tag in BLOCK:
@@ -94,7 +149,11 @@ class _Parser(HTMLParser):
         if tag in VOID:
             return
         words = [w for k, v in attrs if k in ("class", "id", "role") and v for w in _WORD.findall(v.lower())]
-        self.stack.append((tag, tuple(words)))
+        self.stack.append(Node(tag, tuple(words), self.stack[-1] if self.stack else None, any(k == RESET for k, _ in attrs)))
+        if tag in SCOPE:
+            self.scopes.append(Counter())
+        self.scopes[-1][tag] += 1
+        self.open[tag] += 1
         self.silent += tag in SILENT
 
     def handle_startendtag(self, tag, attrs):
@@ -103,16 +162,15 @@ class _Parser(HTMLParser):
             self.handle_endtag(tag)
 
     def handle_endtag(self, tag):
-        for i in range(len(self.stack) - 1, -1, -1):
-            if self.stack[i][0] == tag:
-                return self._pop_to(i)
-        if tag in BLOCK:
+        if self.open[tag] > 0:
+            self._pop_through({tag})
+        elif tag in BLOCK:
             self.flush()
 
     def handle_data(self, data):
         if not self.silent:
             self.buffer.append(data)
-            if any(t == "a" for t, _ in self.stack):
+            if self.open["a"] > 0:
                 self.linked += len(data)
 
 
@@ -138,32 +196,36 @@ def features(page: list[Leaf]) -> list[np.ndarray]:
     for leaf in page:
         n = len(leaf.text)
         words = leaf.text.count(" ") + 1
-        names = {f"tag={t}" for t in leaf.tags} | {f"name={w}" for w in leaf.names}
-        outer = next((t for t in reversed(leaf.tags) if t in SCOPE), "")
-        block = next((t for t in reversed(leaf.tags) if t in BLOCK), "")
-        names |= {"bias", f"outer={outer}", f"own={block}", f"own={block}/{outer}", f"words={min(words.bit_length(), 7)}",
-                  f"link={min(4, 5 * leaf.linked // max(n, 1))}", f"end={leaf.text[-1] in '.!?…”'}",
-                  f"sign={leaf.text[0] in '©®|'}", f"main={any(t in MAIN for t in leaf.tags)}",
-                  f"beside={any(t in BESIDE for t in leaf.tags)}",
-                  f"besidename={any(w in BESIDE_WORDS for w in leaf.names)}"}
-        out.append(np.array(sorted({memo.setdefault(x, _slot(x)) if x not in memo else memo[x] for x in names})))
+        names = (leaf.node or _NOWHERE).names() | {
+            "bias", f"words={min(words.bit_length(), 7)}", f"link={min(4, 5 * leaf.linked // max(n, 1))}",
+            f"end={leaf.text[-1] in '.!?…”'}", f"sign={leaf.text[0] in '©®|'}"}
+        out.append(np.array(sorted({memo[x] if x in memo else memo.setdefault(x, _slot(x)) for x in names})))
     return out
 
 
 def label(leaf: Leaf) -> int:
     """Structure's own label: 1 in an article or main element and in nothing
     beside the main text there."""
-    inner = leaf.tags[max((i for i, t in enumerate(leaf.tags) if t in MAIN), default=len(leaf.tags)):]
-    return int(bool(inner) and not any(t in BESIDE for t in inner) and not any(w in BESIDE_WORDS for w in leaf.names))
+    node = leaf.node or _NOWHERE
+    return int(node.main and node.clean and not node.named)
+
+
+def prose(leaf: Leaf) -> bool:
+    """Whether a block of a page without article and main reads like prose."""
+    node = leaf.node or _NOWHERE
+    return (not node.beside and not node.named and leaf.text.count(" ") + 1 >= PROSE_WORDS
+            and 2 * leaf.linked < len(leaf.text))
 
 
-def layouts(page: list[Leaf], seed: int) -> str:
-    """The page's texts re-set in another common layout.  Main text blocks get
-    the class word ``kept``, which no feature sees after labelling."""
+def layouts(page: list[Leaf], seed: int, is_main=None) -> str:
+    """The page's texts re-set in another common layout; ``is_main`` tells its
+    main text blocks.  The element of the main text has the attribute RESET,
+    which no feature sees."""
+    is_main = is_main or label
     r = np.random.default_rng(seed)
     pick = lambda *x: x[int(r.integers(len(x)))]
-    body = [escape(x.text) for x in page if label(x)] or ["."]
-    side = [escape(x.text) for x in page if not label(x)] or ["menu"]
+    body = [escape(x.text) for x in page if is_main(x)] or ["."]
+    side = [escape(x.text) for x in page if not is_main(x)] or ["menu"]
     few = lambda k: [side[int(r.integers(len(side)))] for _ in range(k)]
     paragraphs = "".join(f"<{t}>{x}</{t}>" for x in body for t in [pick("p", "p", "p", "div", "h2", "li", "blockquote", "pre")])
     a, b = pick(("article", ""), ("main", ""), ("div", "content"), ("div", "post body"), ("section", "entry content"), ("div", "story"),
@@ -177,21 +239,21 @@ def layouts(page: list[Leaf], seed: int) -> str:
     r.shuffle(after)
     return (f"<html><head><title>{few(1)[0]}</title></head><body>" + pick(f"<nav><ul>{links}</ul></nav>", f'<ul class="menu">{links}</ul>',
             f"<header><h1>{few(1)[0]}</h1><ul>{links}</ul></header>") + notes("div", "notice") * int(r.integers(2))
-            + f'<{a} class="{b} kept">{paragraphs}{inside}</{a}>' + "".join(after[:5]) + "</body></html>")
+            + f'<{a} class="{b}" {RESET}>{paragraphs}{inside}</{a}>' + "".join(after[:5]) + "</body></html>")
 
 
 def labelled(html: str | None, seed: int) -> list[tuple[list[np.ndarray], list[int]]]:
-    """Training sequences of a page: as it is, and re-set in two layouts."""
+    """Training sequences of a page: as it is, and re-set in two layouts.  Of a
+    page without article and main only the latter, if some block reads like
+    prose."""
     page = leaves(html)
-    if not any(label(x) for x in page):
+    marked = any(label(x) for x in page)
+    if not marked and not any(prose(x) for x in page):
         return []
-    out = [(features(page), [label(x) for x in page])]
+    out = [(features(page), [label(x) for x in page])] if marked else []
     for k in range(2):
-        other = leaves(layouts(page, 2 * seed + k))
-        truth = [int("kept" in x.names and not any(w in BESIDE_WORDS for w in x.names) and not any(t in BESIDE for t in x.tags))
-                 for x in other]
-        for x in other:
-            x.names = tuple(w for w in x.names if w != "kept")
+        other = leaves(layouts(page, 2 * seed + k, label if marked else prose))
+        truth = [int(n.reset and not n.named and not n.beside) for x in other for n in [x.node or _NOWHERE]]
         out.append((features(other), truth))
     return out
 
@@ -271,11 +333,18 @@ def _train(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def train(pages: DataFrame, key: str = "page_id", html: str = "html") -> Crf:
-    """Fits the field to TRAIN_PAGES labelled pages, in one task."""
-    some = (pages.filter(F.lower(F.col(html)).rlike("<(article|main)[\\s/>]"))
-            .select(F.col(key).cast("string").alias("k"), F.col(html).alias("h"))
-            .orderBy(F.xxhash64("k"), "k", F.md5("h")).limit(TRAIN_PAGES).coalesce(1))
-    got = some.mapInArrow(_train, "used array<int>, w array<double>").first()
+    """Fits the field to TRAIN_PAGES labelled pages, in one task; to pages
+    without article and main where there are no others."""
+    marked = F.lower(F.col(html)).rlike("<(article|main)[\\s/>]")
+
+    def fit(some: DataFrame):
+        some = (some.select(F.col(key).cast("string").alias("k"), F.col(html).alias("h"))
+                .orderBy(F.xxhash64("k"), "k", F.md5("h")).limit(TRAIN_PAGES).coalesce(1))
+        return some.mapInArrow(_train, "used array<int>, w array<double>").first()
+
+    got = fit(pages.filter(marked))
+    if got is None or not got["used"]:
+        got = fit(pages.filter(F.length(html) > 0))
     m = Crf()
     if got is not None:
         m.move, m.start = np.array(got["w"][:4]).reshape(2, 2), np.array(got["w"][4:6])
@@ -301,8 +370,9 @@ def _extract(model: Crf):
 def main_text(pages: DataFrame, model: Crf | None = None) -> DataFrame:
     """page_id, url, text, n_chars and n_blocks of every page.  Null and empty
     pages have the empty text; pages that repeat an id are read one by one;
-    without any page to train on nothing counts as main text; an empty table
-    gives no rows."""
+    very long and deeply nested pages are read whole; columns of other names
+    are not looked at; where no page has an article or main element or a block
+    of prose nothing counts as main text; an empty table gives no rows."""
     kinds = dict(pages.dtypes)
     field = model or train(pages)
     return pages.select("page_id", "url", "html").mapInArrow(
