@@ -53,6 +53,14 @@ def block_of(n: int, key, text):
     return F.pmod(F.xxhash64(key, text), F.lit(n)).cast("int")
 
 
+def free_name(df: DataFrame, name: str) -> str:
+    """``name``, with underscores before it as long as ``df`` has such a column."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = "_" + name
+    return name
+
+
 def gapless_index(df: DataFrame, groups: list[str], order: list[str], name: str,
                   rows_per_bucket: int = 8192) -> DataFrame:
     """Adds ``name``: 0, 1, 2, ... within each group (null is a group), in the
@@ -61,19 +69,20 @@ def gapless_index(df: DataFrame, groups: list[str], order: list[str], name: str,
     whole group.  ``df`` is read twice: pass a scratch table or a cheap plan."""
     n = df.count()
     buckets = max(math.ceil(n / rows_per_bucket), shuffle_parts(df.sparkSession))
-    h = F.xxhash64(*[F.col(c) for c in order])
-    keyed = df.withColumn("__h", h).withColumn(
-        "__b", F.shiftright(F.shiftrightunsigned(F.col("__h"), 32) * F.lit(buckets), 32))
-    sizes = keyed.groupBy(*groups, "__b").agg(F.count(F.lit(1)).alias("__n"))
-    before = Window.partitionBy(*groups).orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)
-    bases = sizes.select(*[F.col(g).alias(f"__g{i}") for i, g in enumerate(groups)], F.col("__b").alias("__bb"),
-                         F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__base"))
-    on = F.col("__b") == F.col("__bb")
-    for i, g in enumerate(groups):
-        on = on & F.col(g).eqNullSafe(F.col(f"__g{i}"))
-    inside = Window.partitionBy(*groups, "__b").orderBy("__h", *order)
+    h, b, bb, base = (free_name(df, x) for x in ("__h", "__b", "__bb", "__base"))
+    gs = [free_name(df, f"__g{i}") for i in range(len(groups))]
+    keyed = df.withColumn(h, F.xxhash64(*[F.col(c) for c in order])).withColumn(
+        b, F.shiftright(F.shiftrightunsigned(F.col(h), 32) * F.lit(buckets), 32))
+    sizes = keyed.groupBy(*groups, b).agg(F.count(F.lit(1)).alias(base))
+    before = Window.partitionBy(*groups).orderBy(b).rowsBetween(Window.unboundedPreceding, -1)
+    bases = sizes.select(*[F.col(g).alias(x) for g, x in zip(groups, gs)], F.col(b).alias(bb),
+                         F.coalesce(F.sum(base).over(before), F.lit(0)).alias(base))
+    on = F.col(b) == F.col(bb)
+    for g, x in zip(groups, gs):
+        on = on & F.col(g).eqNullSafe(F.col(x))
+    inside = Window.partitionBy(*groups, b).orderBy(h, *order)
     return (keyed.join(bases, on)
-            .withColumn(name, F.col("__base") + F.row_number().over(inside) - 1)
+            .withColumn(name, F.col(base) + F.row_number().over(inside) - 1)
             .select(*df.columns, name))
 
 

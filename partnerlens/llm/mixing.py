@@ -20,8 +20,11 @@ from pyspark.sql import DataFrame, functions as F
 
 from partnerlens.llm.common import gapless_index, scratch
 
+MAX_PERIOD = 100_000  # bound of the sum of quotas, hence of the plan that is broadcast (about 40 MB)
 REST = "(rest)"  # rows of null or unlisted sources, as one source
 
+ADDED = ["mix_source", "mix_phase", "mix_block", "mix_slot", "mix_release", "mix_deadline", "mix_position"]
+
 
 def hyperperiod(quotas: dict[str, int]) -> dict[str, list[tuple[int, int, int]]]:
     """source -> [(slot, release, deadline)] of its blocks in one period of
@@ -74,18 +77,23 @@ def mix(docs: DataFrame, targets: dict[str, int], rest: int = 1, block_rows: int
     mix_position, by which the mixture is read in order.
 
     ``targets``: whole-number quotas of the listed sources, all positive; what
-    is not listed (null included) shares the quota ``rest``.  Their number
-    bounds all that the driver holds.  Rows of a source are taken in the order
-    of a hash of their key; rows that repeat a key follow one another.  An
-    empty table gives no rows."""
+    is not listed (null included) shares the quota ``rest``.  Their sum, at
+    most MAX_PERIOD, bounds all that the driver holds.  Rows of a source are
+    taken in the order of a hash of their key; rows that repeat a key follow
+    one another.  Texts of any length only travel with their rows.  Input
+    columns may have any names: one that is called like a column added here
+    comes back with ``c_`` before its name.  An empty table gives no rows."""
     spark = docs.sparkSession
-    if any(int(q) != q or q <= 0 for q in [*targets.values(), rest]):
-        raise ValueError("quotas must be positive whole numbers")
-    name = F.col(source).cast("string")
-    rows = scratch(docs.withColumn("mix_source", F.when(name.isin(list(targets)), name).otherwise(F.lit(REST))), "mix")
-    tie = [F.xxhash64(*[F.col(f"`{c}`") for c, t in docs.dtypes if not t.startswith("map")]).alias("__all")]
-    keyed = rows.select("*", *tie)
-    placed = gapless_index(keyed, ["mix_source"], [key, "__all"], "__i").drop("__all")
+    quotas = [*targets.values(), rest]
+    if any(int(q) != q or q <= 0 for q in quotas) or sum(quotas) > MAX_PERIOD:
+        raise ValueError(f"quotas must be positive whole numbers with a sum of at most {MAX_PERIOD}")
+    name = F.col(f"`{source}`").cast("string")
+    columns = [f"`{c}`" for c in docs.columns]
+    # the row travels as one column, so that no name of its columns meets one used here
+    rows = scratch(docs.select(F.struct(*columns).alias("row"), F.col(f"`{key}`").alias("key"),
+                               F.when(name.isin(list(targets)), name).otherwise(F.lit(REST)).alias("mix_source")), "mix")
+    tie = F.xxhash64(*[F.col(f"row.`{c}`") for c, t in docs.dtypes if "map<" not in t])
+    placed = gapless_index(rows.withColumn("tie", tie), ["mix_source"], ["key", "tie"], "__i").drop("tie")
     counts = {r["mix_source"]: -(-r["count"] // block_rows) for r in rows.groupBy("mix_source").count().collect()}
     table = phases(counts, {**targets, REST: rest})
     steps = spark.createDataFrame(
@@ -102,5 +110,10 @@ def mix(docs: DataFrame, targets: dict[str, int], rest: int = 1, block_rows: int
     out = (joined.withColumn("mix_slot", turn + at[0]).withColumn("mix_release", turn + at[1])
            .withColumn("mix_deadline", turn + at[2])
            .withColumn("mix_position", F.col("mix_slot") * F.lit(block_rows) + F.pmod(F.col("__i"), F.lit(block_rows))))
-    return out.select(*[f"`{c}`" for c in docs.columns], "mix_source", "mix_phase", "mix_block", "mix_slot",
-                      "mix_release", "mix_deadline", "mix_position")
+    kept, taken = [], {*ADDED, *(c.lower() for c in docs.columns)}
+    for c in docs.columns:
+        to = c
+        while to.lower() in ADDED or (to != c and to.lower() in taken):
+            to = "c_" + to
+        kept.append(F.col(f"row.`{c}`").alias(to))
+    return out.select(*kept, *ADDED)

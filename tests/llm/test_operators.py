@@ -8,6 +8,7 @@ import itertools
 import math
 import random
 import re
+import time
 import zlib
 from collections import Counter, defaultdict
 
@@ -107,6 +108,42 @@ def test_mix_keeps_all_rows_and_shares(spark):
     assert odd.count() == len(ODD) and odd.select("mix_position").distinct().count() == len(ODD)
     with pytest.raises(ValueError):
         mix(df, {"b": 0})
+    with pytest.raises(ValueError):
+        mix(df, {"b": 10 ** 6})
+
+
+def test_mix_keeps_clashing_columns(spark):
+    names = ["doc_id", "source", "__b", "__i", "row", "key", "tie", "mix_source", "c_mix_source", "MIX_SLOT", "__plan", "__base", "__g0", "a.b"]
+    df = spark.createDataFrame([(i, "b" if i % 3 else "c", *(1000 * j + i for j in range(len(names) - 2))) for i in range(60)], names)
+    out = mix(df, {"b": 2}, block_rows=4)
+    assert out.columns[-7:] == ["mix_source", "mix_phase", "mix_block", "mix_slot", "mix_release", "mix_deadline", "mix_position"]
+    assert out.columns[:-7] == [{"mix_source": "c_c_mix_source", "MIX_SLOT": "c_MIX_SLOT"}.get(c, c) for c in names]
+    assert sorted(tuple(r)[:-7] for r in out.collect()) == sorted(map(tuple, df.collect()))
+
+
+def test_mixing_query_against_plain_edf(spark):
+    """Slot by slot over all documents: of the released blocks the one of the
+    earliest deadline, a new phase when the chosen source has run out."""
+    rows = queries.op1_mixing(spark, SF_SMALL).collect()
+    sizes = Counter(r["source"] if r["source"] in queries.TARGETS else "(rest)"
+                    for r in spark.read.parquet(f"{SF_SMALL}/documents.parquet").select("source").collect())
+    left = {s: -(-n // 64) for s, n in sizes.items()}
+    plain, done = [], Counter()
+    while any(left.values()):
+        quota = {s: queries.TARGETS.get(s, 1) for s in left if left[s]}
+        total, took, slot = sum(quota.values()), Counter(), 0
+        while True:
+            ready = [(-(-(took[s] + 1) * total // q), s) for s, q in quota.items() if took[s] * total // q <= slot]
+            s = min(ready)[1]
+            if not left[s]:
+                break
+            plain.append((s, done[s]))
+            left[s] -= 1
+            took[s] += 1
+            done[s] += 1
+            slot += 1
+    assert {(r["mix_slot"], r["mix_source"], r["mix_block"]) for r in rows} == {(i, *x) for i, x in enumerate(plain)}
+    assert Counter(r["mix_source"] for r in rows) == sizes
 
 
 # ------------------------------------------------------------ op2, op5
@@ -573,6 +610,27 @@ def test_main_text_white_space_in_tags(spark):
     assert {r["text"] for r in html_crf.main_text(df).collect()} == {story}
 
 
+@pytest.mark.parametrize("html", ["<div>x" * 170_000, "<b>x" * 250_000, "<b><h2>x" * 125_000, "<li class=a>a" * 70_000,
+                                  "<p><span>" * 110_000, "<x>" * 170_000 + "</y>" * 120_000], ids=str.__len__)
+def test_deep_pages_take_linear_time(html):
+    began = time.process_time()
+    page = html_crf.leaves(html)
+    labels = html_crf.Crf().decode(html_crf.features(page))
+    assert len(labels) == len(page) and time.process_time() - began < 60
+
+
+def test_main_text_without_article_or_main(spark):
+    """No page has an article or main element: the fit sees re-set pages only."""
+    def story(i):
+        return [f"Paragraph {k} of story {i} tells, in a good many plain words, how the day went on for them all." for k in range(6)]
+    pages = [(i, "u", "<html><body><div class=nav><ul><li><a href=/>Home</a></li><li><a href=/n>News</a></li></ul></div><div class=content>"
+              + "".join(f"<p>{x}</p>" for x in story(i)) + "</div><div class=sidebar><p>Most read today</p></div>"
+              "<div class=footer>All rights reserved</div></body></html>") for i in range(40)]
+    df = spark.createDataFrame(pages, "page_id long, url string, html string")
+    got = {r["page_id"]: r["text"] for r in html_crf.main_text(df).collect()}
+    assert got == {i: " ".join(story(i)) for i in range(40)}
+
+
 def test_crf_against_enumeration():
     r = np.random.default_rng(4)
     m = html_crf.Crf(r.normal(size=(html_crf.FEATURES, 2)), r.normal(size=(2, 2)), r.normal(size=2))
