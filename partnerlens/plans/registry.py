@@ -32,7 +32,7 @@ class Query:
 REGISTRY: dict[str, Query] = {}
 
 _MODULES = ("q_discount", "q_clean", "q_schemes", "q_recommend", "q_evaluate",
-            "q_explain", "q_sentiment", "q_arma")
+            "q_explain", "q_sentiment", "q_arma", "q_grouped")
 
 
 def register(qid: str, sql: str | None = None):
