@@ -6,7 +6,8 @@ grows least, fuller levels first on ties; counts and windows are kept in
 arrays by level.  A document longer than a window is first cut into whole
 windows and a rest.  When the stream of a task ends, the pieces of its still
 open windows are laid end to end and cut at window bounds, so a task leaves at
-most one unfilled window."""
+most one unfilled window.  Tasks take at least BLOCK_BYTES of text each, if the
+table has as much, so that few windows are open when they end."""
 
 from __future__ import annotations
 
@@ -18,9 +19,9 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
-from partnerlens.llm.common import block_count
 from partnerlens.llm.encoder import chunks, encoder
 
+BLOCK_BYTES = 48 << 20  # text a task packs at least (one task for a smaller table)
 PIECES = ("doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long")
 
 
@@ -108,14 +109,18 @@ def _packer(tokenizer: str, end_id: int, size: int):
 
 
 def pack(docs: DataFrame, tokenizer: str, end_id: int = 1, size: int = 2048, order: str | None = None,
-         key: str = "doc_id", text: str = "text", block_bytes: int = 64 << 20) -> DataFrame:
+         key: str = "doc_id", text: str = "text", block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """One row per piece: doc_id, start, length, ids_crc32, doc_tokens,
-    sequence_id, offset.  Every task packs the rows of its partition as they
+    sequence_id, offset.  Every task packs the rows of its partitions as they
     arrive; with ``order`` rows arrive by that column (range partitions).  A
-    null text counts as empty and gives its end id only; rows that repeat a
-    key are packed one by one; an empty table gives no pieces."""
+    null text counts as empty and gives its end id only; a text of any length
+    is cut into whole windows and a rest, of which alone a copy is held; rows
+    that repeat a key are packed one by one; other columns are not looked at;
+    an empty table gives no pieces."""
     rows = docs.select(F.col(key).cast("long").alias("key"), F.coalesce(F.col(text), F.lit("")).alias("text"),
                        *([F.col(order).alias("at")] if order else []))
-    if order:
-        rows = rows.repartitionByRange(block_count(docs, text, block_bytes), "at").sortWithinPartitions("at")
+    total = rows.agg(F.sum(F.octet_length("text").cast("long")).alias("b")).first()["b"] or 0
+    tasks = max(1, total // block_bytes)
+    # without an order partitions are read several to a task, nothing is shuffled
+    rows = rows.repartitionByRange(tasks, "at").sortWithinPartitions("at") if order else rows.coalesce(tasks)
     return rows.select("key", "text").mapInArrow(_packer(tokenizer, end_id, size), PIECES)

@@ -234,6 +234,18 @@ def test_packing(spark, docs):
     assert pack(empty(odd), tokenizer_path("word_bpe_49k.json")).count() == 0
 
 
+def test_packing_tasks_follow_the_text(spark, docs):
+    """However the table is partitioned, a task packs block_bytes of text or all."""
+    df = spark.createDataFrame(list(docs.items()) if isinstance(docs, dict) else docs, "doc_id long, text string").repartition(32)
+    for order in (None, "doc_id"):
+        one = pack(df, tokenizer_path("word_bpe_49k.json"), order=order).collect()
+        room, used = check_pieces(one, docs)
+        assert room - used < 2048 and {r["sequence_id"] >> 33 for r in one} == {0}
+        some = pack(df, tokenizer_path("word_bpe_49k.json"), order=order, block_bytes=200_000).collect()
+        check_pieces(some, docs)
+        assert 1 < len({r["sequence_id"] >> 33 for r in some}) < 32
+
+
 def test_sum_of_squares_picks_least_growth():
     r = random.Random(5)
     s = SumOfSquares(40)
