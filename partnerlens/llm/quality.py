@@ -141,11 +141,16 @@ def quality(docs: DataFrame, keep_at: float = 0.5, key: str = "doc_id", text: st
     votes and the ``carry`` columns as c_<name>.  base_failed: under 20 words, or more than 30 % of the words in
     repeated 8-word windows; such texts are not kept, whatever p_good says.
     Null and empty texts have no words and fail.  Rows that repeat a key are
-    judged one by one; an empty table gives no rows."""
+    judged one by one; an empty table gives no rows.
+
+    The counts are written once and read twice; with ``carry`` columns, which
+    may be whole texts, they are worked out twice instead of written."""
     types, carried = dict(docs.dtypes), [f"c_{c}" for c in carry]
-    counted = scratch(docs.select(F.col(key).alias("doc_id"), F.col(text).alias("text"), *[F.col(f"`{c}`").alias(f"c_{c}") for c in carry])
-                      .mapInArrow(_count(carried), ", ".join([f"doc_id {types[key]}", *[f"{c} long" for c in COUNTS],
-                                                              *[f"`c_{c}` {types[c]}" for c in carry]])), "counts")
+    counted = (docs.select(F.col(key).alias("doc_id"), F.col(text).alias("text"), *[F.col(f"`{c}`").alias(f"c_{c}") for c in carry])
+               .mapInArrow(_count(carried), ", ".join([f"doc_id {types[key]}", *[f"{c} long" for c in COUNTS],
+                                                       *[f"`c_{c}` {types[c]}" for c in carry]])))
+    if not carry:
+        counted = scratch(counted, "counts")
     rules = votes()
     voted = counted.select("*", *[v.cast("int").alias(f"vote_{r}") for r, v in rules.items()])
     names = [f"vote_{r}" for r in rules]
