@@ -73,6 +73,18 @@ def infer_meta_cols(df: DataFrame, threshold: int = 10, approx: bool = False) ->
     return [c for c in df.columns if row[c] > threshold]
 
 
+CATALOG_MOST = 10_000   # one-hot columns are plan nodes; beyond this a table belongs in long form
+
+
+def catalog_of(df: DataFrame, col: str, most: int = CATALOG_MOST) -> list:
+    """The distinct non-null values of ``col``, sorted.  At most ``most`` + 1 of
+    them reach the driver; more than ``most`` is an error, not a cut list."""
+    found = [r[0] for r in df.select(col).filter(F.col(col).isNotNull()).distinct().limit(most + 1).collect()]
+    if len(found) > most:
+        raise ValueError(f"{col} has more than {most} values: keep the table in long form")
+    return sorted(found)
+
+
 def onehot_encode(df: DataFrame, cols: list[str], values: dict[str, list] | None = None,
                   drop: bool = True) -> DataFrame:
     """0/1 column ``<col>_<value>`` per value.  Values are the (small)
@@ -80,7 +92,7 @@ def onehot_encode(df: DataFrame, cols: list[str], values: dict[str, list] | None
     values = dict(values or {})
     for c in cols:
         if c not in values:
-            values[c] = sorted(r[0] for r in df.select(c).distinct().collect() if r[0] is not None)
+            values[c] = catalog_of(df, c)
     new = [F.when(F.col(c) == v, 1).otherwise(0).alias(f"{c}_{v}") for c in cols for v in values[c]]
     if not new:
         raise ValueError("one-hot encoding produced no columns")

@@ -7,7 +7,7 @@ from pyspark.sql import Window, functions as F
 
 from partnerlens.functions.scalar import (fn_engagement, fn_engagement_dropped, fn_engagement_geo, fn_label_class, hash_key_sql,
                                           hash_pct_sql)
-from partnerlens.operators.clean import binarize, coerce_int0, onehot_decode, profile_columns, purchased_list
+from partnerlens.operators.clean import binarize, catalog_of, coerce_int0, onehot_decode, profile_columns, purchased_list
 from partnerlens.operators.ranking import topn_per_group
 from partnerlens.operators.split import sample_rows, split_random
 from partnerlens.plans import discount as dd
@@ -47,7 +47,7 @@ def q_onehot_decode(spark, d):
     """Product name recovered from wide 0/1 product flags (flags built from the part type)."""
     li = table(spark, d, "lineitem")
     part = table(spark, d, "part").select("p_partkey", "p_type")
-    types = sorted(r[0] for r in part.select("p_type").distinct().collect())     # product catalog, bounded
+    types = catalog_of(part, "p_type")
     wide = (li.join(part, li.l_partkey == part.p_partkey)
             .select(row_key().alias("row_key"), *[(F.col("p_type") == t).cast("int").alias(t) for t in types]))
     return finalize(onehot_decode(wide, types).select("row_key", "Product_id"))

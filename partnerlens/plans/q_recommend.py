@@ -77,7 +77,7 @@ def arr_fixed_sql(expr: str, order: str) -> str:
 
 # ---------------------------------------------------------- direct: user
 
-USER_BASED_SQL = "WITH" + stockist_long_sql() + """,
+USER_BASED_TAIL = """,
 eng AS (SELECT *, ln(1 + Sales_Value_Last_Period) * (Feedback_Score + Growth_Percentage) AS Engagement_Score
         FROM stockist),""" + strat_split_sql("eng") + """,
 m AS (SELECT Partner_id AS id, Scheme_Type AS dim, sum(Engagement_Score) AS val FROM train GROUP BY Partner_id, Scheme_Type),
@@ -97,7 +97,8 @@ SELECT tp.Partner_id, fp.Product_id, nn.sim AS Similarity_Score,
 FROM tp JOIN nn ON tp.Partner_id = nn.qid
 JOIN fp ON fp.Partner_id = tp.Partner_id
 LEFT JOIN sl ON sl.Partner_id = nn.cid)"""
-USER_BASED_CTE = USER_BASED_SQL
+USER_BASED_CTE = "WITH" + stockist_long_sql() + USER_BASED_TAIL
+USER_BASED_CUSTOMERS_CTE = "WITH" + stockist_long_sql(partner="customer") + USER_BASED_TAIL
 USER_BASED_SQL = USER_BASED_CTE + "\nSELECT * FROM ub"
 
 USER_COLS = [("Partner_id", "int"), ("Product_id", "text"), ("Similarity_Score", "double"),
@@ -142,10 +143,11 @@ def q_cosine_pairs(spark, d):
 
 # ---------------------------------------------------------- direct: item
 
-ITEM_BASED_SQL = "WITH" + stockist_long_sql() + f""",
+def _item_based_sql(partner: str, by: str) -> str:
+    return "WITH" + stockist_long_sql(partner=partner) + f""",
 train AS (SELECT * FROM stockist WHERE {hash_pct_sql('row_key')} >= 20),
 test AS (SELECT * FROM stockist WHERE {hash_pct_sql('row_key')} < 20),
-""" + jaccard_all_sql("train", "Scheme_Type", "Product_id", "jac").lstrip() + """,
+""" + jaccard_all_sql("train", "Scheme_Type", by, "jac").lstrip() + """,
 top AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY a ORDER BY sim DESC, b) AS r FROM jac) x
         WHERE r <= 3),
 ps AS (SELECT a AS Scheme_Type, avg(sim) AS Similarity_Scores,
@@ -157,14 +159,23 @@ SELECT t.Partner_id, t.Product_id, rec.Similarity_Scores, rec.Scheme_1, rec.Sche
 FROM (SELECT DISTINCT Partner_id, Product_id FROM test) t JOIN rec ON t.Product_id = rec.Product_id"""
 
 
-@register("rec_item_based", sql_final(ITEM_BASED_SQL, [
-    ("Partner_id", "int"), ("Product_id", "text"), ("Similarity_Scores", "double"),
-    ("Scheme_1", "text"), ("Scheme_2", "text"), ("Scheme_3", "text")]))
+ITEM_COLS = [("Partner_id", "int"), ("Product_id", "text"), ("Similarity_Scores", "double"),
+             ("Scheme_1", "text"), ("Scheme_2", "text"), ("Scheme_3", "text")]
+
+
+@register("rec_item_based", sql_final(_item_based_sql("supplier", "Product_id"), ITEM_COLS))
 def q_rec_item_based(spark, d):
     """Direct item-based (scheme Jaccard) recommendations joined back to test partners."""
     return finalize(rc.rec_item_based(stockist_long(spark, d)).drop("Scheme_Type"))
 
 
+@register("rec_item_based_partners", sql_final(_item_based_sql("customer", "Partner_id"), ITEM_COLS))
+def q_rec_item_based_partners(spark, d):
+    """Item-based recommendations with schemes compared by the partners that use them, so that scores differ."""
+    rows = stockist_long(spark, d, partner="customer")
+    return finalize(rc.rec_item_based(rows, by="Partner_id").drop("Scheme_Type"))
+
+
 def _scheme_users(spark, d):
     """Sale lines with the partner as the item of a scheme: schemes are alike when the same partners use them."""
     return stockist_long(spark, d, partner="customer").withColumn("Product_id", F.col("Partner_id"))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from partnerlens.functions.scalar import hash_key_sql
+from partnerlens.operators.clean import catalog_of
 from partnerlens.plans import recommend as rc
 from partnerlens.plans import schemes as sc
 from partnerlens.plans.q_recommend import KNN_PRODUCTS_SQL, jaccard_products_cte
@@ -168,7 +169,7 @@ def q_parse_list_col(spark, d):
 def q_melt_products(spark, d):
     """Wide 0/1 product flags (pivot of the binding) melted back to (partner, product)."""
     p = purchases(spark, d)
-    products = sorted(r[0] for r in p.select("Product_id").distinct().collect())   # catalog, bounded
+    products = catalog_of(p, "Product_id")
     wide = (p.groupBy("Partner_id").pivot("Product_id", products).agg(F.lit(1)).na.fill(0, products))
     return finalize(sc.melt_products(wide, ["Partner_id"], products))
 

@@ -82,22 +82,25 @@ def rec_user_based_split(train: DataFrame, test: DataFrame, n: int = TOP_N,
 
 # ------------------------------------------------------------ direct, item
 
-def scheme_similarity(train: DataFrame) -> DataFrame:
-    """Scheme x scheme Jaccard over the products each scheme covers."""
-    return jaccard_pairs(train, "Scheme_Type", "Product_id")
+def scheme_similarity(train: DataFrame, by: str = "Product_id") -> DataFrame:
+    """Scheme x scheme Jaccard over the products each scheme covers (or the
+    values of ``by``, such as the partners that use it)."""
+    return jaccard_pairs(train, "Scheme_Type", by)
 
 
-def similar_schemes(train: DataFrame, n: int = TOP_N) -> DataFrame:
+def similar_schemes(train: DataFrame, n: int = TOP_N, by: str = "Product_id") -> DataFrame:
     """Top-n similar schemes per scheme (a, b, sim, rank), zeros included."""
     universe = train.select(F.col("Scheme_Type").alias("item")).distinct()
-    return topn_similar(scheme_similarity(train), universe, n)
+    return topn_similar(scheme_similarity(train, by), universe, n)
 
 
-def rec_item_based(rows: DataFrame, n: int = TOP_N) -> DataFrame:
+def rec_item_based(rows: DataFrame, n: int = TOP_N, by: str = "Product_id") -> DataFrame:
     """Per (partner, product) of the test split: for each scheme used with
-    the product in test, the n most similar schemes and their mean Jaccard."""
+    the product in test, the n most similar schemes and their mean Jaccard
+    (over products, or over ``by``: where every scheme covers every product,
+    the partners that use a scheme tell schemes apart)."""
     train, test = split_random(rows, "row_key")
-    top = similar_schemes(train, n)
+    top = similar_schemes(train, n, by)
     per_scheme = (top.groupBy("a")
                   .agg(F.avg("sim").alias("Similarity_Scores"),
                        *[F.max(F.when(F.col("rank") == i, F.col("b"))).alias(f"Scheme_{i}")

@@ -8,12 +8,13 @@ import pytest
 from pyspark.sql import functions as F
 
 from partnerlens.functions.scalar import fn_demand_response, fn_hash_pct, fn_price_bucket_label
-from partnerlens.operators.clean import clean_sales, onehot_decode
+from partnerlens.operators.clean import catalog_of, clean_sales, onehot_decode, onehot_encode
 from partnerlens.operators.joins import heavy_join
 from partnerlens.operators.similarity import cosine_topk, jaccard_pairs, topn_similar
-from partnerlens.operators.split import global_row_number, rank_within, split_stratified
+from partnerlens.operators.split import global_row_number, rank_within, split_random, split_stratified
 from partnerlens.plans import discount as dd
 from partnerlens.plans.evaluate import classification_report, prf_at_k
+from partnerlens.plans.recommend import rec_item_based
 from partnerlens.plans.schemes import list_to_text, multilabel_binarize, parse_list_col, scheme_rank_simple, zip_arrays
 from partnerlens.plans.sentiment import parse_replies, score_text_batches
 
@@ -477,3 +478,33 @@ def test_patterns_score_few_pairs_of_product_flags():
     assert shares[2] < 0.13 and shares[0] > shares[1] > shares[2], shares
     growth = math.log(100_000 ** 2 * shares[2] / (6_000 ** 2 * shares[0])) / math.log(100_000 / 6_000)
     assert growth < 1.6, growth
+
+
+def test_catalog_of_raises_beyond_its_bound(spark):
+    df = spark.createDataFrame([("b",), (None,), ("a",), ("b",)], "x string")
+    assert catalog_of(df, "x") == ["a", "b"] and catalog_of(df, "x", 2) == ["a", "b"]
+    assert catalog_of(df.filter("x is null"), "x") == []
+    with pytest.raises(ValueError):
+        catalog_of(df, "x", 1)
+    rows = onehot_encode(df, ["x"]).collect()
+    assert sorted((r.x_a, r.x_b) for r in rows) == [(0, 0), (0, 1), (0, 1), (1, 0)]
+
+
+@pytest.mark.parametrize("by", ["Product_id", "Partner_id"])
+def test_rec_item_based_against_brute_force(spark, by):
+    rng = np.random.default_rng(5)
+    data = [(str(i), int(rng.integers(12)), f"P{rng.integers(4)}", f"S{rng.integers(5)}") for i in range(120)]
+    df = spark.createDataFrame(data, "row_key string, Partner_id int, Product_id string, Scheme_Type string")
+    train, test = ([r.asDict() for r in x.collect()] for x in split_random(df, "row_key"))
+    users = {}
+    for r in train:
+        users.setdefault(r["Scheme_Type"], set()).add(r[by])
+    alike = {}
+    for a in users:
+        near = sorted((-len(users[a] & users[b]) / len(users[a] | users[b]), b) for b in users if b != a)[:3]
+        alike[a] = (round(-sum(s for s, _ in near) / 3, 9), *[b for _, b in near])
+    want = {(r["Partner_id"], r["Product_id"], o["Scheme_Type"], *alike[o["Scheme_Type"]])
+            for r in test for o in test if o["Product_id"] == r["Product_id"]}
+    got = [(r.Partner_id, r.Product_id, r.Scheme_Type, round(r.Similarity_Scores, 9), r.Scheme_1, r.Scheme_2, r.Scheme_3)
+           for r in rec_item_based(df, by=by).collect()]
+    assert len(got) == len(want) and set(got) == want
