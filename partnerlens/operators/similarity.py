@@ -232,11 +232,11 @@ class Leaves:
 def _vectors(df: DataFrame, g: list[str], id_col: str, dim_col: str, val_col: str, dims: Column) -> DataFrame:
     """(group..., id, dis, vals, cls): sparse vectors by position in the
     dimension catalog; cls is the same for equal vectors of a group."""
+    numbers = df.sparkSession.range(1).select(F.posexplode(dims).alias("di", "_d"))      # the catalog as a table
     cells = (df.filter(F.col(id_col).isNotNull())
              .groupBy(*g, F.col(id_col).alias("id"), F.col(dim_col).cast("string").alias("_d"))
              .agg(F.sum(val_col).cast("double").alias("val"))
-             .withColumn("_dims", dims)
-             .withColumn("di", (F.array_position("_dims", F.col("_d")) - 1).cast("int")))
+             .join(numbers, "_d", "left"))
     held = F.filter(F.collect_list(F.struct("di", "val")), lambda x: x["di"].isNotNull() & (x["val"] != 0))
     return (cells.groupBy(*g, "id").agg(F.array_sort(held).alias("_e"))       # at most the catalog
             .select(*g, "id", F.transform("_e", lambda x: x["di"]).alias("dis"),
