@@ -508,3 +508,26 @@ def test_rec_item_based_against_brute_force(spark, by):
     got = [(r.Partner_id, r.Product_id, r.Scheme_Type, round(r.Similarity_Scores, 9), r.Scheme_1, r.Scheme_2, r.Scheme_3)
            for r in rec_item_based(df, by=by).collect()]
     assert len(got) == len(want) and set(got) == want
+
+
+def test_leaves_best_equals_brute_force_and_dense_vectors_take_pivots(spark, monkeypatch):
+    """Blocks of patterns return the kk best of every query without a row of all similarities; vectors
+    that hold all features have no patterns."""
+    from partnerlens.operators import similarity as sm
+    rng = np.random.default_rng(11)
+    for vecs in ((rng.random((900, 25)) < 0.4) * 1.0, rng.normal(size=(900, 12)) * (rng.random((900, 12)) < 0.6) * 10.0 ** rng.integers(-4, 5, (900, 1))):
+        length = np.sqrt((vecs ** 2).sum(axis=1))
+        unit = vecs / np.where(length > 0, length, 1)[:, None]
+        q, want = unit[::3], sm.top_rows(unit[::3] @ unit.T, 6)
+        leaves = sm.Leaves(unit, length, sm._codes(unit, list(range(vecs.shape[1]))), sm.BLOCK_LEAF)
+        for least in (np.full(len(q), -np.inf), want[2].reshape(len(q), 6)[:, 5]):
+            got = leaves.best(q, least, 6)
+            assert np.array_equal(got[0], want[0]) and np.array_equal(got[1], want[1]) and np.allclose(got[2], want[2], atol=1e-14)
+    modes = []
+    block_topk = sm._block_topk
+    monkeypatch.setattr(sm, "_block_topk", lambda reach, placed, *a: modes.append("pattern" in placed.columns) or block_topk(reach, placed, *a))
+    dense = {i: [float(x) for x in rng.random(10) + 0.1] for i in range(300)}
+    df = spark.createDataFrame([(i, f"d{j}", v) for i, vec in dense.items() for j, v in enumerate(vec)], "id long, dim string, val double")
+    got = {(r.qid, r["rank"]): r.cid for r in cosine_topk(df, 3, block_rows=16).collect()}
+    assert got == {(x, n + 1): c for x, best in _brute_cosine(dense, 3).items() for n, (c, _) in enumerate(best)}
+    assert modes and not any(modes)
