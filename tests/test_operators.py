@@ -531,3 +531,13 @@ def test_leaves_best_equals_brute_force_and_dense_vectors_take_pivots(spark, mon
     got = {(r.qid, r["rank"]): r.cid for r in cosine_topk(df, 3, block_rows=16).collect()}
     assert got == {(x, n + 1): c for x, best in _brute_cosine(dense, 3).items() for n, (c, _) in enumerate(best)}
     assert modes and not any(modes)
+
+
+def test_shuffle_column_makes_its_rows_once(spark, tmp_path):
+    """The repeats read numbered rows; the given rows (here a file, elsewhere joins) are not made again for every rank."""
+    from partnerlens.plans.explain import shuffle_column
+    path = str(tmp_path / "rows")
+    spark.createDataFrame([(f"k{i:03d}", float(i)) for i in range(50)], "row_key string, c double").write.parquet(path)
+    out = shuffle_column(spark.read.parquet(path), "c", repeats=2)
+    assert out.columns == ["row_key", "c", "rep", "shuffled"] and out.count() == 100
+    assert "FileScan" not in out._jdf.queryExecution().toString()
