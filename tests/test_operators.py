@@ -541,3 +541,19 @@ def test_shuffle_column_makes_its_rows_once(spark, tmp_path):
     out = shuffle_column(spark.read.parquet(path), "c", repeats=2)
     assert out.columns == ["row_key", "c", "rep", "shuffled"] and out.count() == 100
     assert "FileScan" not in out._jdf.queryExecution().toString()
+
+
+def test_flag_stratified_makes_rows_once_and_salts_heavy_strata(spark, monkeypatch, tmp_path):
+    from partnerlens.operators import split
+    rows = [(f"k{i:03d}", None if i % 5 == 0 else "ab"[i % 2]) for i in range(200)] + [("x", "one")]
+    path = str(tmp_path / "rows")
+    spark.createDataFrame(rows, "k string, g string").write.parquet(path)
+    df = spark.read.parquet(path)
+    plain = split.flag_stratified(df, "k", "g")
+    assert plain._jdf.queryExecution().executedPlan().toString().count("FileScan") == 1
+    sizes = {g: sum(x == g for _, x in rows) for g in (None, "a", "b", "one")}
+    flags = {(r.k, r.g): r.is_train for r in plain.collect()}
+    assert {g: sum(t for (_, x), t in flags.items() if x == g) for g in sizes} == {g: math.ceil(0.8 * n) for g, n in sizes.items()}
+    for most in (0, 50):
+        monkeypatch.setattr(split, "HEAVY_ROWS", most)
+        assert {(r.k, r.g): r.is_train for r in split.flag_stratified(df, "k", "g").collect()} == flags
