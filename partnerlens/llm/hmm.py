@@ -27,7 +27,7 @@ from partnerlens.llm.common import block_count, block_of, scratch
 
 STATES = 6
 CLASSES = 1 << 14
-GAIN = 0.03  # rounds end when one adds less to the log10 likelihood of a token
+GAIN = 0.001  # rounds end when one adds less to the log10 likelihood of a token
 ROUNDS = 50  # rounds at most
 SMOOTH = 0.05  # added to every expected count
 BATCH_TOKENS = 1 << 21

@@ -713,6 +713,16 @@ def test_hmm_scores(spark, docs):
     assert sum(r["score"] for r in out) > sum(r["base_score"] for r in out)
 
 
+def test_hmm_rounds_run_until_little_is_gained(spark, docs):
+    model = hmm.train(spark.createDataFrame(docs, "doc_id long, text string"))
+    cache = hmm.Hashes()
+    seqs = [np.append(hmm.classes(hmm.hashes(hmm.tokens(t), cache)), np.uint16(hmm.END)) for _, t in docs]
+    n = sum(map(len, seqs))
+    start, move, emit, _ = model.expected(seqs)
+    gain = (hmm.Model.from_counts(start, move, emit).log10(seqs).sum() - model.log10(seqs).sum()) / n
+    assert 0 <= gain < 0.0015
+
+
 def test_hmm_odd_rows(spark):
     df = odd_docs(spark)
     rows = hmm.lm_scores(df).collect()
