@@ -557,3 +557,35 @@ def test_flag_stratified_makes_rows_once_and_salts_heavy_strata(spark, monkeypat
     for most in (0, 50):
         monkeypatch.setattr(split, "HEAVY_ROWS", most)
         assert {(r.k, r.g): r.is_train for r in split.flag_stratified(df, "k", "g").collect()} == flags
+
+
+def test_best_in_tiles_matches_brute_force_with_ties(monkeypatch):
+    from partnerlens.plans import explain as ex
+    rng = np.random.default_rng(3)
+    for nd, share, tiles in ((12, 0.5, (7, 16)), (5, 0.3, (64, 9)), (70, 0.1, (16, 32))):
+        monkeypatch.setattr(ex, "TILE_ROWS", tiles)
+        c = (rng.random((150, nd)) < share).astype(np.float32)
+        c = c[c.any(axis=1)]
+        q, own = c[::3].copy(), np.arange(len(c))[::3].copy()
+        own[0] = -1
+        r, at, sim = ex._best_in_tiles(q, c, own, 4)
+        full = (q.astype(float) @ c.T.astype(float)) / np.sqrt(np.outer(q.sum(1, dtype=float), c.sum(1, dtype=float)))
+        full[np.arange(1, len(q)), own[1:]] = -np.inf
+        for i in range(len(q)):
+            want = np.lexsort((np.arange(len(c)), -np.round(full[i], 12)))[:4]
+            mine = r == i
+            assert at[mine].tolist() == want.tolist()
+            assert np.allclose(sim[mine], full[i][want], atol=1e-12)
+
+
+def test_perturbed_knn_gives_what_the_neighbour_holds_beyond_the_query(spark):
+    from partnerlens.plans import explain as ex
+    held = {1: "AB", 2: "ABC", 3: "BC", 4: "D"}
+    p = spark.createDataFrame([(i, x) for i, xs in held.items() for x in xs], "Partner_id long, Product_id string")
+    moved = spark.createDataFrame([("A#0", 3), ("A#0", 4)], "variant string, Partner_id long")
+    variants = [(ex.BASELINE, None), ("A#0", "A"), ("B#0", "B"), ("C#0", "C"), ("D#0", "D")]
+    nn = ex._perturbed_knn(p, moved, p.select("Partner_id").distinct(), variants, 1)
+    got = {(r.variant, r.qid): (r.cid, sorted(r.gives)) for r in nn.filter("variant in ('baseline', 'A#0')").collect()}
+    assert got[(ex.BASELINE, 1)] == (2, ["C"]) and got[(ex.BASELINE, 4)] == (1, ["A", "B"])
+    assert got[("A#0", 1)] == (2, ["C"]) and got[("A#0", 4)] == (3, ["B", "C"])       # AD meets ABC
+    assert got[("A#0", 2)] == (3, ["A"])
