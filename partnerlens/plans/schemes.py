@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from partnerlens.functions.scalar import FILL_NOT_AVAILABLE, PAD_NO_SCHEME_AVAILABLE, fn_hash_key, fn_split_schemes
 from partnerlens.operators.ranking import slots, topn_per_group
-from partnerlens.operators.split import rank_within
+from partnerlens.operators.split import rank_within_once
 
 TOP_N = 3
 LIST_CHUNK = 1000    # partners in one list of partner_lists
@@ -68,7 +68,7 @@ def partner_lists(rows: DataFrame, key: str = "row_key", size: int = LIST_CHUNK)
     and no list exceeds ``size``.  Records without partner are left out; those
     without product are a group of their own."""
     held = rows.filter(F.col("Partner_id").isNotNull()).select("Product_id", "Partner_id", key)
-    ranked = rank_within(held, ["Product_id"], fn_hash_key(key), key, "_rk")
+    ranked = rank_within_once(held, ["Product_id"], fn_hash_key(key), key, ["Partner_id"], "_rk")
     entry = F.struct(F.col("_rk").alias("at"), F.col("Partner_id").alias("p"))
     return (ranked.withColumn("chunk", F.floor((F.col("_rk") - 1) / size).cast("int"))
             .groupBy("Product_id", "chunk").agg(F.array_sort(F.collect_list(entry)).alias("_a"))

@@ -589,3 +589,15 @@ def test_perturbed_knn_gives_what_the_neighbour_holds_beyond_the_query(spark):
     assert got[(ex.BASELINE, 1)] == (2, ["C"]) and got[(ex.BASELINE, 4)] == (1, ["A", "B"])
     assert got[("A#0", 1)] == (2, ["C"]) and got[("A#0", 4)] == (3, ["B", "C"])       # AD meets ABC
     assert got[("A#0", 2)] == (3, ["A"])
+
+
+def test_rank_within_once_agrees_with_rank_within(spark):
+    from partnerlens.operators.split import rank_within, rank_within_once
+    rows = [(("a", "b", None)[i % 3] if i % 5 else "a", f"k{i % 190}", i) for i in range(400)]
+    df = spark.createDataFrame(rows, "g string, k string, v int")
+    h = F.pmod(F.crc32(F.col("k").cast("binary")), F.lit(1 << 32))
+    want = rank_within(df, ["g"], h, "k", "r").select("g", "v", "r").collect()
+    got = rank_within_once(df, ["g"], h, "k", ["v"], "r").collect()
+    key = {v: k for _, k, v in rows}
+    assert sorted((str(x.g), key[x.v], x.r) for x in got) == sorted((str(x.g), key[x.v], x.r) for x in want)
+    assert len(got) == 400
