@@ -136,10 +136,10 @@ ev AS (SELECT 'alpha_1' AS model, Sentiment AS t, label AS p FROM lab WHERE held
     "\nSELECT * FROM report", [("model", "text")] + REPORT_COLS))
 def q_classification_report(spark, d):
     """Reports for several models in one job (two smoothing strengths of the token scorer)."""
-    _, test, s1, _ = scored(spark, d, 1.0)
-    _, _, s5, _ = scored(spark, d, 5.0)
-    ev = (s1.withColumn("model", F.lit("alpha_1")).unionByName(s5.withColumn("model", F.lit("alpha_5")))
-          .join(test.select(ID, LABEL), ID))
+    fb = feedback(spark, d)
+    train, test = split_random(fb.filter(F.col(LABEL).isNotNull()), ID)
+    models = {f"alpha_{a}": st.train_token_weights(train, ID, TEXT, LABEL, float(a)) for a in (1, 5)}
+    ev = st.score_with_models(fb, ID, TEXT, models).join(test.select(ID, LABEL), ID)
     return finalize(classification_report(ev, LABEL, "label", model_col="model"))
 
 

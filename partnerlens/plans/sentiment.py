@@ -31,6 +31,7 @@ BATCH_SIZE = 50
 PROMPT_HEAD = ("Classify each of the following texts as Positive or Negative and provide a sentiment "
                "score between 0 and 1 (higher value means more positive). Return the results in the "
                "format '1: Positive, 0.85' or '1: Negative, 0.15' for each line.\n\n")
+HOT_TOKENS = 100_000    # tokens whose weights are broadcast at most, whatever the vocabulary
 TOKEN_SPLIT = r"[^\p{L}\p{N}]+"     # tokens: maximal runs of letters and digits
 
 
@@ -60,16 +61,32 @@ def train_token_weights(labelled: DataFrame, id_col: str, text_col: str, label_c
     return w, prior
 
 
+def score_with_models(texts: DataFrame, id_col: str, text_col: str, models: dict[str, tuple[DataFrame, Column]],
+                      threshold: float = 0.5) -> DataFrame:
+    """(model, id, score, label): logistic of prior + sum of the weights of all
+    token occurrences, for models (weights, prior) learnt on the same texts; the
+    texts are taken apart once for all models.  Occurrences meet the HOT_TOKENS
+    most frequent tokens by broadcast (``heavy_join``) and are summed where the
+    text lies; only those of rarer tokens are shuffled."""
+    every = None
+    for i, (w, _) in enumerate(models.values()):
+        w = w.withColumnRenamed("w", f"_w{i}")
+        every = w if every is None else every.join(w.drop("occurs"), "token")
+    total = every.agg(F.sum("occurs")).scalar()
+    found = texts.select(id_col, F.explode(F.split(F.lower(F.col(text_col)), TOKEN_SPLIT)).alias("token")).filter(F.col("token") != "")
+    s = (heavy_join(found, every, "token", "occurs", total, HOT_TOKENS)
+         .groupBy(id_col).agg(*[F.sum(f"_w{i}").alias(f"_s{i}") for i in range(len(models))]))
+    each = F.array(*[F.struct(F.lit(name).alias("model"), (prior + F.coalesce(F.col(f"_s{i}"), F.lit(0.0))).alias("s"))
+                     for i, (name, (_, prior)) in enumerate(models.items())])
+    out = (texts.select(id_col).join(s, id_col, "left").select(id_col, F.explode(each).alias("_m"))
+           .select(F.col("_m.model").alias("model"), id_col, (1 / (1 + F.exp(-F.col("_m.s")))).alias("score")))
+    return out.withColumn("label", fn_label_threshold("score", threshold))
+
+
 def score_with_weights(texts: DataFrame, id_col: str, text_col: str, weights: DataFrame, prior: Column,
                        threshold: float = 0.5) -> DataFrame:
-    """(id, score, label): logistic of prior + sum of token weights x counts.
-    Tokens that many texts hold are joined by broadcast (``heavy_join``)."""
-    total = weights.agg(F.sum("occurs")).scalar()
-    s = (heavy_join(tokens(texts, id_col, text_col), weights, "token", "occurs", total)
-         .groupBy(id_col).agg(F.sum(F.col("n") * F.col("w")).alias("s")))
-    out = (texts.select(id_col).join(s, id_col, "left")
-           .withColumn("score", 1 / (1 + F.exp(-(prior + F.coalesce(F.col("s"), F.lit(0.0)))))))
-    return out.select(id_col, "score", fn_label_threshold("score", threshold).alias("label"))
+    """(id, score, label) of one model, as ``score_with_models``."""
+    return score_with_models(texts, id_col, text_col, {"one": (weights, prior)}, threshold).drop("model")
 
 
 def token_attribution(texts: DataFrame, id_col: str, text_col: str, weights: DataFrame) -> DataFrame:

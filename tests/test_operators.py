@@ -601,3 +601,20 @@ def test_rank_within_once_agrees_with_rank_within(spark):
     key = {v: k for _, k, v in rows}
     assert sorted((str(x.g), key[x.v], x.r) for x in got) == sorted((str(x.g), key[x.v], x.r) for x in want)
     assert len(got) == 400
+
+
+def test_score_with_models_gives_every_model_in_one_pass(spark):
+    from partnerlens.plans import sentiment as st
+    df = spark.createDataFrame([(1, "good good fine", "Positive"), (2, "bad bad fine", "Negative"), (3, "good bad", "Positive"),
+                                (3, "bad", "Negative"), (4, None, None), (5, "unseen", None)], "id int, t string, y string")
+    models = {f"m{a}": st.train_token_weights(df.filter("y is not null"), "id", "t", "y", a) for a in (1.0, 5.0)}
+    got = {(r.model, r.id, round(r.score, 12), r.label) for r in st.score_with_models(df, "id", "t", models).collect()}
+    want = set()
+    for name, (w, prior) in models.items():
+        weight = {r.token: r.w for r in w.collect()}
+        p = df.select(prior.alias("p")).first().p
+        texts = {1: "good good fine", 2: "bad bad fine", 3: "good bad bad", 4: "", 5: "unseen"}
+        for i, t in texts.items():
+            s = 1 / (1 + np.exp(-(p + sum(weight.get(x, 0.0) for x in t.split()))))
+            want.add((name, i, round(float(s), 12), "Positive" if s >= 0.5 else "Negative"))
+    assert got == want
