@@ -618,3 +618,26 @@ def test_score_with_models_gives_every_model_in_one_pass(spark):
             s = 1 / (1 + np.exp(-(p + sum(weight.get(x, 0.0) for x in t.split()))))
             want.add((name, i, round(float(s), 12), "Positive" if s >= 0.5 else "Negative"))
     assert got == want
+
+
+def test_reach_uses_what_the_own_bucket_gave():
+    import pandas as pd
+    from partnerlens.operators import similarity as sm
+    rng = np.random.default_rng(2)
+    u = rng.random((3000, 5))
+    u /= np.linalg.norm(u, axis=1)[:, None]
+    p = u[:60]
+    s = u @ p.T
+    home = s.argmax(axis=1)
+    angle = np.arccos(np.clip(s.max(axis=1), -1, 1))
+    radius = {(): {b: angle[home == b].max() for b in range(60)}}
+    least = np.array([np.partition((u[home == home[i]] @ u[i]), -2)[-2] if (home == home[i]).sum() > 1 else -np.inf for i in range(len(u))])
+    part = pd.DataFrame({"rep": range(len(u)), "dis": [list(range(5))] * len(u), "vals": list(u), "home": home})
+    def reached(low):
+        return pd.concat(sm._reach({(): p}, radius, [], 5, 2)(iter([part.assign(least=low)])))
+    tight, loose = reached(least), reached(np.full(len(u), -np.inf))
+    assert len(tight) < len(loose) / 2 and not (tight["bucket"] == tight["home"]).any()
+    full = u @ u.T
+    true = np.argsort(-full, axis=1)[:, :2]          # itself and the nearest
+    pairs = set(zip(tight["rep"], tight["bucket"]))
+    assert all(home[j] == home[i] or (i, home[j]) in pairs for i in range(len(u)) for j in true[i])
