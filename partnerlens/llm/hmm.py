@@ -20,6 +20,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame, Window, functions as F
 
@@ -56,6 +57,29 @@ def classes(h: np.ndarray) -> np.ndarray:
     return ((h & 0x7FFFFFFF) % (CLASSES - 1) + 1).astype(np.uint16)
 
 
+def coded(texts: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """``tokens`` and ``hashes`` of a column of texts at once: the words of all
+    texts, one after the other, as numbers of their distinct words; how many
+    words each text has; the hashes of the distinct words."""
+    whole = pa.chunked_array(texts.chunks if isinstance(texts, pa.ChunkedArray) else [texts], texts.type)
+    whole = whole.cast(pa.large_string()).fill_null("").combine_chunks()
+    split = pc.ascii_split_whitespace(pc.ascii_lower(whole))
+    sizes = pc.list_value_length(split).to_numpy(zero_copy_only=False).astype(np.int64)
+    found = split.flatten().dictionary_encode()
+    code, word = found.indices.to_numpy(), found.dictionary.cast(pa.large_binary()).to_numpy(zero_copy_only=False)
+    for empty in np.flatnonzero(word == b""):  # white space at either end leaves an empty word
+        real = code != empty
+        sizes = np.bincount(np.repeat(np.arange(len(sizes)), sizes)[real], minlength=len(sizes))
+        code = code[real]
+        code, word = code - (code > empty), np.delete(word, empty)
+    return code, sizes, hashes(word, Hashes())
+
+
+def sequences(code: np.ndarray, sizes: np.ndarray, h: np.ndarray) -> list[np.ndarray]:
+    """Class sequences of texts as ``coded`` gives them, end tokens included."""
+    return np.split(np.insert(classes(h)[code], np.cumsum(sizes), END), np.cumsum(sizes + 1)[:-1])[:len(sizes)]
+
+
 class Lockstep:
     """Sequences side by side, longest first: position t of all that are
     longer than t lies together."""
@@ -104,20 +128,23 @@ class Model:
 
     def forward(self, x: Lockstep, keep: bool = False):
         """Scale factors per position (their logs sum to the likelihood) and,
-        with ``keep``, the scaled forward probabilities."""
-        scale = np.empty(x.total)
-        alphas = np.empty((x.total, len(self.start)), dtype=np.float32) if keep else None
-        a = None
-        for t in range(len(x.live)):
-            lo, n = x.at[t], x.live[t]
-            prior = self.start if a is None else a[:n] @ self.move
-            a = prior * self.emit[x.symbol[lo:lo + n]]
-            s = a.sum(axis=1)
-            a /= s[:, None]
-            scale[lo:lo + n] = s
-            if keep:
-                alphas[lo:lo + n] = a
-        return scale, alphas
+        with ``keep``, the scaled forward probabilities and the probabilities of
+        the symbols, a row per state."""
+        emit = np.ascontiguousarray(self.emit.T).take(x.symbol, axis=1)
+        alphas = np.empty_like(emit) if keep else emit
+        scale = np.empty(x.total, dtype=emit.dtype)
+        at, onward, a = x.at.tolist(), self.move.T.copy(), None
+        work = np.empty((len(self.start), at[1]), dtype=emit.dtype)
+        for lo, hi in zip(at, at[1:]):
+            w, e, s = work[:, :hi - lo], emit[:, lo:hi], scale[lo:hi]
+            if a is None:
+                np.multiply(self.start[:, None], e, out=w)
+            else:
+                np.matmul(onward, a[:, :hi - lo], out=w)
+                np.multiply(w, e, out=w)
+            np.add.reduce(w, axis=0, out=s)
+            a = np.divide(w, s, out=alphas[:, lo:hi])
+        return scale, alphas, emit
 
     def log10(self, sequences: list[np.ndarray]) -> np.ndarray:
         """log10 likelihood of every sequence, in the order given."""
@@ -136,27 +163,27 @@ class Model:
         x = Lockstep(sequences)
         if not x.total:
             return start, move, emit, np.zeros(k)
-        scale, alphas = self.forward(x, keep=True)
+        scale, alphas, emitted = self.forward(x, keep=True)
         fit = np.zeros(k)
-        fit[:2] = np.log10(scale).sum(), x.total
+        fit[:2] = np.log10(scale).sum(dtype=np.float64), x.total
+        emitted /= scale
         gamma = alphas  # turned into posteriors in place, last position first
-        onward, back = self.move.T.copy(), None
-        for t in range(len(x.live) - 1, -1, -1):
-            lo, n = x.at[t], x.live[t]
-            a = alphas[lo:lo + n]
-            if back is None:
-                beta = np.ones((n, k), dtype=self.move.dtype)
-            else:
-                m = len(back)
-                move += a[:m].T @ back
-                beta = np.ones((n, k), dtype=self.move.dtype)
-                beta[:m] = back @ onward
+        at, back, beta_of = x.at.tolist(), None, np.empty((k, x.n), dtype=emitted.dtype)
+        for t in range(len(at) - 2, -1, -1):
+            lo, hi = at[t], at[t + 1]
+            a, beta, m = alphas[:, lo:hi], beta_of[:, :hi - lo], 0
+            if back is not None:
+                m = back.shape[1]
+                move += a[:, :m] @ back.T
+                np.matmul(self.move, back, out=beta[:, :m])
+            beta[:, m:] = 1  # texts that end here
             if t:
-                back = beta * self.emit[x.symbol[lo:lo + n]] / scale[lo:lo + n, None].astype(beta.dtype)
-            gamma[lo:lo + n] = a * beta
-        start += gamma[:x.live[0]].sum(axis=0)
+                back = np.multiply(beta, emitted[:, lo:hi], out=emitted[:, lo:hi])
+            np.multiply(a, beta, out=a)
+        start += gamma[:, :at[1]].sum(axis=1)
+        symbol = x.symbol.astype(np.intp)
         for j in range(k):
-            emit[:, j] = np.bincount(x.symbol, weights=gamma[:, j], minlength=CLASSES)
+            emit[:, j] = np.bincount(symbol, weights=gamma[j], minlength=CLASSES)
         return start, move * self.move, emit, fit
 
 
@@ -176,9 +203,7 @@ def batches_of(sequences: list[np.ndarray]) -> Iterator[list[np.ndarray]]:
 def _class_stream(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Training texts -> their class sequences, end token included."""
     for b in batches:
-        cache, out = Hashes(), []
-        for t in b.column(1).to_pylist():
-            out.append(np.append(classes(hashes(tokens(t), cache)), np.uint16(END)).tobytes())
+        out = [s.tobytes() for s in sequences(*coded(b.column(1)))]
         yield pa.record_batch([b.column(0), pa.array(out, pa.binary())], names=["doc_id", "classes"])
 
 
@@ -258,14 +283,12 @@ def train(texts: DataFrame, rounds: int = ROUNDS, gain: float = GAIN) -> Model:
 def _vocabulary(docs: pa.Table) -> pa.Table:
     """Distinct words of a block's texts (of all, with their training counts)."""
     block = docs.column("__block")[0].as_py()
-    cache, parts = Hashes(), {False: [np.zeros(0, np.int64)], True: [np.zeros(0, np.int64)]}
-    for t, held in zip(docs.column("text").to_pylist(), docs.column("held_out").to_pylist()):
-        parts[held].append(hashes(tokens(t), cache))
-    h, n = np.unique(np.concatenate(parts[False]), return_counts=True)
-    other = np.setdiff1d(np.unique(np.concatenate(parts[True])), h, assume_unique=True)
-    all_h = np.concatenate([h, other])
+    code, sizes, word = coded(docs.column("text"))
+    train = np.repeat(~docs.column("held_out").to_numpy(), sizes)
+    all_h, at = np.unique(word, return_inverse=True)
+    n = np.bincount(at[code[train]], minlength=len(all_h))
     return pa.table({"__block": pa.array([block] * len(all_h), pa.int32()), "h": pa.array(all_h),
-                     "n": pa.array(np.concatenate([n, np.zeros(len(other), np.int64)]), pa.int64()),
+                     "n": pa.array(n, pa.int64()),
                      "class": pa.array(classes(all_h).astype(np.int32))})
 
 
@@ -274,7 +297,6 @@ SCORES = ("doc_id long, held_out boolean, n_tokens long, n_known long, train_tok
 
 def _score(model: Model):
     def run(key, docs: pa.Table, words: pa.Table) -> pa.Table:
-        texts = docs.column("text").to_pylist()
         h = words.column("h").to_numpy()
         by = np.argsort(h)
         h = h[by]
@@ -283,18 +305,20 @@ def _score(model: Model):
         total = docs.column("N").to_numpy().astype(np.float64)
         distinct = docs.column("V").to_numpy().astype(np.float64)
         ends = docs.column("E").to_numpy()
-        base_word, in_class = np.log10(count + 1.0), np.log10(count + 1.0) - of_class
-        cache, seqs, base, rest, n_tokens, n_known = Hashes(), [], [], [], [], []
-        for i, t in enumerate(texts):
-            x = hashes(tokens(t), cache)
-            at = np.searchsorted(h, x)
-            seqs.append(np.append(classes(x), np.uint16(END)))
-            n_tokens.append(len(x) + 1)
-            n_known.append(int((count[at] > 0).sum()) + int(ends[i] > 0))
-            base.append(base_word[at].sum() + math.log10(ends[i] + 1) - (len(x) + 1) * math.log10(total[i] + distinct[i] + 1))
-            rest.append(in_class[at].sum())
-        score = np.zeros(len(texts))
-        order = sorted(range(len(texts)), key=lambda i: -len(seqs[i]))
+        code, sizes, word = coded(docs.column("text"))
+        seqs, at = sequences(code, sizes, word), np.searchsorted(h, word)
+        base_word, known = np.log10(count + 1.0)[at][code], (count > 0)[at][code]
+        in_class = (np.log10(count + 1.0) - of_class)[at][code]
+        base, rest, n_tokens, n_known, lo = [], [], [], [], 0
+        for i, size in enumerate(sizes.tolist()):
+            own = slice(lo, lo + size)
+            lo += size
+            n_tokens.append(size + 1)
+            n_known.append(int(known[own].sum()) + int(ends[i] > 0))
+            base.append(base_word[own].sum() + math.log10(ends[i] + 1) - (size + 1) * math.log10(total[i] + distinct[i] + 1))
+            rest.append(in_class[own].sum())
+        score = np.zeros(len(seqs))
+        order = sorted(range(len(seqs)), key=lambda i: -len(seqs[i]))
         done = 0
         for part in batches_of(seqs):
             score[order[done:done + len(part)]] = model.log10(part)

@@ -13,6 +13,7 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -699,6 +700,30 @@ def test_hmm_forward_and_counts_against_enumeration(monkeypatch):
         assert np.allclose(a, b, atol=1e-5)
 
 
+def test_hmm_columns_of_texts_are_taken_apart_as_single_texts():
+    texts = ["  A b\x0bc\x1cd\x85 \u00c9 b ", "", None, " \n", "a", "\n\nB", "b  A"]
+    cache = hmm.Hashes()
+    want = [hmm.hashes(hmm.tokens(t), cache) for t in texts]
+    for column in (pa.array(texts), pa.chunked_array([texts[:3], texts[3:]], pa.string()), pa.array([None], pa.string()), pa.array([], pa.string())):
+        code, sizes, h = hmm.coded(column)
+        own = want if len(column) == len(texts) else want[2:2 + len(column)]
+        assert sizes.tolist() == [len(x) for x in own] and len(set(h.tolist())) == len(h)
+        assert h[code].tolist() == [x for xs in own for x in xs.tolist()]
+        assert [s.tolist() for s in hmm.sequences(code, sizes, h)] == [[*hmm.classes(x).tolist(), hmm.END] for x in own]
+
+
+def test_hmm_single_precision_counts_of_unequal_texts():
+    """Counts in single precision, texts ending at every step, against double precision."""
+    r = np.random.default_rng(3)
+    seqs = [np.append(r.integers(1, 40, n), hmm.END).astype(np.uint16) for n in (0, 0, 1, 2, 3, 5, 300, 40, 40, 41)]
+    model = hmm.Model.initial()
+    for a, b in zip(model.light().expected(seqs), model.expected(seqs)):
+        assert np.allclose(a, b, rtol=1e-4, atol=1e-4)
+    start, move, emit, fit = model.light().expected(seqs)
+    assert math.isclose(start.sum(), len(seqs), rel_tol=1e-5) and math.isclose(emit.sum(), fit[1], rel_tol=1e-5)
+    assert math.isclose(move.sum(), fit[1] - len(seqs), rel_tol=1e-5) and math.isclose(fit[0], model.log10(seqs).sum(), rel_tol=1e-5)
+
+
 def test_hmm_scores(spark, docs):
     rows = {r["doc_id"]: r for r in queries.op9_hmm_score(spark, SF_SMALL).collect()}
     token = {i: [*WORD.findall("".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in t or "")), None] for i, t in docs}
