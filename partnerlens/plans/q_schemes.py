@@ -6,11 +6,13 @@ from pyspark.sql import functions as F
 
 from partnerlens.functions.scalar import hash_key_sql
 from partnerlens.operators.clean import catalog_of
+from partnerlens.operators.joins import dealt_by_group
 from partnerlens.plans import recommend as rc
 from partnerlens.plans import schemes as sc
 from partnerlens.plans.q_recommend import KNN_PRODUCTS_SQL, jaccard_products_cte
 from partnerlens.plans.registry import finalize, register, sql_final
 from partnerlens.sources.bindings import PURCHASES_SQL, purchases, stockist_long, stockist_long_sql
+from partnerlens.sources.tables import table
 
 
 def scheme_rows(spark, d):
@@ -84,8 +86,10 @@ def q_agg_scheme_sales(spark, d):
      ("Sales_Quantity_Last_Period", "double")]))
 def q_agg_pps(spark, d):
     """Summed sales value and quantity by partner, product and scheme."""
-    r = scheme_rows(spark, d)
-    return finalize(r.groupBy("Partner_id", "Product_id", "Scheme_Type")
+    keys = ["Partner_id", "Product_id", "Scheme_Type"]
+    values = ["Sales_Value_Last_Period", "Sales_Quantity_Last_Period"]
+    r = dealt_by_group(scheme_rows(spark, d).select(*keys, *values), table(spark, d, "lineitem").count(), *keys)
+    return finalize(r.groupBy(*keys)
                     .agg(F.sum("Sales_Value_Last_Period").alias("Sales_Value_Last_Period"),
                          F.sum("Sales_Quantity_Last_Period").alias("Sales_Quantity_Last_Period")))
 

@@ -641,3 +641,28 @@ def test_reach_uses_what_the_own_bucket_gave():
     true = np.argsort(-full, axis=1)[:, :2]          # itself and the nearest
     pairs = set(zip(tight["rep"], tight["bucket"]))
     assert all(home[j] == home[i] or (i, home[j]) in pairs for i in range(len(u)) for j in true[i])
+
+
+def test_fine_groups_are_dealt_by_the_number_of_rows(spark, tmp_path, monkeypatch):
+    """The grouping's tasks grow in number with the lines, not in size; sums stay."""
+    from partnerlens.operators import joins
+    from partnerlens.plans.q_schemes import q_agg_pps
+    n = 2000
+    tables = {
+        "region": ([(0, "ASIA")], "r_regionkey long, r_name string"),
+        "nation": ([(0, 0)], "n_nationkey long, n_regionkey long"),
+        "customer": ([(i, 0, "BUILDING") for i in range(20)], "c_custkey long, c_nationkey long, c_mktsegment string"),
+        "orders": ([(i, i % 20 if i % 7 else None, None, f"{i % 5}-P") for i in range(500)],
+                   "o_orderkey long, o_custkey long, o_orderdate date, o_orderpriority string"),
+        "part": ([(i, f"B{i % 9}") for i in range(50)], "p_partkey long, p_brand string"),
+        "lineitem": ([(i % 500, 1 + i // 500, i % 50, 1, float(i % 11), i / 4 if i % 3 else None, 0.0, 0.0, "N", "O", None) for i in range(n)],
+                     "l_orderkey long, l_linenumber long, l_partkey long, l_suppkey long, l_quantity double, l_extendedprice double, "
+                     "l_discount double, l_tax double, l_returnflag string, l_linestatus string, l_shipdate date")}
+    for name, (rows, schema) in tables.items():
+        spark.createDataFrame(rows, schema).write.parquet(f"{tmp_path}/{name}.parquet")
+    want = q_agg_pps(spark, str(tmp_path)).collect()
+    monkeypatch.setattr(joins, "GROUP_ROWS", 100)
+    got = q_agg_pps(spark, str(tmp_path))
+    assert sorted(map(str, got.collect())) == sorted(map(str, want)) and len(want) > 100
+    tasks = got.groupBy(F.spark_partition_id().alias("task")).count().collect()
+    assert len(tasks) > 10 and max(r["count"] for r in tasks) < len(want) / 5
