@@ -9,6 +9,7 @@ from partnerlens.operators.split import sample_rows, split_random
 from partnerlens.plans import sentiment as st
 from partnerlens.plans.evaluate import classification_report
 from partnerlens.plans.registry import finalize, fixed_text_sql, register, sql_final
+from partnerlens.session import stored
 from partnerlens.sources.bindings import FEEDBACK_SQL, feedback
 from partnerlens.sources.tables import table
 
@@ -110,8 +111,9 @@ def q_sentiment_eval(spark, d):
 
 def classified(spark, d):
     """All texts classified by a model fitted on the labelled train split, and
-    the labelled texts held out of it."""
-    fb = feedback(spark, d)
+    the labelled texts held out of it.  Texts are taken apart once, for the fit
+    and for the classification."""
+    fb = stored(st.token_features(feedback(spark, d), TEXT).select(ID, LABEL, "features"))
     train, test = split_random(fb.filter(F.col(LABEL).isNotNull()), ID)
     return test, st.classify(fb, ID, TEXT, st.train_classifier(train, TEXT, LABEL))
 

@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 from partnerlens.functions.scalar import NEGATIVE, POSITIVE, fn_fixed_text, fn_label_threshold
 from partnerlens.operators.joins import heavy_join
 from partnerlens.operators.split import global_row_number
-from partnerlens.session import cut_lineage
+from partnerlens.session import stored, tasks_at_once
 
 # The batched request of the reference.
 BATCH_SIZE = 50
@@ -126,8 +126,12 @@ def shape_tokens(text: Column) -> Column:
 
 def token_features(df: DataFrame, text_col: str, size: int = FEATURES) -> DataFrame:
     """``df`` with ``features``: hashed counts of the tokens of the whole text
-    and of its shape, as a sparse vector of length one."""
+    and of its shape, as a sparse vector of length one.  Rows that have their
+    ``features`` keep them, so that texts can be taken apart once for several
+    steps."""
     from pyspark.ml.feature import HashingTF, Normalizer
+    if "features" in df.columns:
+        return df
     text = F.coalesce(F.col(text_col), F.lit(""))
     found = F.filter(F.split(F.lower(text), TOKEN_SPLIT), lambda t: t != "")
     d = df.withColumn("_tokens", F.concat(found, shape_tokens(text)))
@@ -139,15 +143,20 @@ def train_classifier(labelled: DataFrame, text_col: str, label_col: str, size: i
                      regularisation: float = REGULARISATION, tolerance: float = TOLERANCE, rounds: int = ROUNDS):
     """Logistic regression of the positive class.  Classes weigh the same
     whatever their sizes.  Every round is one distributed pass that sums the
-    gradient in a tree; the features are materialised once."""
+    gradient in a tree; the features are materialised once (before the call, if
+    ``labelled`` has them).  A task of a round sends a gradient of ``size``
+    doubles however few its rows are, so there is one task for each core, and
+    what a round sends does not grow with the input."""
     from pyspark.ml.classification import LogisticRegression
-    y = labelled.filter(F.col(label_col).isNotNull()).select(text_col, (F.col(label_col) == POSITIVE).cast("double").alias("label"))
+    positive = (F.col(label_col) == POSITIVE).cast("double").alias("label")
+    y = labelled.filter(F.col(label_col).isNotNull())
+    y = y.select("features", positive) if "features" in y.columns else stored(token_features(y.select(text_col, positive), text_col, size).drop(text_col))
     sizes = {r["label"]: r["n"] for r in y.groupBy("label").agg(F.count(F.lit(1)).alias("n")).collect()}    # two rows
     if len(sizes) < 2:
         raise ValueError("both classes must occur among the labelled texts")
     total = sum(sizes.values())
     weight = F.when(F.col("label") == 1.0, total / (2 * sizes[1.0])).otherwise(total / (2 * sizes[0.0]))
-    rows = cut_lineage(token_features(y, text_col, size).select("features", "label", weight.alias("weight")))
+    rows = y.select("features", "label", weight.alias("weight")).coalesce(tasks_at_once(y.sparkSession))
     model = LogisticRegression(weightCol="weight", regParam=regularisation, elasticNetParam=0.0, standardization=False,
                                tol=tolerance, maxIter=rounds).fit(rows)
     return model
@@ -160,9 +169,10 @@ def converged(model, tolerance: float = TOLERANCE) -> bool:
 
 
 def classify(texts: DataFrame, id_col: str, text_col: str, model, threshold: float = 0.5) -> DataFrame:
-    """(id, score, label) of all texts; a null text counts as empty."""
+    """(id, score, label) of all texts; a null text counts as empty.  Texts that
+    have their ``features`` need no text."""
     from pyspark.ml.functions import vector_to_array
-    out = model.transform(token_features(texts.select(id_col, text_col), text_col, model.numFeatures))
+    out = model.transform(token_features(texts, text_col, model.numFeatures).select(id_col, "features"))
     return (out.select(id_col, vector_to_array("probability")[1].alias("score"))
             .select(id_col, "score", fn_label_threshold("score", threshold).alias("label")))
 
