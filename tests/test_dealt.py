@@ -43,7 +43,11 @@ def test_tables_dealt_by_key_meet_without_a_shuffle(spark):
     assert {r.k: r["count"] for r in joined.collect()} == {i: 15 if i < 2 else 14 for i in range(7)} and not any(x.startswith("partnerlens_") for x in names)
 
 
-def test_importance_of_dealt_rows(spark, tmp_path):
+def test_shuffle_column_and_importance_of_dealt_rows(spark, tmp_path):
+    rows = [(f"k{i}", None if i % 11 == 0 else f"v{i % 37}") for i in range(300)] + [("k5", "v5")]
+    df = spark.createDataFrame(rows, "row_key string, c string")
+    plain, dealt = (sorted((r.rep, r.row_key, r.c or "", r.shuffled or "") for r in ex.shuffle_column(df, "c", repeats=2, parts=n).collect()) for n in (0, 2))
+    assert len(dealt) == 602 and dealt == plain
     d = str(tmp_path)
     _tables(spark, d)
     lines = bindings.stockist_long(spark, d).select(*ex.PREPARED)
